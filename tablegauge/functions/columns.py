@@ -65,19 +65,29 @@ def present(df: DataFrame, columns: list[str] | None) -> list[str]:
 
 def col(name: str) -> Column:
     """A column by its literal name, also when the name holds dots or spaces."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(sql_name(name))
+
+
+def sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def value_sql(name: str, kind: str) -> str:
+    """SQL of the column with NaN read as null, so every operator counts the same missing cells."""
+    quoted = sql_name(name)
+    return f"nullif({quoted}, double('NaN'))" if kind == "fraction" else quoted
 
 
 def value_of(name: str, kind: str) -> Column:
-    """The column with NaN read as null, so every operator counts the same missing cells."""
-    column = col(name)
-    if kind == "fraction":
-        return F.when(~F.isnan(column), column)
-    return column
+    return F.expr(value_sql(name, kind))
 
 
 def number_of(name: str, kind: str) -> Column:
-    return value_of(name, kind).cast("double")
+    return F.expr(f"double({value_sql(name, kind)})")
 
 
 def is_id_name(name: str) -> bool:

@@ -13,6 +13,7 @@ from tablegauge.functions.scalars import mask_where, percent_text
 from tablegauge.functions.severity import severity
 from tablegauge.operators.findings import Metric, MetricFrames, details, issues_of
 from tablegauge.operators.frequency import distinct_counts, top_values
+from tablegauge.session import local_rows
 
 # Parameter defaults and limits.
 MAX_CARDINALITY = 50
@@ -165,11 +166,12 @@ class ClassBalance(Metric):
     def frames(self, df, shared, params, context) -> MetricFrames:
         high = params.get("imbalance_threshold_high", HIGH_SHARE)
         low = params.get("imbalance_threshold_low", LOW_SHARE)
-        columns = self.balance(self.classes(df, shared.frequency, params), context)
+        # One row per checked column.
+        columns = local_rows(self.balance(self.classes(df, shared.frequency, params), context))
         issues = [self._dominant_issues(columns, high), self._minority_issues(columns, low)]
         conformity_score = None
         if self.expectations(df, params):
-            classes = self.conformity(df, shared.frequency, params, context)
+            classes = local_rows(self.conformity(df, shared.frequency, params, context))
             issues.append(self._deviation_issues(classes, context))
             conformity_score = classes.groupBy("column_name").agg(
                 F.round(F.avg(F.col("in_range").cast("double")) * 100, 2).alias("conformity_score")

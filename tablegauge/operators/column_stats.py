@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import kind_of, kinds, number_of, present, value_of
+from tablegauge.functions.columns import (
+    is_numeric_kind,
+    kind_of,
+    kinds,
+    present,
+    sql_name,
+    sql_text,
+    value_sql,
+)
+
+# Measures are SQL aggregates: {v} stands for a cell's value and {x} for it as a double. One that
+# uses {x} is null for a column that is not numeric.
+NULLS = {"n_valid": "count({v})"}
+CENTRE = {"min": "min({x})", "max": "max({x})", "mean": "avg({x})"}
+MOMENTS = {**CENTRE, "std": "stddev_samp({x})"}
 
-Measure = tuple[str, Callable[[str, str], Column | None]]
 
+def _applies(template: str, kind: str) -> bool:
+    return "{x}" not in template or is_numeric_kind(kind)
 
-def wide_aggregates(columns: list[str], by_kind: dict[str, str], measures: dict[str, Measure]):
+
+def wide_aggregates(
+    columns: list[str], by_kind: dict[str, str], measures: dict[str, str]
+) -> list[Column]:
     """One aggregate expression per column and measure, for a single `df.agg`."""
     out = []
     for position, name in enumerate(columns):
-        for measure, (data_type, build) in measures.items():
-            expression = build(name, by_kind[name])
-            if expression is not None:
-                out.append(expression.cast(data_type).alias(f"{measure}__{position}"))
+        value = value_sql(name, by_kind[name])
+        for measure, template in measures.items():
+            if _applies(template, by_kind[name]):
+                aggregate = template.replace("{v}", value).replace("{x}", f"double({value})")
+                out.append(F.expr(aggregate).alias(f"{measure}__{position}"))
     return out
 
 
@@ -27,56 +44,31 @@ def to_long(
     wide: DataFrame,
     columns: list[str],
     by_kind: dict[str, str],
-    measures: dict[str, Measure],
+    measures: dict[str, str],
     shared: list[str] = (),
 ) -> DataFrame:
     """Turn the one aggregated row into one row per column, `shared` fields repeated."""
     rows = []
     for position, name in enumerate(columns):
-        fields = [F.lit(name).alias("column_name"), F.lit(by_kind[name]).alias("kind")]
-        fields.append(F.lit(position).alias("position"))
-        fields += [F.col(s).alias(s) for s in shared]
-        for measure, (data_type, build) in measures.items():
-            if build(name, by_kind[name]) is None:
-                fields.append(F.lit(None).cast(data_type).alias(measure))
-            else:
-                fields.append(F.col(f"{measure}__{position}").alias(measure))
-        rows.append(F.struct(*fields))
-    return wide.select(F.inline(F.array(*rows)))
+        fields = [
+            f"{sql_text(name)} AS column_name",
+            f"{sql_text(by_kind[name])} AS kind",
+            f"{position} AS position",
+            *[f"{sql_name(s)} AS {sql_name(s)}" for s in shared],
+        ]
+        for measure, template in measures.items():
+            known = _applies(template, by_kind[name])
+            fields.append(f"{f'{measure}__{position}' if known else 'double(NULL)'} AS {measure}")
+        rows.append(f"struct({', '.join(fields)})")
+    return wide.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def row_count() -> Column:
     return F.count(F.lit(1)).alias("n_rows")
 
 
-def _numeric(build: Callable[[Column], Column]) -> Callable[[str, str], Column | None]:
-    def measure(name: str, kind: str) -> Column | None:
-        if kind in ("integer", "fraction", "decimal"):
-            return build(number_of(name, kind))
-        return None
-
-    return measure
-
-
-NULLS: dict[str, Measure] = {
-    "n_valid": ("bigint", lambda name, kind: F.count(value_of(name, kind))),
-}
-
-MOMENTS: dict[str, Measure] = {
-    "min": ("double", _numeric(F.min)),
-    "max": ("double", _numeric(F.max)),
-    "mean": ("double", _numeric(F.avg)),
-    "std": ("double", _numeric(F.stddev_samp)),
-}
-
-SHAPE: dict[str, Measure] = {
-    "population_skewness": ("double", _numeric(F.skewness)),
-    "population_kurtosis": ("double", _numeric(F.kurtosis)),
-}
-
-
 def column_stats(
-    df: DataFrame, columns: list[str] | None = None, measures: dict[str, Measure] | None = None
+    df: DataFrame, columns: list[str] | None = None, measures: dict[str, str] | None = None
 ) -> DataFrame:
     """One row per column: counts of rows, valid and missing cells, and the asked measures."""
     names = present(df, columns)
@@ -92,16 +84,38 @@ def with_missing(long: DataFrame) -> DataFrame:
     )
 
 
-def sample_skewness(skewness: Column, n: Column) -> Column:
-    """Bias-corrected skewness from the population one; null below three values."""
-    n = n.cast("double")
-    return F.when(n >= 3, skewness * F.sqrt(n * (n - 1)) / (n - 2))
+def shape(df: DataFrame, columns: list[str], stats: DataFrame) -> DataFrame:
+    """(column_name, std, skewness, kurtosis) from sums of powers around the means in `stats`.
 
-
-def sample_kurtosis(kurtosis: Column, n: Column) -> Column:
-    """Bias-corrected excess kurtosis from the population one; null below four values."""
-    n = n.cast("double")
-    return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurtosis + 6))
+    A second scan with plain sums stays small enough to compile well for many columns, where one
+    scan with Spark's moment aggregates does not, and centred sums lose no digits. Skewness and
+    kurtosis are bias-corrected: null below three and four values, 0 for a constant column.
+    """
+    by_kind = kinds(df)
+    means = {row["column_name"]: row["mean"] for row in stats.select("column_name", "mean").collect()}
+    sums = []
+    for i, name in enumerate(columns):
+        mean = means.get(name)
+        gap = f"(double({value_sql(name, by_kind[name])}) - double('{mean if mean is not None else 0.0!r}'))"
+        for power in (2, 3, 4):
+            sums.append(F.expr(f"sum({' * '.join([gap] * power)})").alias(f"m{power}__{i}"))
+    rows = [
+        f"struct({sql_text(name)} AS column_name, "
+        + ", ".join(f"m{power}__{i} AS m{power}" for power in (2, 3, 4))
+        + ")"
+        for i, name in enumerate(columns)
+    ]
+    long = df.agg(*sums).selectExpr(f"inline(array({', '.join(rows)}))")
+    n = F.col("n_valid").cast("double")
+    m2, m3, m4 = (F.col(f"m{power}") / n for power in (2, 3, 4))
+    skewness = m3 / F.pow(m2, 1.5) * F.sqrt(n * (n - 1)) / (n - 2)
+    kurtosis = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6)
+    return long.join(F.broadcast(stats.select("column_name", "n_valid")), "column_name").select(
+        "column_name",
+        F.when(n > 1, F.sqrt(F.col("m2") / (n - 1))).alias("std"),
+        F.when(n < 3, None).when(m2 == 0, 0.0).otherwise(skewness).alias("skewness"),
+        F.when(n < 4, None).when(m2 == 0, 0.0).otherwise(kurtosis).alias("kurtosis"),
+    )
 
 
 def storage_type(df: DataFrame, name: str) -> str:

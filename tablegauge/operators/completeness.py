@@ -10,7 +10,7 @@ from tablegauge.functions.fingerprints import column_fingerprint
 from tablegauge.functions.patterns import cells
 from tablegauge.functions.scalars import percent_text
 from tablegauge.functions.severity import severity
-from tablegauge.operators.column_stats import to_long, with_missing
+from tablegauge.operators.column_stats import NULLS, to_long, with_missing
 from tablegauge.operators.findings import (
     Metric,
     MetricFrames,
@@ -20,6 +20,7 @@ from tablegauge.operators.findings import (
     no_issues,
     score_frame,
 )
+from tablegauge.session import local_rows
 
 DEFAULT_THRESHOLD = 0.95
 WHOLE_DATASET = "_dataset_"
@@ -41,11 +42,11 @@ class Completeness(Metric):
         spark = df.sparkSession
         threshold = float(params.get("threshold", DEFAULT_THRESHOLD))
         names = present(df, params.get("columns"))
-        measures = {"n_valid": ("bigint", lambda name, kind: F.lit(0))}
         if not names:
             empty = spark.createDataFrame([], "column_name string, completeness double")
             return MetricFrames(fixed_score(spark, self.metric_id, 1.0), empty, no_issues(spark))
-        long = with_missing(to_long(shared.wide, names, kinds(df), measures, ["n_rows"]))
+        # One row per column; score and issues are then drawn from it without another scan.
+        long = local_rows(with_missing(to_long(shared.wide, names, kinds(df), NULLS, ["n_rows"])))
         issues = self._dataset_issue(df, long, params, threshold).unionByName(
             self._column_issues(long, threshold)
         )

@@ -17,6 +17,7 @@ from tablegauge.functions.scalars import (
 )
 from tablegauge.functions.severity import severity
 from tablegauge.operators.findings import Metric, MetricFrames, details, issues_of, score_frame
+from tablegauge.session import local_rows
 
 # Parameter defaults and limits.
 STALENESS_DAYS = 30
@@ -94,8 +95,9 @@ class Currentness(Metric):
         as_of = F.current_timestamp() if context.as_of is None else F.lit(context.as_of).cast("timestamp")
         age = F.col("age_days")
         window = max(1, limit * DECAY_SCALE)
+        # One row per candidate column.
         columns = (
-            self.detection(df, shared.wide, params)
+            local_rows(self.detection(df, shared.wide, params))
             .where("is_date")
             .withColumn("age_days", age_days(F.col("max_date"), as_of))
             .withColumn("date_range_days", age_days(F.col("min_date"), F.col("max_date")))

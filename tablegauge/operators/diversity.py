@@ -11,6 +11,7 @@ from tablegauge.functions.scalars import MASK, clip, percent_text, to_number
 from tablegauge.functions.severity import severity
 from tablegauge.operators.findings import Metric, MetricFrames, details, issues_of
 from tablegauge.operators.frequency import distinct_counts
+from tablegauge.session import local_rows
 
 # Parameter defaults.
 THRESHOLD = 0.60
@@ -123,7 +124,7 @@ class Diversity(Metric):
             )
         return wide.select(F.inline(F.array(*rows))).where("n_values > 0")
 
-    def column_scores(self, df, shared, params) -> DataFrame:
+    def column_scores(self, df, values, bins, params) -> DataFrame:
         spark = df.sparkSession
         parts = spark.createDataFrame(
             [
@@ -133,8 +134,7 @@ class Diversity(Metric):
             COLUMN_SCHEMA,
         )
         scored = []
-        if shared.frequency is not None:
-            values = self.expected_values(df, shared.frequency, params)
+        if values is not None:
             n_under = F.count_if("is_under")
             credit = F.count_if("is_present") - n_under + 0.5 * n_under
             scored.append(
@@ -146,8 +146,7 @@ class Diversity(Metric):
                 )
             )
         scored.append(
-            self.bins(df, shared.wide, params)
-            .groupBy("column_name", "n_values")
+            bins.groupBy("column_name", "n_values")
             .agg(
                 F.count(F.lit(1)).cast("int").alias("n_expected"),
                 F.count_if(F.col("cnt") > 0).alias("n_present"),
@@ -166,15 +165,22 @@ class Diversity(Metric):
 
     def frames(self, df, shared, params, context) -> MetricFrames:
         threshold = float(params.get("threshold", THRESHOLD))
-        columns = self.column_scores(df, shared, params).withColumn(
-            "below_threshold", F.col("score") < threshold
+        # One row per expected value and per bin, both set by the configuration.
+        bins = local_rows(self.bins(df, shared.wide, params))
+        values = None
+        if shared.frequency is not None:
+            values = local_rows(self.expected_values(df, shared.frequency, params))
+        columns = local_rows(
+            self.column_scores(df, values, bins, params).withColumn(
+                "below_threshold", F.col("score") < threshold
+            )
         )
         score = columns.agg(F.avg("score").alias("score")).select(
             F.lit(self.metric_id).alias("metric"), "score"
         )
-        issues = self._range_issues(df, shared, columns, params, threshold)
-        if shared.frequency is not None:
-            values = self.expected_values(df, shared.frequency, params).join(
+        issues = self._range_issues(bins, columns, threshold)
+        if values is not None:
+            values = values.join(
                 F.broadcast(columns.select("column_name", "score", "n_present", "n_expected")),
                 "column_name",
             )
@@ -223,11 +229,10 @@ class Diversity(Metric):
             fingerprint=diversity_fingerprint(F.col("column_name"), "underrepresented", F.col("value")),
         )
 
-    def _range_issues(self, df, shared, columns, params, threshold):
+    def _range_issues(self, bins, columns, threshold):
         interval = F.format_string("[%.1f, %.1f)", "low", "high")
         empty = (
-            self.bins(df, shared.wide, params)
-            .where("cnt = 0")
+            bins.where("cnt = 0")
             .groupBy("column_name")
             .agg(F.sort_array(F.collect_list(F.struct("bin", interval.alias("text")))).alias("bins"))
         )

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import col, is_numeric_kind, kinds, present, value_of
+from tablegauge.functions.columns import col, kinds, present, sql_text, value_of, value_sql
 from tablegauge.functions.scalars import float_text
 
 # Longest text kept as itself in a row key; longer text is keyed by its SHA-256.
@@ -15,18 +15,35 @@ ROW_KEY_TEXT_LIMIT = 64
 
 
 def unpivoted(df: DataFrame, columns: list[str], data_type: str) -> DataFrame:
-    """The named columns as (column_name, value) rows of one type, missing cells dropped."""
+    """The named columns as (column_no, value) rows of one type, missing cells dropped.
+
+    The number keeps grouping keys short; `with_names` turns it into the name after grouping.
+    """
     by_kind = kinds(df)
-    narrow = df.select(*[_in_type(c, by_kind[c], data_type).alias(c) for c in columns])
-    return narrow.unpivot([], [col(c) for c in columns], "column_name", "value").where(
-        F.col("value").isNotNull()
-    )
+    cells = [
+        f"struct({i} AS column_no, {_in_type(c, by_kind[c], data_type)} AS value)"
+        for i, c in enumerate(columns)
+    ]
+    return df.selectExpr(f"inline(array({', '.join(cells)}))").where(F.col("value").isNotNull())
+
+
+def with_names(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """`column_no` replaced by `column_name`."""
+    names = F.expr(f"element_at(array({', '.join(sql_text(c) for c in columns)}), column_no + 1)")
+    others = [F.col(c) for c in rows.columns if c != "column_no"]
+    return rows.select(names.alias("column_name"), *others)
 
 
-def _in_type(name: str, kind: str, data_type: str) -> Column:
-    value = value_of(name, kind).cast(data_type)
+def with_numbers(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """`column_no` beside `column_name`."""
+    names = f"array({', '.join(sql_text(c) for c in columns)})"
+    return rows.withColumn("column_no", F.expr(f"int(array_position({names}, column_name)) - 1"))
+
+
+def _in_type(name: str, kind: str, data_type: str) -> str:
+    value = f"{data_type}({value_sql(name, kind)})"
     # Truth values read True and False, the way class names are written in a configuration.
-    return F.initcap(value) if kind == "boolean" and data_type == "string" else value
+    return f"initcap({value})" if kind == "boolean" and data_type == "string" else value
 
 
 def value_frequency(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -48,10 +65,11 @@ def value_frequency(df: DataFrame, columns: list[str] | None = None) -> DataFram
     for data_type, members in groups.items():
         if not members:
             continue
-        counted = (
+        counted = with_names(
             unpivoted(df, members, data_type)
-            .groupBy("column_name", "value")
-            .agg(F.count(F.lit(1)).alias("cnt"))
+            .groupBy("column_no", "value")
+            .agg(F.count(F.lit(1)).alias("cnt")),
+            members,
         )
         value = F.col("value")
         if data_type == "double":
@@ -139,8 +157,3 @@ def duplicate_totals(df: DataFrame, columns: list[str] | None = None) -> DataFra
             F.coalesce(F.sum(F.col("cnt") * missing), F.lit(0)).cast("bigint").alias("n_missing"),
         )
     )
-
-
-def numeric_names(df: DataFrame, columns: list[str] | None = None) -> list[str]:
-    by_kind = kinds(df)
-    return [c for c in present(df, columns) if is_numeric_kind(by_kind[c])]

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import numeric_columns
-from tablegauge.operators.column_stats import MOMENTS, column_stats
-from tablegauge.operators.frequency import unpivoted
+from tablegauge.operators.column_stats import CENTRE, column_stats
+from tablegauge.operators.frequency import unpivoted, with_names, with_numbers
 
 DEFAULT_BINS = 10
 MIN_ADAPTIVE_BINS, MAX_ADAPTIVE_BINS = 10, 30
@@ -64,12 +64,13 @@ def histogram(
             [], "column_name string, bin bigint, bin_start double, cnt bigint"
         )
     if bounds is None:
-        bounds = bin_bounds(column_stats(df, names, MOMENTS), F.lit(bins))
-    counted = (
+        bounds = bin_bounds(column_stats(df, names, CENTRE), F.lit(bins))
+    counted = with_names(
         unpivoted(df, names, "double")
-        .join(F.broadcast(bounds), "column_name")
-        .groupBy("column_name", bin_index(F.col("value")).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .join(F.broadcast(with_numbers(bounds, names).drop("column_name")), "column_no")
+        .groupBy("column_no", bin_index(F.col("value")).alias("bin"))
+        .agg(F.count(F.lit(1)).alias("cnt")),
+        names,
     )
     all_bins = bounds.withColumn(
         "bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1))

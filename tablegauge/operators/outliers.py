@@ -20,8 +20,9 @@ from tablegauge.operators.findings import (
     issues_of,
     order_columns,
 )
-from tablegauge.operators.frequency import unpivoted
+from tablegauge.operators.frequency import unpivoted, with_names, with_numbers
 from tablegauge.operators.quantiles import quartiles
+from tablegauge.session import local_rows
 
 DEFAULT_FACTOR = 1.5
 STATISTICS = ("q1", "q3", "iqr", "median", "min", "max", "mean", "std", "lower", "upper")
@@ -42,7 +43,7 @@ class Outliers(Metric):
         return wide_aggregates(names, kinds(df), {**NULLS, **MOMENTS})
 
     def bounds(self, df, shared, params) -> DataFrame:
-        """One row per numeric column: statistics and the limits beyond which a value is an outlier."""
+        """Statistics of each numeric column and the limits beyond which a value is an outlier."""
         method, factor = params.get("method", "iqr"), params.get("factor", DEFAULT_FACTOR)
         names = numeric_columns(df, params.get("columns"))
         stats = to_long(shared.wide, names, kinds(df), {**NULLS, **MOMENTS}, ["n_rows"])
@@ -65,21 +66,22 @@ class Outliers(Metric):
         distance = F.abs((F.col("value") - F.col("mean")) / F.col("std"))
         return (F.col("std") > 0) & (distance > F.lit(float(params.get("factor", DEFAULT_FACTOR))))
 
-    def counts(self, df, shared, params) -> DataFrame:
+    def counts(self, df, bounds, params) -> DataFrame:
         """Column rows with outlier_count and proportion; the limits are one broadcast row per column."""
         names = numeric_columns(df, params.get("columns"))
-        bounds = self.bounds(df, shared, params)
-        found = (
+        limits = with_numbers(bounds, names).select("column_no", "lower", "upper", "mean", "std")
+        found = with_names(
             unpivoted(df, names, "double")
-            .join(F.broadcast(bounds), "column_name")
-            .groupBy("column_name")
-            .agg(F.count_if(self.is_outlier(params)).alias("outlier_count"))
+            .join(F.broadcast(limits), "column_no")
+            .groupBy("column_no")
+            .agg(F.count_if(self.is_outlier(params)).alias("outlier_count")),
+            names,
         )
         return bounds.join(F.broadcast(found), "column_name").withColumn(
             "proportion", F.col("outlier_count") / F.col("n_valid")
         )
 
-    def samples(self, df, shared, params, context, k: int = SAMPLE_ROWS) -> DataFrame:
+    def samples(self, df, bounds, params, context, k: int = SAMPLE_ROWS) -> DataFrame:
         """(column_name, position, value): the first k outliers of each column in id order."""
         names = numeric_columns(df, params.get("columns"))
         by_kind = kinds(df)
@@ -92,7 +94,7 @@ class Outliers(Metric):
         rows = df.select(
             F.struct(*order_columns(df, context.id_columns)).alias("place"), F.inline(cells)
         )
-        outliers = rows.join(F.broadcast(self.bounds(df, shared, params)), "column_name").where(
+        outliers = rows.join(F.broadcast(bounds), "column_name").where(
             self.is_outlier(params)
         )
         first = first_rows_per_group(
@@ -102,12 +104,13 @@ class Outliers(Metric):
 
     def frames(self, df, shared, params, context) -> MetricFrames:
         method, factor = params.get("method", "iqr"), params.get("factor", DEFAULT_FACTOR)
-        columns = self.counts(df, shared, params)
+        bounds = local_rows(self.bounds(df, shared, params))
+        columns = self.counts(df, bounds, params)
         sensitive = F.col("column_name").isin(*context.sensitive) if context.sensitive else F.lit(False)
         hidden = sensitive & (F.col("outlier_count") > 0)
         for name in STATISTICS:
             columns = columns.withColumn(name, F.when(~hidden, col(name)))
-        ranked = self.samples(df, shared, params, context)
+        ranked = self.samples(df, bounds, params, context)
         texts = ranked.groupBy("column_name").agg(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("position", "value"))),

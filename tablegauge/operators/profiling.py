@@ -8,20 +8,14 @@ from pyspark.sql import functions as F
 from tablegauge.functions.columns import (
     col,
     kinds,
-    number_of,
     numeric_columns,
     present,
     profile_category,
     profile_sub_type,
 )
+from tablegauge.functions.fingerprints import numeric_code_fingerprint
 from tablegauge.functions.scalars import mask_where
-from tablegauge.operators.column_stats import (
-    MOMENTS,
-    SHAPE,
-    column_stats,
-    sample_kurtosis,
-    sample_skewness,
-)
+from tablegauge.operators.column_stats import CENTRE, MOMENTS, column_stats, shape
 from tablegauge.operators.findings import Context, Shared, issues_of
 from tablegauge.operators.frequency import (
     complete_distinct_counts,
@@ -29,10 +23,10 @@ from tablegauge.operators.frequency import (
     top_values,
     value_frequency,
 )
-from tablegauge.functions.fingerprints import numeric_code_fingerprint
 from tablegauge.operators.histogram import adaptive_bins, bin_bounds, histogram
 from tablegauge.operators.outliers import Outliers, fences
 from tablegauge.operators.quantiles import quartiles
+from tablegauge.session import local_rows
 
 TOP_COMMON, TOP_BARS = 5, 20
 BOXPLOT_SAMPLE = 50
@@ -91,25 +85,29 @@ def type_summary(types: DataFrame) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, digits: int = 4) -> DataFrame:
     """Moments, quartiles, skewness and kurtosis of each numeric column."""
     names = numeric_columns(df, columns)
-    stats = column_stats(df, names, {**MOMENTS, **SHAPE})
-    n = F.col("n_valid")
+    # One row per numeric column; the means are needed as constants by the second scan.
+    stats = local_rows(column_stats(df, names, CENTRE))
 
     def rounded(value: Column, name: str) -> Column:
         return F.round(value, digits).alias(name)
 
-    return stats.join(F.broadcast(quartiles(df, names)), "column_name").select(
-        "column_name",
-        "n_valid",
-        rounded(F.col("mean"), "mean"),
-        rounded(F.col("median"), "median"),
-        rounded(F.col("std"), "std"),
-        "min",
-        "max",
-        rounded(F.col("q1"), "q1"),
-        rounded(F.col("q3"), "q3"),
-        rounded(F.col("q3") - F.col("q1"), "iqr"),
-        rounded(sample_skewness(F.col("population_skewness"), n), "skewness"),
-        rounded(sample_kurtosis(F.col("population_kurtosis"), n), "kurtosis"),
+    return (
+        stats.join(F.broadcast(shape(df, names, stats)), "column_name")
+        .join(F.broadcast(quartiles(df, names)), "column_name", "left")
+        .select(
+            "column_name",
+            "n_valid",
+            rounded(F.col("mean"), "mean"),
+            rounded(F.col("median"), "median"),
+            rounded(F.col("std"), "std"),
+            "min",
+            "max",
+            rounded(F.col("q1"), "q1"),
+            rounded(F.col("q3"), "q3"),
+            rounded(F.col("q3") - F.col("q1"), "iqr"),
+            rounded(F.col("skewness"), "skewness"),
+            rounded(F.col("kurtosis"), "kurtosis"),
+        )
     )
 
 
@@ -157,7 +155,7 @@ def modes(df: DataFrame, frequency: DataFrame, sensitive: list[str] | None = Non
 def adaptive_histogram(df: DataFrame, frequency: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Histogram with as many bins as distinct values, within 10 and 30."""
     names = numeric_columns(df, columns)
-    stats = complete_distinct_counts(frequency, column_stats(df, names, MOMENTS))
+    stats = complete_distinct_counts(frequency, column_stats(df, names, CENTRE))
     return histogram(df, names, bounds=bin_bounds(stats, adaptive_bins(F.col("n_unique"))))
 
 
@@ -168,8 +166,8 @@ def boxplot(
     check_iqr_factor(factor)
     params = {"columns": numeric_columns(df, columns), "factor": factor}
     metric = Outliers()
-    counts = metric.counts(df, Shared.lazily(metric, df, params, Context()), params)
-    return counts.select(
+    bounds = local_rows(metric.bounds(df, Shared.lazily(metric, df, params, Context()), params))
+    return metric.counts(df, bounds, params).select(
         "column_name",
         "min",
         F.round("q1", digits).alias("q1"),
@@ -189,8 +187,8 @@ def boxplot_outliers(
     check_iqr_factor(factor)
     params = {"columns": columns, "factor": factor}
     metric, context = Outliers(), Context(id_columns=id_columns)
-    shared = Shared.lazily(metric, df, params, context)
-    return metric.samples(df, shared, params, context, BOXPLOT_SAMPLE)
+    bounds = metric.bounds(df, Shared.lazily(metric, df, params, context), params)
+    return metric.samples(df, local_rows(bounds), params, context, BOXPLOT_SAMPLE)
 
 
 def check_iqr_factor(factor: float) -> None:

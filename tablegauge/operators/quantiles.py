@@ -1,7 +1,7 @@
 """Exact linear-interpolated quantiles.
 
-A table whose row count is small enough goes through Spark's `percentile`, whose per-column value
-map is then bounded by that count. Beyond it the wanted ranks are found by narrowing: one scan
+A table whose row count is small enough has its distinct values counted, sorted and summed up, one
+task per column, which that count bounds. Beyond it the wanted ranks are found by narrowing: one scan
 sketches each column, every further scan sketches only the bracket around a rank and counts what
 lies below it, and once few distinct values are left they are counted and ordered. A column is
 never sorted, shuffled or held by one task as a whole, and the sketch only steers the search: each
@@ -15,8 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import kinds, number_of, numeric_columns
-from tablegauge.operators.frequency import unpivoted
+from tablegauge.functions.columns import kinds, numeric_columns, value_sql
+from tablegauge.operators.frequency import unpivoted, with_names
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -45,9 +45,12 @@ def quantiles(
         return df.sparkSession.createDataFrame(
             [], "column_name string, probability double, quantile double"
         )
+    values = unpivoted(df, names, "double")
     if fits_one_task(df, limit):
-        return _by_percentile(df, names, probabilities)
-    return _by_narrowing(unpivoted(df, names, "double"), probabilities, limit, steps)
+        found = _by_sorted_counts(df, names, values, probabilities)
+    else:
+        found = _by_narrowing(values, probabilities, limit, steps)
+    return with_names(found, names)
 
 
 def quartiles(df: DataFrame, columns: list[str] | None = None, **options) -> DataFrame:
@@ -62,29 +65,45 @@ def quartiles(df: DataFrame, columns: list[str] | None = None, **options) -> Dat
     )
 
 
-def _by_percentile(df: DataFrame, names: list[str], probabilities) -> DataFrame:
+def _by_sorted_counts(df: DataFrame, names: list[str], values: DataFrame, probabilities) -> DataFrame:
+    """Running counts over each column's sorted distinct values; the row limit bounds a column."""
     by_kind = kinds(df)
-    wanted = [float(p) for p in probabilities]
-    wide = df.agg(
-        *[F.percentile(number_of(n, by_kind[n]), wanted).alias(f"p{i}") for i, n in enumerate(names)]
+    sizes = df.selectExpr(*[f"count({value_sql(n, by_kind[n])}) AS c{i}" for i, n in enumerate(names)]).first()
+    wanted = []
+    for i in range(len(names)):
+        for p in probabilities:
+            position = (sizes[i] - 1) * float(p)
+            if position >= 0:
+                wanted.append((i, float(p), int(position), position - int(position)))
+    ranks = df.sparkSession.createDataFrame(
+        wanted, "column_no int, probability double, rank bigint, fraction double"
     )
-    rows = [
-        F.struct(
-            F.lit(n).alias("column_name"),
-            F.lit(p).alias("probability"),
-            F.get(F.col(f"p{i}"), F.lit(j)).alias("quantile"),
-        )
-        for i, n in enumerate(names)
-        for j, p in enumerate(wanted)
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+    counted = values.groupBy("column_no", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    upto = F.sum("cnt").over(Window.partitionBy("column_no").orderBy("value"))
+    # One row per numeric column and probability: the schema bounds this side.
+    near = (
+        counted.withColumn("upto", upto)
+        .join(F.broadcast(ranks), "column_no")
+        .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("cnt") <= F.col("rank") + 1))
+    )
+    return _interpolate(near)
+
+
+def _interpolate(near: DataFrame) -> DataFrame:
+    """The value at a rank and the one after it, from running counts around them."""
+    keys = ["column_no", "probability"]
+    at_rank = F.min(F.when(F.col("upto") > F.col("rank"), F.col("value")))
+    after_rank = F.min(F.when(F.col("upto") > F.col("rank") + 1, F.col("value")))
+    found = near.groupBy(*keys, "fraction").agg(at_rank.alias("a"), after_rank.alias("b"))
+    step = F.when(F.col("fraction") > 0, (F.col("b") - F.col("a")) * F.col("fraction"))
+    return found.select(*keys, (F.col("a") + F.coalesce(step, F.lit(0.0))).alias("quantile"))
 
 
 @dataclass
 class _Bracket:
     """The value range known to hold one wanted rank, and what was measured in it."""
 
-    column: str
+    column: int
     probability: float
     rank: int
     fraction: float
@@ -124,13 +143,13 @@ def _by_narrowing(values: DataFrame, probabilities, limit: int, steps: int) -> D
     spark = values.sparkSession
     brackets = []
     # One row per numeric column comes back.
-    for row in values.groupBy("column_name").agg(*_sketch(F.col("value"), steps)).collect():
+    for row in values.groupBy("column_no").agg(*_sketch(F.col("value"), steps)).collect():
         for p in probabilities:
             position = (row["n"] - 1) * float(p)
             rank = int(position)
             brackets.append(
                 _Bracket(
-                    row["column_name"], float(p), rank, position - rank,
+                    row["column_no"], float(p), rank, position - rank,
                     rows=row["n"], distinct=row["n_distinct"], grid=row["grid"],
                 )
             )
@@ -145,21 +164,21 @@ def _by_narrowing(values: DataFrame, probabilities, limit: int, steps: int) -> D
         # One row per numeric column and probability: the schema bounds this side.
         ranges = spark.createDataFrame(
             [(c, p, b.low, b.high, *new) for (c, p), (b, new) in open_brackets.items()],
-            "column_name string, probability double, low double, high double, "
+            "column_no int, probability double, low double, high double, "
             "new_low double, new_high double",
         )
         inside = F.col("value").between(F.col("new_low"), F.col("new_high"))
         measured = (
-            values.join(F.broadcast(ranges), "column_name")
+            values.join(F.broadcast(ranges), "column_no")
             .where(F.col("value").between(F.col("low"), F.col("high")))
-            .groupBy("column_name", "probability")
+            .groupBy("column_no", "probability")
             .agg(
                 F.count_if(F.col("value") < F.col("new_low")).alias("n_below"),
                 *_sketch(F.when(inside, F.col("value")), steps),
             )
         )
         for row in measured.collect():
-            bracket, (low, high) = open_brackets[row["column_name"], row["probability"]]
+            bracket, (low, high) = open_brackets[row["column_no"], row["probability"]]
             below = bracket.below + row["n_below"]
             holds_ranks = below <= bracket.rank and bracket.last_rank < below + row["n"]
             if (low, high) == (bracket.low, bracket.high):
@@ -177,20 +196,16 @@ def _select_ranks(values: DataFrame, brackets: list[_Bracket]) -> DataFrame:
     """Order the few distinct values of each bracket and read off the two neighbouring ranks."""
     final = values.sparkSession.createDataFrame(
         [(b.column, b.probability, b.low, b.high, b.below, b.rank, b.fraction) for b in brackets],
-        "column_name string, probability double, low double, high double, below bigint, "
+        "column_no int, probability double, low double, high double, below bigint, "
         "rank bigint, fraction double",
     )
-    keys = ["column_name", "probability"]
+    keys = ["column_no", "probability"]
     counted = (
-        values.join(F.broadcast(final.select(*keys, "low", "high")), "column_name")
+        values.join(F.broadcast(final.select(*keys, "low", "high")), "column_no")
         .where(F.col("value").between(F.col("low"), F.col("high")))
         .groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
     upto = F.sum("cnt").over(Window.partitionBy(*keys).orderBy("value")) + F.col("below")
     ranked = counted.join(F.broadcast(final.drop("low", "high")), keys).withColumn("upto", upto)
-    at_rank = F.min(F.when(F.col("upto") > F.col("rank"), F.col("value")))
-    after_rank = F.min(F.when(F.col("upto") > F.col("rank") + 1, F.col("value")))
-    found = ranked.groupBy(*keys, "fraction").agg(at_rank.alias("a"), after_rank.alias("b"))
-    step = F.when(F.col("fraction") > 0, (F.col("b") - F.col("a")) * F.col("fraction"))
-    return found.select(*keys, (F.col("a") + F.coalesce(step, F.lit(0.0))).alias("quantile"))
+    return _interpolate(ranked)

@@ -25,6 +25,7 @@ from tablegauge.operators.findings import (
     ordered_sample,
     row_sample,
 )
+from tablegauge.session import local_rows
 
 # Words a rule may not contain.
 FORBIDDEN_WORDS = (
@@ -145,7 +146,8 @@ class LogicalConsistency(Metric):
                 spark.createDataFrame([], RULE_SCHEMA),
                 no_issues(spark),
             )
-        results = shared.wide.select(F.inline(F.array(*[_rule_row(rule) for rule in rules])))
+        # One row per rule.
+        results = local_rows(shared.wide.select(F.inline(F.array(*[_rule_row(rule) for rule in rules]))))
         score = results.agg(F.coalesce(F.avg("compliance"), F.lit(1.0)).alias("score")).select(
             F.lit(self.metric_id).alias("metric"), "score"
         )

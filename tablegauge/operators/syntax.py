@@ -111,7 +111,8 @@ class SyntacticAccuracy(Metric):
 
     def frames(self, df, shared, params, context) -> MetricFrames:
         threshold = float(params.get("threshold", DEFAULT_THRESHOLD))
-        detected = self.detection(df, shared.wide, params, context)
+        # At most one row per column and format.
+        detected = local_rows(self.detection(df, shared.wide, params, context))
         checks = self._checked(df, shared.wide, params, context).unionByName(
             detected.where("n_qualifying = 1").drop("match_rate", "n_qualifying")
         )

@@ -23,6 +23,7 @@ from tablegauge.operators.findings import (
     ordered_sample,
 )
 from tablegauge.operators.frequency import complete_distinct_counts
+from tablegauge.session import local_rows
 
 DEFAULT_THRESHOLD = 1.0
 
@@ -54,8 +55,9 @@ class Uniqueness(Metric):
 
     def frames(self, df, shared, params, context) -> MetricFrames:
         threshold = params.get("threshold", DEFAULT_THRESHOLD)
-        columns = self._variability(df, shared)
-        rows = shared.rows.select(
+        # One row per column, and one row: score and issues are drawn from them without a scan.
+        columns = local_rows(self._variability(df, shared))
+        rows = local_rows(shared.rows).select(
             "*", F.coalesce(F.try_divide("n_distinct", "n_rows"), F.lit(1.0)).alias("row_uniqueness")
         )
         health = columns.where(F.col("column_type") == "ID").agg(

@@ -55,7 +55,7 @@ def _scored(spark, sf_dir):
 LEVEL_COUNTS = (
     "k AS (SELECT run_id, count(*) FILTER (WHERE level = 'critical') AS n_critical, count(*) FILTER (WHERE level = 'high') AS n_high, "
     "count(*) FILTER (WHERE level = 'medium') AS n_medium, count(*) FILTER (WHERE level = 'low') AS n_low FROM issues GROUP BY 1), "
-    "p AS (SELECT *, n_critical * 0.12 + n_high * 0.05 + n_medium * 0.01 + n_low * 0.003 AS raw, sqrt(greatest(10, run_id % 20) / 10.0) AS scale FROM k), "
+    "p AS (SELECT *, n_critical * CAST(0.12 AS DOUBLE) + n_high * CAST(0.05 AS DOUBLE) + n_medium * CAST(0.01 AS DOUBLE) + n_low * CAST(0.003 AS DOUBLE) AS raw, sqrt(greatest(10, run_id % 20) / 10.0) AS scale FROM k), "
     "q AS (SELECT *, CAST(least(0.97, raw / scale) AS DOUBLE) AS penalty FROM p)"
 )
 

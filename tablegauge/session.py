@@ -13,11 +13,16 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Set when a session is built; it cannot be changed later. Call-site tracking costs several round
+# trips to the JVM per column expression, which shows on plans over many columns.
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def apply_session_settings(spark: SparkSession) -> SparkSession:
     """Set the runtime options the operators rely on; sizes stay the cluster's choice."""
     for key, value in SESSION_SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

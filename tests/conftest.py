@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from tablegauge.session import STATIC_SETTINGS  # noqa: E402
+
 
 def make_session() -> SparkSession:
     spark = (
@@ -17,6 +19,7 @@ def make_session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(map=STATIC_SETTINGS)
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tablegauge-test-"))
         .getOrCreate()
     )

@@ -58,8 +58,8 @@ def difference(query, spark, connection, sf_dir: str) -> str | None:
     query.n_rows = len(ours)
     if ours == theirs:
         return None
-    only_ours = [r for r in ours if r not in set(theirs)][:3]
-    only_theirs = [r for r in theirs if r not in set(ours)][:3]
+    only_ours = sorted(set(ours) - set(theirs))[:3]
+    only_theirs = sorted(set(theirs) - set(ours))[:3]
     return f"{len(ours)} / {len(theirs)} rows\n   spark  {only_ours}\n   duckdb {only_theirs}"
 
 
