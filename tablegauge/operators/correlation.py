@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import col, kinds, number_of, numeric_columns
+from tablegauge.functions.columns import col, kinds, number_of, numeric_columns, value_sql
 from tablegauge.operators.quantiles import ONE_TASK_LIMIT, fits_one_task
 from tablegauge.session import checkpointed
 
@@ -20,10 +20,6 @@ SALTS = 64
 PAIR_SCHEMA = "column_a string, column_b string, coefficient double"
 
 
-def _safe(coefficient: Column) -> Column:
-    return F.when(~F.isnan(coefficient), coefficient)
-
-
 def _pair_rows(wide: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     rows = [
         F.struct(
@@ -34,11 +30,6 @@ def _pair_rows(wide: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
-def _correlate(df: DataFrame, pairs: list[tuple[str, str]], value) -> DataFrame:
-    wide = df.agg(*[_safe(F.corr(value(a), value(b))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return _pair_rows(wide, pairs)
-
-
 def pearson(
     df: DataFrame, columns: list[str] | None = None, sensitive: list[str] | None = None
 ) -> DataFrame:
@@ -48,8 +39,18 @@ def pearson(
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     by_kind = kinds(df)
-    # A null on either side of a pair leaves the row out of that pair only.
-    return _correlate(df, pairs, lambda name: number_of(name, by_kind[name]))
+    number = {name: f"double({value_sql(name, by_kind[name])})" for name in names}
+    # A null on either side leaves the row out of that pair only. `corr` itself fails on a
+    # constant column, so the quotient is taken here.
+    sums = [
+        F.expr(f"regr_{kind}({number[a]}, {number[b]})").alias(f"{kind}{i}")
+        for i, (a, b) in enumerate(pairs)
+        for kind in ("sxy", "sxx", "syy")
+    ]
+    quotients = [
+        f"try_divide(sxy{i}, sqrt(sxx{i}) * sqrt(syy{i})) AS c{i}" for i in range(len(pairs))
+    ]
+    return _pair_rows(df.agg(*sums).selectExpr(*quotients), pairs)
 
 
 def spearman(
@@ -110,7 +111,7 @@ def _rank_and_correlate(numbers: DataFrame, small: bool) -> DataFrame:
     coefficients = []
     for k, (i, j) in enumerate(pairs):
         spread = F.sqrt((F.col(f"s{i}") - centre) * (F.col(f"s{j}") - centre))
-        coefficient = (F.col(f"s{i}_{j}") - centre) / spread
+        coefficient = F.try_divide(F.col(f"s{i}_{j}") - centre, spread)
         coefficients.append(F.when(F.col(f"x{i}") & F.col(f"x{j}"), coefficient).alias(f"c{k}"))
     return _pair_rows(
         ranked.agg(*sums).select(*coefficients), [(names[i], names[j]) for i, j in pairs]

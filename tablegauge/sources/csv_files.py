@@ -12,7 +12,13 @@ from tablegauge.functions.columns import col
 DELIMITERS = ",;\t|"
 HEAD_LINES = 100
 HEAD_CHARACTERS = 8192
-UNREADABLE = "�"
+UNREADABLE = "\ufffd"
+
+# Spark reads Latin-1 but not Windows-1252, which differs in these 32 code points.
+LATIN_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+WINDOWS_LETTERS = "".join(
+    bytes([code]).decode("cp1252", errors="ignore") or chr(code) for code in range(0x80, 0xA0)
+)
 
 # Texts that stand for a missing cell in a CSV file.
 NA_TOKENS = (
@@ -44,7 +50,7 @@ def sniff(spark: SparkSession, path: str) -> dict[str, str]:
     except csv.Error:
         counts = {d: head.splitlines()[0].count(d) for d in DELIMITERS}
         delimiter = max(counts, key=counts.get)
-    return {"sep": delimiter, "encoding": "windows-1252" if UNREADABLE in head else "UTF-8"}
+    return {"sep": delimiter, "encoding": "ISO-8859-1" if UNREADABLE in head else "UTF-8"}
 
 
 def read_csv(
@@ -67,6 +73,14 @@ def read_csv(
         mode="PERMISSIVE",
         nullValue="",
     )
+    if layout["encoding"] != "UTF-8":
+        letters = str.maketrans(LATIN_CONTROLS, WINDOWS_LETTERS)
+        text = text.select(
+            *[
+                F.translate(col(c), LATIN_CONTROLS, WINDOWS_LETTERS).alias(c.translate(letters))
+                for c in text.columns
+            ]
+        )
     return choose_types(text) if typed else blank_to_null(text)
 
 
