@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.operators.lineage import follow_links
@@ -92,27 +92,43 @@ def fixed_fingerprints(issues: DataFrame, baselines: DataFrame) -> DataFrame:
 
 
 def diff_summary(issues: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Per run: baseline, and how many issues are new, recurrent and fixed."""
+    """Per run: baseline, and how many issues are new, recurrent and fixed.
+
+    Fixed issues are counted, not listed: the baseline's distinct fingerprints less those the run
+    still has. Many runs may share one baseline, and no run is paired with all its fingerprints.
+    """
     marked = mark_new_issues(issues, baselines)
     counts = marked.groupBy("run_id").agg(
         F.count_if("is_new").alias("new_issues"), F.count_if(~F.col("is_new")).alias("recurrent_issues")
     )
-    fixed = fixed_fingerprints(issues, baselines).groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("fixed_issues")
+    kept = (
+        marked.where(~F.col("is_new"))
+        .select("run_id", "fingerprint")
+        .distinct()
+        .groupBy("run_id")
+        .agg(F.count(F.lit(1)).alias("n_kept"))
+    )
+    known = (
+        issues.where(F.col("fingerprint").isNotNull() & (F.col("fingerprint") != ""))
+        .select(F.col("run_id").alias("chosen_baseline_id"), "fingerprint")
+        .distinct()
+        .groupBy("chosen_baseline_id")
+        .agg(F.count(F.lit(1)).alias("n_known"))
     )
 
-    def or_zero(name: str):
-        return F.coalesce(name, F.lit(0)).cast("bigint").alias(name)
+    def or_zero(name: str) -> Column:
+        return F.coalesce(name, F.lit(0)).cast("bigint")
 
     return (
         baselines.join(counts, "run_id", "left")
-        .join(fixed, "run_id", "left")
+        .join(kept, "run_id", "left")
+        .join(known, "chosen_baseline_id", "left")
         .select(
             "run_id",
             "chosen_baseline_id",
             F.col("chosen_baseline_id").isNotNull().alias("has_baseline"),
-            or_zero("new_issues"),
-            or_zero("recurrent_issues"),
-            or_zero("fixed_issues"),
+            or_zero("new_issues").alias("new_issues"),
+            or_zero("recurrent_issues").alias("recurrent_issues"),
+            (or_zero("n_known") - or_zero("n_kept")).alias("fixed_issues"),
         )
     )

@@ -59,6 +59,8 @@ class Metric:
     metric_id = ""
     # A metric that only informs adds no issues to a run, so it cannot lower its score.
     informs_only = False
+    # Whether the metric shows the values it counts; else long texts are counted by digest.
+    shows_values = True
 
     def aggregates(self, df: DataFrame, params: dict, context: Context) -> list[Column]:
         return []
@@ -91,7 +93,7 @@ class Shared:
         names = metric.frequency_columns(df, params, context)
         return cls(
             df.agg(row_count(), *metric.aggregates(df, params, context)),
-            value_frequency(df, names) if names else None,
+            value_frequency(df, names, names if metric.shows_values else []) if names else None,
             duplicate_totals(df) if metric.needs_rows() else None,
         )
 

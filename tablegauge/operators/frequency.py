@@ -7,21 +7,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import col, kinds, present, sql_text, value_of, value_sql
+from tablegauge.functions.columns import col, kinds, present, sql_text, value_sql
 from tablegauge.functions.scalars import float_text
 
-# Longest text kept as itself in a row key; longer text is keyed by its SHA-256.
-ROW_KEY_TEXT_LIMIT = 64
+# Longest text kept as itself in a key; longer text is keyed by its SHA-256.
+KEY_TEXT_LIMIT = 64
 
 
-def unpivoted(df: DataFrame, columns: list[str], data_type: str) -> DataFrame:
+def text_key_sql(value: str) -> str:
+    """A text, or the SHA-256 of all of a long one.
+
+    The digest form is longer than the limit, so it cannot meet a short text, and whatever the
+    length of the texts they move through a shuffle at bounded width.
+    """
+    return f"if(length({value}) > {KEY_TEXT_LIMIT}, concat('sha256:', sha2({value}, 256)), {value})"
+
+
+def unpivoted(
+    df: DataFrame, columns: list[str], data_type: str, digested: set[str] = frozenset()
+) -> DataFrame:
     """The named columns as (column_no, value) rows of one type, missing cells dropped.
 
     The number keeps grouping keys short; `with_names` turns it into the name after grouping.
     """
     by_kind = kinds(df)
     cells = [
-        f"struct({i} AS column_no, {_in_type(c, by_kind[c], data_type)} AS value)"
+        f"struct({i} AS column_no, {_in_type(c, by_kind[c], data_type, c in digested)} AS value)"
         for i, c in enumerate(columns)
     ]
     return df.selectExpr(f"inline(array({', '.join(cells)}))").where(F.col("value").isNotNull())
@@ -40,15 +51,22 @@ def with_numbers(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("column_no", F.expr(f"int(array_position({names}, column_name)) - 1"))
 
 
-def _in_type(name: str, kind: str, data_type: str) -> str:
+def _in_type(name: str, kind: str, data_type: str, digested: bool) -> str:
     value = f"{data_type}({value_sql(name, kind)})"
-    # Truth values read True and False, the way class names are written in a configuration.
-    return f"initcap({value})" if kind == "boolean" and data_type == "string" else value
+    if kind == "boolean" and data_type == "string":
+        # Truth values read True and False, the way class names are written in a configuration.
+        return f"initcap({value})"
+    return text_key_sql(value) if kind == "string" and digested else value
 
 
-def value_frequency(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def value_frequency(
+    df: DataFrame, columns: list[str] | None = None, whole_text: list[str] | None = None
+) -> DataFrame:
     """(column_name, value, number, cnt): every distinct value of every column with its count.
 
+    `whole_text` names the columns whose values will be shown; the long texts of other columns
+    are only told apart, by their digest. All texts are kept whole when it is not given.
+
     Columns are unpivoted in their own storage type, so distinct values are counted natively and
     only they, not the rows, are turned into text. Each type group reads only its own columns.
     The counts combine inside each task first, so a frequent value costs no more than a rare one.
@@ -61,12 +79,13 @@ def value_frequency(df: DataFrame, columns: list[str] | None = None) -> DataFram
         "string": [c for c in names if by_kind[c] not in ("integer", "fraction")],
     }
     decimals = [c for c in names if by_kind[c] == "decimal"]
+    digested = set() if whole_text is None else set(names) - set(whole_text)
     parts = []
     for data_type, members in groups.items():
         if not members:
             continue
         counted = with_names(
-            unpivoted(df, members, data_type)
+            unpivoted(df, members, data_type, digested)
             .groupBy("column_no", "value")
             .agg(F.count(F.lit(1)).alias("cnt")),
             members,
@@ -115,19 +134,13 @@ def top_values(frequency: DataFrame, k: int) -> DataFrame:
 
 
 def row_key(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
-    """Grouping columns that stand for a whole row.
-
-    Text beyond the limit is replaced by a SHA-256 of all of it. The digest form is longer than
-    the limit, so it cannot meet a short text; rows move through the shuffle at bounded width.
-    """
+    """Grouping columns that stand for a whole row, long texts by their digest."""
     by_kind = kinds(df)
     keys = []
     for name in present(df, columns):
-        value = value_of(name, by_kind[name])
-        if by_kind[name] == "string":
-            digest = F.concat(F.lit("sha256:"), F.sha2(value, 256))
-            value = F.when(F.length(value) > ROW_KEY_TEXT_LIMIT, digest).otherwise(value)
-        keys.append(value.alias(name))
+        value = value_sql(name, by_kind[name])
+        key = text_key_sql(value) if by_kind[name] == "string" else value
+        keys.append(F.expr(key).alias(name))
     return keys
 
 

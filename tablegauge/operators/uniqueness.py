@@ -40,6 +40,7 @@ class Uniqueness(Metric):
     """params: columns expected to be unique, threshold."""
 
     metric_id = "uniqueness"
+    shows_values = False
 
     def _names(self, df):
         return [c for c, kind in kinds(df).items() if kind != "nested"]

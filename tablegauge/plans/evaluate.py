@@ -132,12 +132,17 @@ def evaluate(df: DataFrame, config: dict, context: EvaluationContext | None = No
         else:
             functions.append((entry["id"], metric, params))
 
-    aggregates, counted = [F.struct(*wide_aggregates(_flat(df), kinds(df), NULLS)).alias("base")], set()
+    aggregates = [F.struct(*wide_aggregates(_flat(df), kinds(df), NULLS)).alias("base")]
+    counted: set[str] = set()
+    shown: set[str] = set()
     needs_rows = False
     for metric_id, metric, params in list(chosen):
         try:
             own = metric.aggregates(df, params, context)
-            counted.update(metric.frequency_columns(df, params, context))
+            names = metric.frequency_columns(df, params, context)
+            counted.update(names)
+            if metric.shows_values:
+                shown.update(names)
             needs_rows = needs_rows or metric.needs_rows()
             if own:
                 aggregates.append(F.struct(*own).alias(metric_id))
@@ -155,7 +160,7 @@ def evaluate(df: DataFrame, config: dict, context: EvaluationContext | None = No
     counted.update(integers)
     if cleaned is df:
         counted.update(c for c in profiled if c in _flat(df))
-    frequency = value_frequency(df, [c for c in df.columns if c in counted]).persist()
+    frequency = value_frequency(df, [c for c in df.columns if c in counted], list(shown)).persist()
     rows = local_rows(duplicate_totals(df)) if needs_rows else None
 
     scores, issues, details = [], [], {}
@@ -182,7 +187,7 @@ def evaluate(df: DataFrame, config: dict, context: EvaluationContext | None = No
             details[metric_id] = frames.columns
         base = to_long(wide.select("n_rows", "base.*"), _flat(df), kinds(df), NULLS, ["n_rows"])
         late = local_rows(numeric_code_issues(df, frequency, base)) if scores else no_issues(spark)
-        own_counts = frequency if cleaned is df else value_frequency(cleaned, profiled)
+        own_counts = frequency if cleaned is df else value_frequency(cleaned, profiled, [])
         column_metrics = local_rows(
             run_column_metrics(cleaned, own_counts.where(F.col("column_name").isin(*profiled)), profiled)
         )

@@ -43,7 +43,8 @@ def profile(
     sensitive = sensitive or []
     open_columns = [c for c, k in kinds(df).items() if k != "nested" and c not in sensitive]
     visible = df.select(*[df[f"`{c}`"] for c in open_columns])
-    frequency = value_frequency(df).persist()
+    # Sensitive columns are only counted, so their long texts need not be carried.
+    frequency = value_frequency(df, None, open_columns).persist()
     types = profiling.column_types(df, frequency)
     return Profile(
         overview=profiling.overview(df, size_bytes),

@@ -33,7 +33,7 @@ PART_NUMERIC = ["p_partkey", "p_size", "p_retailprice"]
 
 def upload_schema(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    schema = profiling.upload_schema(part, value_frequency(part))
+    schema = profiling.upload_schema(part, value_frequency(part, whole_text=[]))
     return rounded(schema, "mean", "median", "std").drop("kind", "position")
 
 
@@ -202,7 +202,7 @@ def bar_charts(spark, sf_dir):
 
 def type_summary(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return profiling.type_summary(profiling.column_types(part, value_frequency(part)))
+    return profiling.type_summary(profiling.column_types(part, value_frequency(part, whole_text=[])))
 
 
 TYPE_SUMMARY_SQL = (
@@ -290,7 +290,7 @@ DIRTY_NUMERIC = ["o_orderkey", "o_custkey", "o_totalprice"]
 
 def run_column_metrics(spark, sf_dir):
     orders = view(spark, sf_dir, "dirty_orders").select(*DIRTY)
-    metrics = profiling.run_column_metrics(orders, value_frequency(orders))
+    metrics = profiling.run_column_metrics(orders, value_frequency(orders, whole_text=[]))
     return rounded(metrics, "completeness", "uniqueness", "mean", "median", "std").drop("kind")
 
 

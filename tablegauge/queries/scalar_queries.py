@@ -50,7 +50,7 @@ PART_KINDS = {
 
 def profile_types(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    types = column_types(part, value_frequency(part))
+    types = column_types(part, value_frequency(part, whole_text=[]))
     return types.select("column_name", "n_unique", "n_missing", "category", "sub_type")
 
 
