@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,13 +73,15 @@ class Completeness(Metric):
         )
 
     def _dataset_issue(self, df, long, params, threshold: float) -> DataFrame:
-        above = F.try_divide("n_missing", "n_rows") > F.lit(1 - threshold)
-        summary = long.agg(
-            F.avg("completeness").alias("score"),
-            F.array_join(F.sort_array(F.collect_list(F.when(above, F.col("column_name")))), ",").alias(
-                "problem_columns"
-            ),
-        ).where(F.col("score") < threshold)
+        score = long.agg(F.avg("completeness")).first()[0]
+        if score is None or score >= threshold:
+            return no_issues(df.sparkSession)
+        rate = F.try_divide("n_missing", "n_rows")
+        problem = [
+            row["column_name"]
+            for row in long.where(rate > F.lit(1 - threshold)).orderBy("column_name").collect()
+        ]
+        summary = self._rows_missing(df, problem, params).withColumn("score", F.lit(score))
         share = percent_text(F.col("score"))
         return issues_of(
             summary,
@@ -88,19 +92,13 @@ class Completeness(Metric):
             rule_key="completeness_column_check",
             description=F.concat(F.lit("Low completeness of the dataset: "), share),
             actual_value=share,
-            affected_row_count=self._rows_missing(df, long.where(above), params).scalar(),
-            details=details(problem_columns=F.col("problem_columns")),
+            affected_row_count=F.col("n_missing"),
+            details=details(problem_columns=",".join(problem)),
             fingerprint=column_fingerprint("completeness", WHOLE_DATASET, threshold),
         )
 
-    def _rows_missing(self, df: DataFrame, problem: DataFrame, params: dict) -> DataFrame:
-        """One row: how many rows miss a value in a problem column.
-
-        The problem columns are a subquery of at most one value per column, so the rows are read
-        once and joined to nothing.
-        """
-        missing = F.array_compact(
-            F.array(*[F.when(v.isNull(), F.lit(name)) for name, v in self._cells(df, params).items()])
-        )
-        names = problem.agg(F.collect_list("column_name")).scalar()
-        return df.select(missing.alias("missing")).agg(F.count_if(F.arrays_overlap("missing", names)))
+    def _rows_missing(self, df: DataFrame, problem: list[str], params: dict) -> DataFrame:
+        """One row: how many rows miss a value in a problem column; reads only those columns."""
+        values = self._cells(df, params)
+        missing = reduce(lambda a, b: a | b, [values[name].isNull() for name in problem], F.lit(False))
+        return df.agg(F.count_if(missing).alias("n_missing"))

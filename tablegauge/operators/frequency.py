@@ -52,7 +52,7 @@ def with_numbers(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _in_type(name: str, kind: str, data_type: str, digested: bool) -> str:
-    value = f"{data_type}({value_sql(name, kind)})"
+    value = f"CAST({value_sql(name, kind)} AS {data_type})"
     if kind == "boolean" and data_type == "string":
         # Truth values read True and False, the way class names are written in a configuration.
         return f"initcap({value})"
@@ -73,17 +73,14 @@ def value_frequency(
     """
     by_kind = kinds(df)
     names = [c for c in present(df, columns) if by_kind[c] != "nested"]
-    groups = {
-        "bigint": [c for c in names if by_kind[c] == "integer"],
-        "double": [c for c in names if by_kind[c] == "fraction"],
-        "string": [c for c in names if by_kind[c] not in ("integer", "fraction")],
-    }
+    groups: dict[str, list[str]] = {}
+    for name in names:
+        native = {"integer": "bigint", "fraction": "double", "time": df.schema[name].dataType.simpleString()}
+        groups.setdefault(native.get(by_kind[name], "string"), []).append(name)
     decimals = [c for c in names if by_kind[c] == "decimal"]
     digested = set() if whole_text is None else set(names) - set(whole_text)
     parts = []
     for data_type, members in groups.items():
-        if not members:
-            continue
         counted = with_names(
             unpivoted(df, members, data_type, digested)
             .groupBy("column_no", "value")
@@ -95,6 +92,8 @@ def value_frequency(
             text, number = float_text(value), value
         elif data_type == "bigint":
             text, number = value.cast("string"), value.cast("double")
+        elif data_type != "string":
+            text, number = value.cast("string"), F.lit(None).cast("double")
         else:
             text = value
             number = F.when(F.col("column_name").isin(*decimals), value.try_cast("double"))

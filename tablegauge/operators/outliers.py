@@ -83,7 +83,9 @@ class Outliers(Metric):
 
     def samples(self, df, bounds, params, context, k: int = SAMPLE_ROWS) -> DataFrame:
         """(column_name, position, value): the first k outliers of each column in id order."""
-        names = numeric_columns(df, params.get("columns"))
+        names = [c for c in params["columns"] if c in numeric_columns(df)]
+        if not names:
+            return df.sparkSession.createDataFrame([], "column_name string, position int, value double")
         by_kind = kinds(df)
         cells = F.array(
             *[
@@ -105,12 +107,14 @@ class Outliers(Metric):
     def frames(self, df, shared, params, context) -> MetricFrames:
         method, factor = params.get("method", "iqr"), params.get("factor", DEFAULT_FACTOR)
         bounds = local_rows(self.bounds(df, shared, params))
-        columns = self.counts(df, bounds, params)
+        # One row per numeric column.
+        columns = local_rows(self.counts(df, bounds, params))
         sensitive = F.col("column_name").isin(*context.sensitive) if context.sensitive else F.lit(False)
         hidden = sensitive & (F.col("outlier_count") > 0)
         for name in STATISTICS:
             columns = columns.withColumn(name, F.when(~hidden, col(name)))
-        ranked = self.samples(df, bounds, params, context)
+        with_outliers = [row["column_name"] for row in columns.where("outlier_count > 0").collect()]
+        ranked = self.samples(df, bounds, {**params, "columns": with_outliers}, context)
         texts = ranked.groupBy("column_name").agg(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("position", "value"))),

@@ -151,8 +151,10 @@ class LogicalConsistency(Metric):
         score = results.agg(F.coalesce(F.avg("compliance"), F.lit(1.0)).alias("score")).select(
             F.lit(self.metric_id).alias("metric"), "score"
         )
-        samples = violation_samples(df, rules, context)
-        violated = results.where("n_violations > 0").join(F.broadcast(samples), "rule_index", "left")
+        violated = results.where("n_violations > 0")
+        broken = {row["rule_index"] for row in violated.collect()}
+        samples = violation_samples(df, [rule for rule in rules if rule.index in broken], context)
+        violated = violated.join(F.broadcast(samples), "rule_index", "left")
         share = percent_text(F.col("compliance"))
         issues = issues_of(
             violated,

@@ -124,10 +124,9 @@ class SyntacticAccuracy(Metric):
             (F.col("n_conforming") / F.col("n_checked")).alias("conformance"),
         )
         score = score_frame(columns, self.metric_id, F.coalesce(F.avg("conformance"), F.lit(1.0)))
-        samples = self.invalid_samples(df, checks, context)
-        failing = columns.where(F.col("conformance") < threshold).join(
-            F.broadcast(samples), "column_name", "left"
-        )
+        failing = columns.where(F.col("conformance") < threshold)
+        samples = self.invalid_samples(df, failing, context)
+        failing = failing.join(F.broadcast(samples), "column_name", "left")
         share = percent_text(F.col("conformance"))
         issues = issues_of(
             failing,
