@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,11 +88,6 @@ def number_of(name: str, kind: str) -> Column:
     return F.expr(f"double({value_sql(name, kind)})")
 
 
-def is_id_name(name: str) -> bool:
-    lowered = name.lower()
-    return any(re.search(pattern, lowered) for pattern in ID_NAME_PATTERNS)
-
-
 def semantic_type(column_name: Column, kind: Column, distinct: Column) -> Column:
     """ID by name, categorical when non-numeric and few values, else numeric or text."""
     numeric = kind.isin("integer", "fraction", "decimal", "boolean")

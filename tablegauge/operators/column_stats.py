@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import (
     is_numeric_kind,
-    kind_of,
     kinds,
     present,
     sql_name,
@@ -120,7 +119,3 @@ def shape(df: DataFrame, columns: list[str], stats: DataFrame) -> DataFrame:
 
 def storage_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
-
-
-def has_nested(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if kind_of(f.dataType) == "nested"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import col, present
+from tablegauge.functions.columns import present
 from tablegauge.operators.findings import SAMPLE_ROWS, first_rows_per_group, order_columns, row_sample
 from tablegauge.operators.frequency import row_key
 

@@ -9,7 +9,9 @@ from tablegauge import EvaluationContext, compare_runs, compare_versions, evalua
 from tablegauge.operators.diff import choose_baselines, diff_summary
 from tablegauge.operators.drilldown import page, search, violations
 from tablegauge.operators.findings import MetricFrames, fixed_score, no_issues
-from tablegauge.operators.versions import add_version, version_facts, with_root
+from tablegauge.operators.column_stats import column_stats
+from tablegauge.operators.profiling import worst_first
+from tablegauge.operators.versions import add_version, next_versions, version_facts, with_root
 from tablegauge.plans.evaluate import check_config, referenced_columns
 from tablegauge.sources.csv_files import choose_types, read_csv, sniff, type_choices
 from tablegauge.sources.sinks import append_run, stored_issues
@@ -146,6 +148,7 @@ def test_versions(stored):
     facts = {r["dataset_id"]: r for r in version_facts(rooted).collect()}
     assert facts[3]["root_id"] == 1 and facts[3]["version_count"] == 3 and facts[3]["previous_id"] == 2
     assert facts[1]["next_count"] == 1 and facts[1]["is_root"]
+    assert [r["dataset_id"] for r in next_versions(stored[0], 1).collect()] == [2]
     after = add_version(rooted, 3, 9)
     chain = {r["dataset_id"]: r for r in after.where("root_id = 1").collect()}
     assert chain[9]["version"] == 4 and [k for k, r in chain.items() if r["is_latest"]] == [9]
@@ -259,6 +262,11 @@ def test_type_choices(spark):
     assert choose_types(text).where("i IS NULL").count() == 1
 
 
+def test_worst_columns_come_first(people):
+    rows = worst_first(column_stats(people), "completeness").collect()
+    assert rows[0]["column_name"] == "grade" and rows[0]["n_missing"] == 8
+
+
 def test_listing_and_preview(spark):
     df = spark.createDataFrame([(1, float("nan")), (2, 1.0)], "id int, x double")
     listed = {r["name"]: (r["type"], r["nullable"]) for r in schema_listing(df).collect()}
