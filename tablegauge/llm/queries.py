@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablegauge.llm.common import read_table
+from tablegauge.llm.fingerprints import FINGERPRINT_SQL, edited_fingerprints
+from tablegauge.llm.line_dedup import line_dedup_sql, remove_boilerplate
 from tablegauge.llm.packing import pack_documents
 from tablegauge.llm.token_counts import token_counts
 from tablegauge.llm.token_files import new_store, read_store, write_store
@@ -32,10 +34,23 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, vocabulary_path(BYTE_VOCABULARY), limit=1024)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_boilerplate(read_table(spark, sf_dir, "documents"))
+
+
+def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
     "op3_token_counts": op3_token_counts,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_imatch_fingerprints": op6_imatch_fingerprints,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_line_dedup": line_dedup_sql(),
+    "op6_imatch_fingerprints": FINGERPRINT_SQL,
+}
