@@ -5,17 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablegauge.llm.chat import format_windows, read_windows, write_windows
 from tablegauge.llm.common import read_table
 from tablegauge.llm.fingerprints import FINGERPRINT_SQL, edited_fingerprints
 from tablegauge.llm.line_dedup import line_dedup_sql, remove_boilerplate
+from tablegauge.llm.mixing import mix
+from tablegauge.llm.ngram_join import ngram_join
+from tablegauge.llm.ordinal import grade_documents, graded_labels, train
 from tablegauge.llm.packing import pack_documents
 from tablegauge.llm.token_counts import token_counts
 from tablegauge.llm.token_files import new_store, read_store, write_store
 from tablegauge.llm.tokens import vocabulary_path
+from tablegauge.llm.topk import integer_vectors, top_inner_products, top_inner_products_sql
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+#: A document is kept if its chance of the highest grade is this or more.
+KEEP_CHANCE = 0.5
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +42,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, vocabulary_path(BYTE_VOCABULARY), limit=1024)
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], said.schema)
+    windows = format_windows(said.unionByName(added), vocabulary_path(WORD_VOCABULARY))
+    return read_windows(write_windows(windows))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_boilerplate(read_table(spark, sf_dir, "documents"))
 
@@ -42,15 +58,42 @@ def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = integer_vectors(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_inner_products(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "mix_phase", "mix_slot", "mix_place")
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "links")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = train(graded_labels(docs, read_table(spark, sf_dir, "labels")), n_grades=3)
+    graded = grade_documents(docs, model)
+    return graded.select("doc_id", "expected_grade", "top_chance", (F.col("top_chance") >= KEEP_CHANCE).alias("keep"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
     "op3_token_counts": op3_token_counts,
+    "op4_chat_windows": op4_chat_windows,
     "op5_line_dedup": op5_line_dedup,
     "op6_imatch_fingerprints": op6_imatch_fingerprints,
+    "op7_exact_top_k": op7_exact_top_k,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_ngram_join": op9_ngram_join,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup_sql(),
     "op6_imatch_fingerprints": FINGERPRINT_SQL,
+    "op7_exact_top_k": top_inner_products_sql(5, 50),
 }
