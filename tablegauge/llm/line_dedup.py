@@ -44,13 +44,13 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return counted.where(F.coalesce("exact", "sites") >= min_sites).select("line_a", "line_b", "first")
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """`docs` with all its columns and rows, `text` without repeated boilerplate lines, plus `lines_removed`.
+def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, count: str = "lines_removed") -> DataFrame:
+    """`docs` with all its columns and rows, `text` without repeated boilerplate lines, plus their number as `count`.
 
     Lines are split at line feeds and compared as they are; blank lines are never boilerplate. A null
     site is one site. A null text stays null, a text of which every line goes becomes empty. Rows equal
     in id and text are one document: what is removed from one is removed from the other. A column
-    of the input called `lines_removed` is replaced.
+    of the input called as `count` says is replaced.
     """
     keyed = docs.withColumn("__key", row_key("doc_id", "text"))
     lines = (
@@ -71,11 +71,11 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     parts = F.split("text", "\n")
     left = F.filter(parts, lambda _, i: ~F.array_contains(F.col("__gone"), i))
     cleaned = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    names = [c for c in docs.columns if c != "lines_removed"]
+    names = [c for c in docs.columns if c != count]
     return (
         keyed.join(hits.withColumnRenamed("key", "__key"), "__key", "left")
         .withColumn("text", cleaned)
-        .select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("lines_removed"))
+        .select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(count))
     )
 
 

@@ -91,15 +91,15 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[Phase]:
     return out
 
 
-def mix(docs: DataFrame, targets: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, prefix: str = "mix_") -> DataFrame:
     """`docs` with all rows and columns, plus `mix_phase`, `mix_slot` and `mix_place` (within the block).
 
     `targets` gives positive weights by source, `None` as a key those of null sources. Sources it does
     not name share one weight, the mean of the others. The rows of a source are taken in the order of
     a hash of id and text; repeated rows may swap places. Only a source's last block may be short. An
-    empty table gives an empty result; columns of the same names are replaced.
+    empty table gives an empty result. `prefix` renames the new columns; columns of their names are replaced.
     """
-    names = [c for c in docs.columns if c not in ("mix_phase", "mix_slot", "mix_place")]
+    names = [c for c in docs.columns if c not in (f"{prefix}phase", f"{prefix}slot", f"{prefix}place")]
     label = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], label.alias("__label"))
     largest = keyed.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(MOST_SOURCES).collect()
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, block_rows: in
     spark = docs.sparkSession
     table = spark.createDataFrame(
         [(p.phase, p.source, p.low, p.high, p.start, p.period, p.slots) for p in plan],
-        "mix_phase int, __source string, __low long, __high long, __start long, __period long, __slots array<int>",
+        "__phase int, __source string, __low long, __high long, __start long, __period long, __slots array<int>",
     )
     index = F.col("__block") - F.col("__low")
     slot = F.col("__start") + F.floor(index / F.size("__slots")) * F.col("__period")
@@ -140,8 +140,8 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, block_rows: in
         .where("__block >= __low AND __block < __high")
         .select(
             *[F.col(f"`{c}`") for c in names],
-            "mix_phase",
-            slot.cast("long").alias("mix_slot"),
-            (F.col("__row") % block_rows).cast("int").alias("mix_place"),
+            F.col("__phase").alias(f"{prefix}phase"),
+            slot.cast("long").alias(f"{prefix}slot"),
+            (F.col("__row") % block_rows).cast("int").alias(f"{prefix}place"),
         )
     )

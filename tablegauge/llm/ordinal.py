@@ -15,8 +15,9 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_FEATURES = 1 << 18
@@ -168,24 +169,29 @@ def train(labelled: DataFrame, n_grades: int) -> OrdinalModel:
     return OrdinalModel(np.frombuffer(bytes(fitted.weights), dtype=np.float32), np.frombuffer(bytes(fitted.thresholds)))
 
 
-def grade_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """`docs` with all rows and columns plus `expected_grade` and `top_chance` (of the highest grade).
-
-    A null or empty text is graded by the constant. Columns of the same names are replaced.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def grade_column(spark: SparkSession, model: OrdinalModel, text: Column) -> Column:
+    """`expected_grade` and `top_chance` (of the highest grade) of a text, as a struct; a null text is graded by the constant."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<expected_grade: double, top_chance: double>")
-    def grade(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    def grade(texts: pd.Series) -> pd.DataFrame:
         model = shared.value
         tails = model.tails(np.array([model.score(t) for t in texts]))
         return pd.DataFrame({"expected_grade": tails.sum(axis=1), "top_chance": tails[:, -1]})
 
-    names = [c for c in docs.columns if c not in ("expected_grade", "top_chance")]
-    graded = docs.select(*[F.col(f"`{c}`") for c in names], grade("text").alias("__grade"))
-    return graded.select(*[F.col(f"`{c}`") for c in names], "__grade.expected_grade", "__grade.top_chance")
+    return grade(text)
+
+
+def grade_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+    """`docs` with all rows and columns plus `expected_grade` and `top_chance`; columns of these names are replaced."""
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("expected_grade", "top_chance")]
+    graded = docs.select(*names, grade_column(docs.sparkSession, model, F.col("text")).alias("__grade"))
+    return graded.select(*names, "__grade.expected_grade", "__grade.top_chance")
+
+
+def select_documents(docs: DataFrame, model: OrdinalModel, chance: float) -> DataFrame:
+    """The rows of `docs`, as they are, whose chance of the highest grade is `chance` or more."""
+    return docs.where(grade_column(docs.sparkSession, model, F.col("text"))["top_chance"] >= chance)
 
 
 def graded_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
