@@ -29,7 +29,7 @@ HISTORY_TOKENS = 256
 #: A conversation of more turns is dealt to several tasks, so many turn numbers to each; windows
 #: and their history do not reach over that border, the system turn does.
 SEGMENT_TURNS = 4096
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE = 2048
 
 TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
 #: Control strings of common chat templates; none of them appears in a formatted text
@@ -172,7 +172,7 @@ def format_windows(turns: DataFrame, vocabulary: str, budget: int = BUDGET_TOKEN
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(low, ROWS_AT_ONCE).to_pylist()
                 formatted = [made(r["role"], r["text"]) for r in rows]
-                sizes = [len(x) // 4 for x in _encoder(vocabulary).encode([t for t, _ in formatted])]
+                sizes = [len(x) // 4 for x in _encoder(vocabulary).encode(pa.array([t for t, _ in formatted], pa.string()))]
                 for r, (text, target), tokens in zip(rows, formatted, sizes, strict=True):
                     turn, segment = _Turn(text, tokens, target), (r["conv_id"], r["segment"])
                     if at is None or at.segment != segment:
@@ -181,7 +181,7 @@ def format_windows(turns: DataFrame, vocabulary: str, budget: int = BUDGET_TOKEN
                         at = _Open(segment, budget, history)
                         if r["system"] is not None and not r["is_system"]:  # a later segment of its conversation
                             system = format_turn("system", r["system"])
-                            size = len(_encoder(vocabulary).encode([system])[0]) // 4
+                            size = len(_encoder(vocabulary).encode(pa.array([system]))[0]) // 4
                             at.system = _Turn(system, size, None)
                             at.repeated = [at.system] if size <= budget // 2 else []
                         elif r["is_system"]:

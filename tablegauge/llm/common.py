@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.session import apply_session_settings, checkpointed
 
-__all__ = ["apply_session_settings", "arrow_map", "checkpointed", "id_bounds", "bound_bucket", "read_table", "row_key"]
+__all__ = ["apply_session_settings", "bound_bucket", "checkpointed", "id_bounds", "read_table", "row_key", "slices"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,8 @@ def bound_bucket(column: str, bounds: list[int]) -> Column:
     return F.when(F.col(column).isNull(), F.lit(0)).otherwise(found)
 
 
-def arrow_map(
-    df: DataFrame, rows: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(rows, schema)
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that what is made of a part at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.llm.common import checkpointed
+from tablegauge.llm.common import checkpointed, slices
 from tablegauge.llm.tokens import WordEncoder
 
 SEQUENCE_TOKENS = 2048
@@ -43,12 +43,9 @@ def document_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int = S
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            encoded = _encoder(vocabulary).encode(batch.column(1).to_pylist())
+        for batch in slices(batches):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoded):
-                ids += end
+            for i, ids in enumerate(_encoder(vocabulary).encode(batch.column(1), end_id)):
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     row.append(i)

@@ -3,33 +3,35 @@
 Documents are taken in chunks. A chunk turns into one row per distinct pre-token, with the
 documents that hold it and how often. The rows are shuffled by pre-token and sorted, so each distinct
 pre-token is encoded once where its rows meet; that count times the frequency, summed per document, is
-its number of tokens. What is shuffled twice is the frequencies, three bytes an entry; the texts are not.
+its number of tokens. What is shuffled is the frequencies, three bytes an entry, and the sums; the texts are not.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.llm.tokens import PreTokenizer
 
-CHUNK_DOCUMENTS = 1024
-CHUNK_CHARACTERS = 4_000_000
-#: A pre-token in one of so many documents of a chunk is spread over SPREAD tasks by chunk, each of
-#: which encodes it once. There are at most FREQUENT times the mean distinct pre-tokens of a text.
+CHUNK_DOCUMENTS = 4096
+CHUNK_CHARACTERS = 16_000_000
+#: A pre-token in one of FREQUENT documents of a chunk is spread over SPREAD tasks by chunk, each of which
+#: encodes it once. There are at most FREQUENT times as many as a text has distinct pre-tokens on average.
 FREQUENT = 16
 SPREAD = 61
-ENCODED_AT_ONCE = 4096
-HELD_CHUNKS = 512
+HELD_CHUNKS = 256
 
-_ROWS = "pre_token string, salt int, chunk long, docs binary, counts binary, sizes binary"
-_SUMS = "chunk long, docs binary, counts binary, sizes binary"
+ENTRY = np.dtype([("doc", "<u2"), ("count", "u1")])
+DOCUMENT = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("n_bytes", "<i8"), ("special", "<i8")])
+
+_ROWS = "pre_token string, chunk long, entries binary"
 
 
 @cache
@@ -37,107 +39,90 @@ def _pre_tokenizer(path: str) -> PreTokenizer:
     return PreTokenizer(path)
 
 
-def _frequency_rows(vocabulary: str) -> object:
-    schema = pa.schema(
-        [("pre_token", pa.string()), ("salt", pa.int32()), ("chunk", pa.int64())]
-        + [(n, pa.binary()) for n in ("docs", "counts", "sizes")]
-    )
+def _bytes_of(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array of consecutive stretches of `values`."""
+    offsets = np.concatenate([[0], ends * values.dtype.itemsize]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
-    def chunk_rows(number: int, held: list[tuple[int | None, str]]) -> pa.RecordBatch:
-        parter = _pre_tokenizer(vocabulary)
-        places: dict[str, int] = {}
-        token, doc, count, fixed = [], [], [], []
-        for i, (_, text) in enumerate(held):
-            found, special = parter.frequencies(text)
-            fixed.append(special)
-            for t, n in found.items():
-                place = places.setdefault(t, len(places))
-                while n > 0:  # a count has one byte; a larger one takes several entries
-                    token.append(place)
-                    doc.append(i)
-                    count.append(min(n, 255))
-                    n -= 255
-        token, doc, count = np.array(token, dtype=np.int64), np.array(doc, dtype="<u2"), np.array(count, dtype="u1")
+
+def _frequency_rows(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def chunk_rows(number: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        names, token, owner, often, special = _pre_tokenizer(vocabulary).frequencies(texts)
+        # a count has one byte; a larger one takes several entries
+        times = -(-often // 255)
+        token, owner = np.repeat(token, times), np.repeat(owner, times)
+        count = np.full(len(token), 255, dtype=np.int64)
+        last = np.cumsum(times) - 1
+        count[last] = often - 255 * (times - 1)
         order = np.argsort(token, kind="stable")
-        docs, counts = doc[order].tobytes(), count[order].tobytes()
-        ends = np.cumsum(np.bincount(token, minlength=len(places))).astype(int).tolist()
-        starts = [0, *ends[:-1]] if ends else []
-        salt = [number % SPREAD if FREQUENT * (e - s) >= len(held) else 0 for s, e in zip(starts, ends, strict=True)]
-        ids = np.array([0 if d is None else d for d, _ in held], dtype="<i8")
-        none = np.array([d is None for d, _ in held], dtype="u1")
-        sizes = np.array([len(t.encode()) for _, t in held], dtype="<i8")
-        size = len(places)
-        # the last row has no pre-token: ids, which of them are null, bytes and special strings
-        columns = [
-            [*places, None],
-            [*salt, number % SPREAD],
-            [number] * (size + 1),
-            [docs[2 * s : 2 * e] for s, e in zip(starts, ends, strict=True)] + [ids.tobytes()],
-            [counts[s:e] for s, e in zip(starts, ends, strict=True)] + [none.tobytes()],
-            [None] * size + [np.concatenate([sizes, np.array(fixed, dtype="<i8")]).tobytes()],
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        entries = np.empty(len(token), dtype=ENTRY)
+        entries["doc"], entries["count"] = owner[order], count[order]
+        ends = np.cumsum(np.bincount(token, minlength=len(names))).astype(np.int64)
+        head = np.zeros(len(texts), dtype=DOCUMENT)
+        head["doc_id"], head["is_null"] = pc.fill_null(ids, 0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+        head["n_bytes"], head["special"] = pc.fill_null(pc.binary_length(texts), 0).to_numpy(), special
+        binary = pa.concat_arrays([_bytes_of(entries, ends), pa.array([head.tobytes()], pa.binary())])
+        chunk = pa.array(np.full(len(names) + 1, number, dtype=np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([*names, None], pa.string()), chunk, binary], names=["pre_token", "chunk", "entries"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple[int | None, str]] = []
-        characters = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((doc_id, text or ""))
-                characters += len(text or "")
-                if len(held) == CHUNK_DOCUMENTS or characters >= CHUNK_CHARACTERS:
-                    yield chunk_rows(number, held)
-                    number, held, characters = number + 1, [], 0
-        if held:
-            yield chunk_rows(number, held)
+            ids, texts = batch.columns
+            size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+            at = 0
+            while at < len(ids):
+                room = CHUNK_CHARACTERS + (size[at - 1] if at else 0)
+                end = min(max(at + 1, int(np.searchsorted(size, room, side="right"))), at + CHUNK_DOCUMENTS)
+                yield chunk_rows(number, ids[at:end], texts[at:end])
+                number, at = number + 1, end
 
     return rows
 
 
-def _count_pieces(vocabulary: str) -> object:
-    """Rows sorted by pre-token in, partial sums per chunk out."""
+def _count_pieces(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by pre-token in; sums per chunk, and the chunks' lists of documents, out."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        last, last_pieces = None, 0
+        last: tuple[str | None, int] = (None, 0)
 
         def flush() -> pa.RecordBatch:
-            chunks, docs, counts = [], [], []
-            for chunk, total in held.items():
-                found = np.flatnonzero(total)
-                chunks.append(chunk)
-                docs.append(found.astype("<u2").tobytes())
-                counts.append(total[found].astype("<i8").tobytes())
+            rows = pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary()), pa.array([False] * len(held))],
+                names=["chunk", "entries", "is_head"],
+            )
             held.clear()
-            arrays = [pa.array(chunks, pa.int64()), pa.array(docs, pa.binary()), pa.array(counts, pa.binary()), pa.nulls(len(chunks), pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names=["chunk", "docs", "counts", "sizes"])
+            return rows
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ENCODED_AT_ONCE):
-                part = batch.slice(at, ENCODED_AT_ONCE)
-                tokens, _, chunks, docs, counts, _ = (c.to_pylist() for c in part.columns)
-                new = [t for t in dict.fromkeys(tokens) if t is not None and t != last]
-                pieces = dict(zip(new, _pre_tokenizer(vocabulary).pieces(new), strict=True))
-                if last is not None:
-                    pieces[last] = last_pieces
-                for t, chunk, d, n in zip(tokens, chunks, docs, counts, strict=True):
-                    if t is None:
-                        continue
-                    if chunk not in held:
-                        if len(held) == HELD_CHUNKS:
-                            yield flush()
-                        held[chunk] = np.zeros(CHUNK_DOCUMENTS, dtype=np.int64)
-                    places = np.frombuffer(d, dtype="<u2")
-                    if len(places) == 1:
-                        held[chunk][places[0]] += pieces[t] * n[0]
-                    else:
-                        np.add.at(held[chunk], places, np.frombuffer(n, dtype="u1").astype(np.int64) * pieces[t])
-                if tokens[-1] is not None:
-                    last, last_pieces = tokens[-1], pieces[tokens[-1]]
-                heads = part.filter(part.column(0).is_null())
-                if heads.num_rows:
-                    yield pa.RecordBatch.from_arrays(heads.columns[2:], names=["chunk", "docs", "counts", "sizes"])
+            heads = batch.filter(batch.column(0).is_null())
+            if heads.num_rows:
+                yield pa.RecordBatch.from_arrays([*heads.columns[1:], pa.array([True] * heads.num_rows)], names=["chunk", "entries", "is_head"])
+                batch = batch.filter(batch.column(0).is_valid())
+            if not batch.num_rows:
+                continue
+            tokens = batch.column(0).dictionary_encode()
+            names = tokens.dictionary.to_pylist()
+            new = names[1:] if names[0] == last[0] else names
+            pieces = ([last[1]] if names[0] == last[0] else []) + _pre_tokenizer(vocabulary).pieces(new)
+            last = (names[-1], pieces[-1])
+            pieces = np.array(pieces, dtype=np.int64)[tokens.indices.to_numpy()]
+            entries = batch.column(2).cast(pa.large_binary())
+            offsets = np.frombuffer(entries.buffers()[1], dtype=np.int64)[entries.offset : entries.offset + len(entries) + 1]
+            flat = np.frombuffer(entries.buffers()[2], dtype=ENTRY, count=(offsets[-1] - offsets[0]) // ENTRY.itemsize, offset=offsets[0])
+            each = np.diff(offsets) // ENTRY.itemsize
+            tokens_of = flat["count"] * np.repeat(pieces, each)
+            chunks, of = np.unique(batch.column(1).to_numpy(), return_inverse=True)
+            place = np.repeat(of, each) * CHUNK_DOCUMENTS + flat["doc"]
+            found = np.bincount(place, weights=tokens_of, minlength=len(chunks) * CHUNK_DOCUMENTS).astype(np.int64)
+            for chunk, total in zip(chunks.tolist(), found.reshape(len(chunks), CHUNK_DOCUMENTS), strict=True):
+                if chunk in held:
+                    held[chunk] += total
+                else:
+                    if len(held) == HELD_CHUNKS:
+                        yield flush()
+                    held[chunk] = total.copy()
         if held:
             yield flush()
 
@@ -149,22 +134,21 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, total, head = None, None, None
 
     def documents() -> pa.RecordBatch:
-        ids, none, numbers = head
-        n = len(ids)
-        doc_id = pa.array(ids, pa.int64(), mask=none.astype(bool))
-        arrays = [doc_id, pa.array(numbers[:n], pa.int64()), pa.array(total[:n] + numbers[n:], pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_tokens"])
+        doc_id = pa.array(head["doc_id"], pa.int64(), mask=head["is_null"].astype(bool))
+        tokens = total[: len(head)] + head["special"]
+        return pa.RecordBatch.from_arrays([doc_id, pa.array(head["n_bytes"]), pa.array(tokens)], names=["doc_id", "n_bytes", "n_tokens"])
 
     for batch in batches:
-        for chunk, docs, counts, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i in range(batch.num_rows):
+            chunk, entries, is_head = (c[i].as_py() for c in batch.columns)
             if chunk != at:
                 if at is not None:
                     yield documents()
                 at, total, head = chunk, np.zeros(CHUNK_DOCUMENTS, dtype=np.int64), None
-            if sizes is not None:
-                head = (np.frombuffer(docs, "<i8"), np.frombuffer(counts, "u1"), np.frombuffer(sizes, "<i8"))
+            if is_head:
+                head = np.frombuffer(entries, dtype=DOCUMENT)
             else:
-                total[np.frombuffer(docs, "<u2")] += np.frombuffer(counts, "<i8")
+                total += np.frombuffer(entries, dtype=np.int64)
     if at is not None:
         yield documents()
 
@@ -175,9 +159,12 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
     Repeated rows are counted each. The numbers are those of the library for the whole text.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_frequency_rows(vocabulary), _ROWS)
-    sums = rows.repartition("pre_token", "salt").sortWithinPartitions("pre_token").mapInArrow(_count_pieces(vocabulary), _SUMS)
+    frequent = F.octet_length("entries") >= ENTRY.itemsize * CHUNK_DOCUMENTS // FREQUENT
+    salt = F.when(frequent | F.col("pre_token").isNull(), F.col("chunk") % SPREAD).otherwise(F.lit(0))
+    sums = rows.repartition("pre_token", salt).sortWithinPartitions("pre_token")
     return (
-        sums.repartition("chunk")
+        sums.mapInArrow(_count_pieces(vocabulary), "chunk long, entries binary, is_head boolean")
+        .repartition("chunk")
         .sortWithinPartitions("chunk")
         .mapInArrow(_sum_chunks, "doc_id long, n_bytes long, n_tokens long")
         .withColumn("over_limit", F.col("n_tokens") > limit)

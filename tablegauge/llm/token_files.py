@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablegauge.llm.common import bound_bucket, id_bounds
+from tablegauge.llm.common import bound_bucket, id_bounds, slices
 from tablegauge.llm.tokens import WordEncoder
 from tablegauge.session import checkpoint_folder
 
@@ -63,15 +63,13 @@ def _widen(raw: bytes, wide: bool) -> bytes:
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, wide: bool) -> bytes:
     """A dictionary of at most DICTIONARY_BYTES; empty if there is too little to train on."""
-    rows = (
-        docs.where("length(text) > 0")
-        .select(F.xxhash64("text").alias("hash"), F.substring("text", 1, 4 * TRAINING_IDS).alias("text"))
-        .orderBy("hash", "text")
-        .limit(TRAINING_DOCUMENTS)
-        .collect()
-    )
-    end = np.array([end_id], dtype="<u4").tobytes()
-    samples = [_narrow((x + end)[: 4 * TRAINING_IDS], wide) for x in _encoder(vocabulary).encode([r.text for r in rows])]
+    texts = docs.where("length(text) > 0").select(F.xxhash64("text").alias("hash"), "text")
+    hashes = texts.select("hash").distinct().orderBy("hash").limit(TRAINING_DOCUMENTS)
+    last = hashes.agg(F.max("hash")).first()[0]
+    start = F.first(F.substring("text", 1, 4 * TRAINING_IDS)).alias("start")
+    rows = texts.where(F.col("hash") <= F.lit(last)).groupBy("hash").agg(start).orderBy("hash").collect()
+    encoded = _encoder(vocabulary).encode(pa.array([r.start for r in rows], pa.string()), end_id)
+    samples = [_narrow(x[: 4 * TRAINING_IDS], wide) for x in encoded]
     _encoder.cache_clear()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -102,9 +100,9 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> N
     stored.coalesce(1).write.mode("overwrite").parquet(f"{folder}/dictionary")
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, pack = np.array([end_id], dtype="<u4").tobytes(), _compressor(dictionary)
-        for batch in batches:
-            ids = [x + end for x in _encoder(vocabulary).encode(batch.column(1).to_pylist())]
+        pack = _compressor(dictionary)
+        for batch in slices(batches):
+            ids = _encoder(vocabulary).encode(batch.column(1), end_id)
             sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
             blobs = pa.array([pack.compress(_narrow(x, wide)) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, blobs], names=["doc_id", "n_ids", "blob"])
@@ -178,7 +176,8 @@ def read_store(spark: SparkSession, folder: str, with_ids: bool = False) -> Data
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = _decompressor(dictionary)
         for batch in batches:
-            for first, used, doc_ids, index, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):
+                first, used, doc_ids, index, payload = (c[i].as_py() for c in batch.columns)
                 if used != name:
                     raise ValueError(f"a shard of {folder} was written with dictionary {used}")
                 table = np.frombuffer(index, dtype=INDEX)
@@ -211,7 +210,7 @@ def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[in
     place = F.posexplode("doc_ids").alias("place", "found")
     rows = (
         spark.read.parquet(f"{folder}/shards")
-        .where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+        .where((F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id))
         .select("range", "shard", "dictionary_hash", "index", "payload", place)
         .where(F.col("found") == doc_id)
         .withColumn("entry", F.expr(f"substring(index, place * {INDEX.itemsize} + 1, {INDEX.itemsize})"))

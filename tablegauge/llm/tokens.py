@@ -8,19 +8,19 @@ library as they are. The tables of known parts have a fixed size, so memory is b
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections import Counter
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-GENERATION = 400_000
+GENERATION = 200_000
 LIBRARY_PARTS = 64
-TEXTS_AT_ONCE = 128
 
-#: White space to Python but not to the tokenizer.
-_CONTROL_SPACE = re.compile("[\x1c-\x1f]").search
 #: Words of characters below U+0180, where lower case, letters and digits are beyond doubt (U+0130
 #: is left out, its lower case has a combining mark), and the vocabulary's own pieces of them.
 _PLAIN_WORD = re.compile("[\x21-\x7e\xa1-įı-ſ]+").fullmatch
@@ -51,21 +51,17 @@ class Known:
         self.young: dict[str, Any] = {}
         self.old: dict[str, Any] = {}
 
-    def split(self, keys: set[str]) -> tuple[dict[str, Any], list[str]]:
-        """What is known of these keys, and the keys that are new."""
+    def split(self, keys: set[str]) -> tuple[dict[str, Any], set[str]]:
+        """What is known of these keys, as a small table, and the keys that are new."""
         if len(self.young) > GENERATION:
             self.young, self.old = {}, self.young
-        young, old, found, new = self.young, self.old, {}, []
-        for k in keys:
-            v = young.get(k)
-            if v is None:
-                v = old.get(k)
-                if v is None:
-                    new.append(k)
-                    continue
-                young[k] = v
-            found[k] = v
-        return found, new
+        young, old = self.young, self.old
+        new = keys.difference(young)
+        for k in [k for k in new if k in old]:
+            young[k] = old[k]
+            new.discard(k)
+        found = keys.difference(new) if new else keys
+        return dict(zip(found, map(young.__getitem__, found), strict=True)), new
 
     def learn(self, pairs: dict[str, Any]) -> None:
         self.young.update(pairs)
@@ -74,8 +70,8 @@ class Known:
 class WordEncoder:
     """Ids of texts under a vocabulary that drops white space and marks the end of every word.
 
-    `encode` gives little-endian unsigned 32-bit ids as bytes. White-space words are looked up; a
-    new word is parted into the vocabulary's pieces, and only new pieces are encoded.
+    White-space words are looked up; a new word is parted into the vocabulary's pieces, and only new
+    pieces are encoded.
     """
 
     def __init__(self, path: str) -> None:
@@ -103,43 +99,78 @@ class WordEncoder:
                 start = end
         return out
 
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+    def _encode_words(self, words: set[str]) -> dict[str, bytes]:
         parted, other = {}, []
         for w in words:
+            if not w:
+                continue
             if _PLAIN_WORD(w) and "<|" not in w:
                 parted[w] = _PLAIN_PIECES(w.lower())
             else:
                 other.append(w)
         known, new = self.pieces.split({p for parts in parted.values() for p in parts})
-        found = self._encode_pieces(new)
+        found = self._encode_pieces(list(new))
         self.pieces.learn(found)
         known |= found
         out = dict(zip(other, self._library(other), strict=True)) if other else {}
+        out.update(dict.fromkeys(words.intersection([""]), b""))
         for w, parts in parted.items():
             out[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), TEXTS_AT_ONCE):
-            out += self._encode(texts[i : i + TEXTS_AT_ONCE])
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text's ids end in it; a null counts as empty.
+
+        Words are cut and numbered by Arrow, so Python sees each distinct word of the batch once.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, "[\\x1c-\\x1f]").to_numpy(zero_copy_only=False))
+        if len(odd):
+            mask = np.zeros(len(texts), dtype=bool)
+            mask[odd] = True
+            whole = [self._library([t])[0] for t in texts.filter(pa.array(mask)).to_pylist()]
+            texts = pc.if_else(pa.array(mask), "", texts)
+        words = pc.utf8_split_whitespace(texts)
+        word_ends = words.offsets.to_numpy()[1:] - words.offsets.to_numpy()[0]
+        numbered = words.flatten().dictionary_encode()
+        found = self._ids_of(numbered.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        number = numbered.indices.to_numpy()
+        each = sizes[number]
+        ends = np.cumsum(each)
+        out = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat((np.cumsum(sizes) - sizes)[number] - ends + each, each)]
+        text_ends = np.concatenate([[0], ends])[word_ends]
+        if len(odd):
+            parts = np.split(out, text_ends[:-1])
+            for i, ids_of_text in zip(odd.tolist(), whole, strict=True):
+                parts[i] = np.frombuffer(ids_of_text, dtype="<u4")
+            out, text_ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        return out, text_ends
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        collecting = gc.isenabled()
+        gc.disable()  # the tables hold no cycles, and walking them over and over costs time
+        try:
+            known, new = self.words.split(set(words))
+            found = self._encode_words(new)
+            self.words.learn(found)
+            known |= found
+            return list(map(known.__getitem__, words))
+        finally:
+            if collecting:
+                gc.enable()
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, and `end_id` after them."""
+        ids, ends = self.encode_array(texts)
+        end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+        raw, start, out = ids.tobytes(), 0, []
+        for stop in (4 * ends).tolist():
+            out.append(raw[start:stop] + end)
+            start = stop
         return out
 
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        parted = [None if x and _CONTROL_SPACE(x) else (x or "").split() for x in texts]
-        need: set[str] = set()
-        for words in parted:
-            if words:
-                need.update(words)
-        known, new = self.words.split(need)
-        found = self._encode_words(new)
-        self.words.learn(found)
-        known |= found
-        return [
-            self._library([text])[0] if words is None else b"".join([known[w] for w in words])
-            for text, words in zip(texts, parted, strict=True)
-        ]
-
 
 #: The byte-level vocabulary's own pre-tokens, for texts of plain characters only.
 _PRE_TOKENS = re.compile(
@@ -148,23 +179,19 @@ _PRE_TOKENS = re.compile(
     r"| ?[^\sA-Za-z0-9\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ\xb2\xb3\xb9\xbc-\xbe]+|\s+(?!\S)|\s+"
 ).findall
 _PLAIN_TEXT = re.compile("[\t\n\r\x20-\x7e\xa1-ſ]*").fullmatch
-#: Runs of white space in which a piece may cross a cut at a space.
-_SPACE_RUN = re.compile(r"\s\s").search
-
-
 class PreTokenizer:
-    """Parts texts into a byte-level vocabulary's pre-tokens, as a count per distinct one.
+    """Parts texts into a byte-level vocabulary's pre-tokens.
 
     A text is cut before each space; a cut part is parted once and looked up after. A text with
-    two white-space characters in a row is parted whole, one with special strings or characters
-    outside the plain range is parted by the library itself.
+    two spaces in a row or one at its end, where a pre-token may hold a space with others, is parted
+    whole, and so is one with special strings, which count as one token each.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load_tokenizer(path)
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = re.compile("|".join(re.escape(x.content) for x in added) or "(?!)").split
-        self.has_special = re.compile("|".join(re.escape(x.content) for x in added) or "(?!)").search
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.whole = "  | $" + "".join("|" + re.escape(x) for x in added)
         self.units = Known()
 
     def _pre_tokens(self, text: str) -> list[str]:
@@ -173,32 +200,51 @@ class PreTokenizer:
         found = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
         return [text[a:b] for _, (a, b) in found]
 
-    def _units(self, units: set[str]) -> dict[str, Any]:
-        known, new = self.units.split(units)
+    def _units(self, units: list[str]) -> list[tuple[str, ...]]:
+        known, new = self.units.split(set(units))
         found = {u: tuple(self._pre_tokens(u)) for u in new}
         self.units.learn(found)
-        return known | found
-
-    def frequencies(self, text: str | None) -> tuple[dict[str, int], int]:
-        """Count of each distinct pre-token of a text, and the number of special strings in it."""
-        parts = [text or ""]
-        if self.has_special(parts[0]):
-            parts = self.special(parts[0])
-        counts: dict[str, int] = {}
-        for part in parts:
-            if _SPACE_RUN(part):
-                for token, n in Counter(self._pre_tokens(part)).items():
-                    counts[token] = counts.get(token, 0) + n
-                continue
-            first, *rest = part.split(" ")
-            units = Counter(rest)
-            known = self._units({" " + u for u in units} | {first})
-            for token in known[first]:
-                counts[token] = counts.get(token, 0) + 1
-            for u, n in units.items():
-                for token in known[" " + u]:
-                    counts[token] = counts.get(token, 0) + n
-        return counts, len(parts) - 1
+        known |= found
+        return list(map(known.__getitem__, units))
+
+    def frequencies(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pre-tokens; entries (number of the pre-token, of the text, and how often), in which a
+        pair may come more than once; and the number of special strings in each text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        special = np.zeros(len(texts), dtype=np.int64)
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        # units are what stands before, between and after single spaces; all but the first keep theirs
+        units = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        numbered = units.flatten().dictionary_encode()
+        ends = units.offsets.to_numpy()[1:] - units.offsets.to_numpy()[0]
+        starts = np.concatenate([[0], ends[:-1]])
+        names = numbered.dictionary.to_pylist()
+        number = numbered.indices.to_numpy().astype(np.int64)
+        first = np.zeros(len(number), dtype=bool)
+        first[starts] = True
+        number[~first] += len(names)
+        owner = np.repeat(np.arange(len(texts)), ends - starts)
+        pairs, often = np.unique(owner * (2 * len(names)) + number, return_counts=True)
+        owner, number = np.divmod(pairs, 2 * len(names)) if len(pairs) else (pairs, pairs)
+        used = np.unique(number)
+        parted = self._units([names[i] if i < len(names) else " " + names[i - len(names)] for i in used.tolist()])
+        places: dict[str, int] = {}
+        flat = np.array([places.setdefault(t, len(places)) for unit in parted for t in unit], dtype=np.int64)
+        sizes = np.fromiter(map(len, parted), dtype=np.int64, count=len(parted))
+        unit = np.searchsorted(used, number)
+        each = sizes[unit]
+        at = np.cumsum(each)
+        token = flat[np.arange(at[-1] if len(at) else 0) + np.repeat((np.cumsum(sizes) - sizes)[unit] - at + each, each)]
+        owner, often = np.repeat(owner, each), np.repeat(often, each)
+        more: list[tuple[int, int, int]] = []
+        for i in np.flatnonzero(whole).tolist():
+            parts = self.special.split(texts[i].as_py())
+            special[i] = len(parts) - 1
+            for t, n in Counter(t for part in parts for t in self._pre_tokens(part)).items():
+                more.append((places.setdefault(t, len(places)), i, n))
+        if more:
+            token, owner, often = (np.concatenate([a, b]) for a, b in zip((token, owner, often), np.array(more).T, strict=True))
+        return list(places), token, owner, often, special
 
     def pieces(self, pre_tokens: list[str]) -> list[int]:
         """Number of ids of each pre-token."""
