@@ -20,7 +20,10 @@ DATE_LAYOUTS = (
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
     "yyyy/MM/dd",
     "dd/MM/yyyy",
+    "dd-MM-yyyy",
 )
+# ISO 8601 date and time: seconds, a fraction of one to nine digits and a zone may be there or not.
+ISO_TIME = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(:\d{2})?(\.\d{1,9})?(Z|[+-]\d{2}(?::?\d{2})?)?$"
 
 # The words of an age text.
 AGE_UNKNOWN = "Desconocido"
@@ -98,12 +101,23 @@ def to_timestamp(value: Column, layouts: tuple[str, ...] = DATE_LAYOUTS) -> Colu
     A cheap shape test runs first, so the parser only sees texts that can be dates.
     """
     text = F.trim(value)
-    return F.coalesce(
-        *[
-            F.when(text.rlike(_layout_shape(layout)), F.try_to_timestamp(text, F.lit(layout)))
-            for layout in layouts
-        ]
-    )
+    tried = [
+        F.when(text.rlike(_layout_shape(layout)), F.try_to_timestamp(text, F.lit(layout)))
+        for layout in layouts
+    ]
+    if layouts == DATE_LAYOUTS:
+        tried.append(F.when(text.rlike(ISO_TIME), _iso_timestamp(text)))
+    return F.coalesce(*tried)
+
+
+def _iso_timestamp(text: Column) -> Column:
+    """An ISO date and time; one without a zone is in the session's, digits below microseconds go."""
+    part = lambda i: F.regexp_extract(text, ISO_TIME, i)
+    seconds = F.when(part(3) == "", F.lit(":00")).otherwise(part(3))
+    zone = F.regexp_replace(part(5), r"^([+-]\d{2}):?(\d{2})?$", "$1:$2")
+    zone = F.when(zone.endswith(":"), F.concat(zone, F.lit("00"))).otherwise(zone)
+    whole = F.concat(part(1), F.lit("T"), part(2), seconds, F.substring(part(4), 1, 7), zone)
+    return F.when((part(3) != "") | (part(4) == ""), whole.try_cast("timestamp"))
 
 
 def age_days(timestamp: Column, as_of: Column) -> Column:

@@ -9,14 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import col, kinds, number_of, numeric_columns, value_sql
-from tablegauge.operators.quantiles import ONE_TASK_LIMIT, fits_one_task
 from tablegauge.session import checkpointed
 
-# A value holding more than this share of the rows is joined over several tasks. Fewer than
-# 1 / HOT_SHARE values can, so the list of them is bounded whatever the data.
-HOT_SHARE = 0.001
-SALTS = 64
-
 PAIR_SCHEMA = "column_a string, column_b string, coefficient double"
 
 
@@ -57,7 +51,6 @@ def spearman(
     df: DataFrame,
     columns: list[str] | None = None,
     sensitive: list[str] | None = None,
-    limit: int = ONE_TASK_LIMIT,
 ) -> DataFrame:
     """Correlation of average ranks.
 
@@ -69,35 +62,33 @@ def spearman(
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     by_kind = kinds(df)
     numbers = df.select(*[number_of(c, by_kind[c]).alias(c) for c in names])
-    small = fits_one_task(df, limit)
     valid = numbers.agg(
         F.count(F.lit(1)).alias("n"), *[F.count(col(c)).alias(f"v{i}") for i, c in enumerate(names)]
     ).first()
     whole = [c for i, c in enumerate(names) if valid[f"v{i}"] == valid["n"]]
     parts = []
     if len(whole) > 1:
-        parts.append(_rank_and_correlate(numbers.select(*[col(c) for c in whole]), small))
+        parts.append(_rank_and_correlate(numbers.select(*[col(c) for c in whole])))
     for a, b in combinations(names, 2):
         if a not in whole or b not in whole:
             both = numbers.select(col(a), col(b)).where(col(a).isNotNull() & col(b).isNotNull())
-            parts.append(_rank_and_correlate(both, small))
+            parts.append(_rank_and_correlate(both))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _rank_and_correlate(numbers: DataFrame, small: bool) -> DataFrame:
+def _rank_and_correlate(numbers: DataFrame) -> DataFrame:
     """Correlate the average ranks of columns that hold no missing value.
 
-    On large tables equal rows are merged into one row with a weight first, so no combination of
-    values, however frequent, meets a join more than once.
+    Equal rows are merged into one row with a weight first, so no combination of values, however
+    frequent, meets a join more than once. Each value has one rank row, so only the side of the
+    rows can be skewed, and that side adaptive execution splits.
     """
     names = numbers.columns
-    if small:
-        ranked = numbers.withColumn("weight", F.lit(1).cast("bigint"))
-    else:
-        ranked = numbers.groupBy(*[col(n) for n in names]).agg(F.count(F.lit(1)).alias("weight"))
+    ranked = numbers.groupBy(*[col(n) for n in names]).agg(F.count(F.lit(1)).alias("weight"))
     for i, name in enumerate(names):
-        ranks = average_ranks(numbers.select(col(name).alias("value")), small)
-        ranked = _lookup(ranked, name, ranks, f"rank__{i}", small)
+        ranks = average_ranks(numbers.select(col(name).alias("value")))
+        ranks = ranks.select(F.col("value").alias("rank_key"), F.col("rank").alias(f"rank__{i}"))
+        ranked = ranked.join(ranks, col(name) == F.col("rank_key")).drop("rank_key")
     pairs = list(combinations(range(len(names)), 2))
     weight = F.col("weight")
     sums = [F.sum(weight).alias("n")]
@@ -118,55 +109,24 @@ def _rank_and_correlate(numbers: DataFrame, small: bool) -> DataFrame:
     )
 
 
-def average_ranks(values: DataFrame, small: bool) -> DataFrame:
+def average_ranks(values: DataFrame) -> DataFrame:
     """(value, cnt, rank) of each distinct value; ties share the mean of their positions.
 
-    Beyond one task the distinct values are range-partitioned, each partition's total is shifted
-    by the totals before it, and running counts are taken inside the partitions. The partition
-    number is stored before it is used twice, so a retried task cannot move a value.
+    The distinct values are range-partitioned, each partition's total is shifted by the totals
+    before it, and running counts are taken inside the partitions. The partition number is stored
+    before it is used twice, so a retried task cannot move a value.
     """
     counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("cnt"))
-    if small:
-        below = F.sum("cnt").over(Window.orderBy("value")) - F.col("cnt")
-        ranked = counted.withColumn("below", below)
-    else:
-        stored = checkpointed(
-            counted.repartitionByRange("value").withColumn("part", F.spark_partition_id())
-        )
-        totals = stored.groupBy("part").agg(F.sum("cnt").alias("total"))
-        # One row per shuffle partition, a number the session sets.
-        before = F.sum("total").over(Window.orderBy("part")) - F.col("total")
-        offsets = totals.select("part", before.alias("offset"))
-        inside = F.sum("cnt").over(Window.partitionBy("part").orderBy("value")) - F.col("cnt")
-        ranked = stored.join(F.broadcast(offsets), "part").withColumn(
-            "below", F.col("offset") + inside
-        )
-    return ranked.select("value", "cnt", (F.col("below") + (F.col("cnt") + 1) / 2).alias("rank"))
-
-
-def _lookup(rows: DataFrame, name: str, ranks: DataFrame, rank_name: str, small: bool) -> DataFrame:
-    """Add the rank of one column to every row.
-
-    Each value has one rank row, so only the row side can be skewed. On large tables the rows of
-    hot values are spread over salts and their few rank rows repeated once per salt.
-    """
-    ranks = ranks.select(F.col("value").alias("rank_key"), "cnt", F.col("rank").alias(rank_name))
-    if small:
-        return rows.join(ranks.drop("cnt"), col(name) == F.col("rank_key")).drop("rank_key")
-    total = ranks.agg(F.sum("cnt")).first()[0] or 0
-    hot = [r[0] for r in ranks.where(F.col("cnt") > total * HOT_SHARE).select("rank_key").collect()]
-    is_hot = F.lit(False) if not hot else col(name).isin(hot)
-    others = [col(c) for c in rows.columns]
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")).otherwise(0)
-    copies = F.when(
-        F.lit(False) if not hot else F.col("rank_key").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))
-    ).otherwise(F.array(F.lit(0)))
-    spread = ranks.drop("cnt").withColumn("rank_salt", F.explode(copies))
-    return (
-        rows.withColumn("row_salt", salt)
-        .join(spread, (col(name) == F.col("rank_key")) & (F.col("row_salt") == F.col("rank_salt")))
-        .drop("rank_key", "rank_salt", "row_salt")
+    stored = checkpointed(
+        counted.repartitionByRange("value").withColumn("part", F.spark_partition_id())
     )
+    totals = stored.groupBy("part").agg(F.sum("cnt").alias("total"))
+    # One row per shuffle partition, a number the session sets.
+    before = F.sum("total").over(Window.orderBy("part")) - F.col("total")
+    offsets = totals.select("part", before.alias("offset"))
+    inside = F.sum("cnt").over(Window.partitionBy("part").orderBy("value")) - F.col("cnt")
+    ranked = stored.join(F.broadcast(offsets), "part").withColumn("below", F.col("offset") + inside)
+    return ranked.select("value", "cnt", (F.col("below") + (F.col("cnt") + 1) / 2).alias("rank"))
 
 
 def as_matrix(pairs: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:

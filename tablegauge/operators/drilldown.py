@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import col
@@ -40,15 +40,32 @@ def rule_violations(df: DataFrame, rule: dict) -> DataFrame:
 
 def search(df: DataFrame, text: str, regex: bool = False) -> DataFrame:
     """Rows where any data column holds the text, whatever its case."""
-    wanted = text.strip().lower()
+    wanted = text.strip()
     if not wanted:
         return df
     names = [c for c in df.columns if not c.startswith("__")]
-    texts = [F.lower(col(c).cast("string")) for c in names]
-    hits = [t.rlike(wanted) if regex else t.contains(wanted) for t in texts]
+    texts = [col(c).cast("string") for c in names]
+    # a pattern stays as it is: in lower case \D would mean \d
+    hits = [t.rlike(f"(?i){wanted}") if regex else F.lower(t).contains(wanted.lower()) for t in texts]
     return df.where(reduce(lambda a, b: a | b, [F.coalesce(h, F.lit(False)) for h in hits]))
 
 
+def _follows(order: list[str], after: list) -> Column:
+    """Rows that come after the given order values."""
+    later, same = F.lit(False), F.lit(True)
+    for name, value in zip(order, after, strict=True):
+        down, name = name.startswith("-"), name.removeprefix("-")
+        if value is None:
+            beyond = F.lit(False) if down else col(name).isNotNull()
+        elif down:
+            beyond = (col(name) < F.lit(value)) | col(name).isNull()
+        else:
+            beyond = col(name) > F.lit(value)
+        later = later | (same & F.coalesce(beyond, F.lit(False)))
+        same = same & col(name).eqNullSafe(F.lit(value))
+    return later
+
+
 def page(
     df: DataFrame,
     order: list[str],
@@ -57,17 +74,16 @@ def page(
     sensitive: list[str] | None = None,
     after: list | None = None,
 ) -> DataFrame:
-    """One page of rows in `order`, sensitive values masked.
+    """One page of rows in `order`, sensitive values masked; a name after a minus sign goes backwards.
 
-    Spark keeps page number x size rows per task for a numbered page. To walk deep into a large
+    Nulls come first going up and last going down. Spark keeps page number x size rows per task for a numbered page. To walk deep into a large
     result, pass the last page's order values as `after`: only `size` rows are kept then.
     """
     number, size = max(1, number), min(max(1, size), MAX_PAGE_SIZE)
     if after is not None:
-        key = F.struct(*[col(c) for c in order])
-        df = df.where(key > F.struct(*[F.lit(v).alias(c) for c, v in zip(order, after, strict=True)]))
+        df = df.where(_follows(order, after))
         number = 1
-    rows = df.orderBy(*[col(c) for c in order]).offset((number - 1) * size).limit(size)
+    rows = df.orderBy(*[col(c[1:]).desc() if c.startswith("-") else col(c) for c in order]).offset((number - 1) * size).limit(size)
     return rows.select(*[mask_if(col(c), c, sensitive).alias(c) for c in df.columns])
 
 

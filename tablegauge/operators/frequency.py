@@ -10,17 +10,10 @@ from pyspark.sql import functions as F
 from tablegauge.functions.columns import col, kinds, present, sql_text, value_sql
 from tablegauge.functions.scalars import float_text
 
-# Longest text kept as itself in a key; longer text is keyed by its SHA-256.
-KEY_TEXT_LIMIT = 64
-
 
 def text_key_sql(value: str) -> str:
-    """A text, or the SHA-256 of all of a long one.
-
-    The digest form is longer than the limit, so it cannot meet a short text, and whatever the
-    length of the texts they move through a shuffle at bounded width.
-    """
-    return f"if(length({value}) > {KEY_TEXT_LIMIT}, concat('sha256:', sha2({value}, 256)), {value})"
+    """The SHA-256 of a text, whatever its length: keys move through a shuffle at bounded width."""
+    return f"sha2({value}, 256)"
 
 
 def unpivoted(
@@ -64,8 +57,8 @@ def value_frequency(
 ) -> DataFrame:
     """(column_name, value, number, cnt): every distinct value of every column with its count.
 
-    `whole_text` names the columns whose values will be shown; the long texts of other columns
-    are only told apart, by their digest. All texts are kept whole when it is not given.
+    `whole_text` names the columns whose values will be shown; the texts of other columns are only
+    told apart, by their digest. All texts are kept whole when it is not given.
 
     Columns are unpivoted in their own storage type, so distinct values are counted natively and
     only they, not the rows, are turned into text. Each type group reads only its own columns.
@@ -133,7 +126,7 @@ def top_values(frequency: DataFrame, k: int) -> DataFrame:
 
 
 def row_key(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
-    """Grouping columns that stand for a whole row, long texts by their digest."""
+    """Grouping columns that stand for a whole row, texts by their digest."""
     by_kind = kinds(df)
     keys = []
     for name in present(df, columns):

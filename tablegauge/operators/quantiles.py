@@ -1,11 +1,9 @@
-"""Exact linear-interpolated quantiles.
-
-A table whose row count is small enough has its distinct values counted, sorted and summed up, one
-task per column, which that count bounds. Beyond it the wanted ranks are found by narrowing: one scan
-sketches each column, every further scan sketches only the bracket around a rank and counts what
-lies below it, and once few distinct values are left they are counted and ordered. A column is
-never sorted, shuffled or held by one task as a whole, and the sketch only steers the search: each
-bracket is checked against exact counts before it is used.
+"""Exact linear-interpolated quantiles, the same way at every size.
+
+One scan sketches each column; while a bracket around a wanted rank holds many distinct values, a
+further scan sketches only the bracket and counts what lies below it; then the values left are
+counted and ordered. A column is never sorted, shuffled or held by one task as a whole, and the
+sketch only steers the search: each bracket is checked against exact counts before it is used.
 """
 
 from __future__ import annotations
@@ -15,28 +13,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegauge.functions.columns import kinds, numeric_columns, value_sql
+from tablegauge.functions.columns import numeric_columns
 from tablegauge.operators.frequency import unpivoted, with_names
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-# Rows, or distinct values of one bracket, that one task may hold.
-ONE_TASK_LIMIT = 2_000_000
+# Distinct values of one bracket that are ordered in one task.
+BRACKET_VALUES = 200_000
 
 SKETCH_ACCURACY = 10_000
 SKETCH_STEPS = 1_000
 
 
-def fits_one_task(df: DataFrame, limit: int = ONE_TASK_LIMIT) -> bool:
-    """Whether the table has at most `limit` rows; Parquet answers this from its footers."""
-    return df.select().count() <= limit
-
-
 def quantiles(
     df: DataFrame,
     columns: list[str] | None = None,
     probabilities: tuple[float, ...] = QUARTILES,
-    limit: int = ONE_TASK_LIMIT,
+    limit: int = BRACKET_VALUES,
     steps: int = SKETCH_STEPS,
 ) -> DataFrame:
     """(column_name, probability, quantile) for each numeric column."""
@@ -45,12 +38,7 @@ def quantiles(
         return df.sparkSession.createDataFrame(
             [], "column_name string, probability double, quantile double"
         )
-    values = unpivoted(df, names, "double")
-    if fits_one_task(df, limit):
-        found = _by_sorted_counts(df, names, values, probabilities)
-    else:
-        found = _by_narrowing(values, probabilities, limit, steps)
-    return with_names(found, names)
+    return with_names(_by_narrowing(unpivoted(df, names, "double"), probabilities, limit, steps), names)
 
 
 def quartiles(df: DataFrame, columns: list[str] | None = None, **options) -> DataFrame:
@@ -65,30 +53,6 @@ def quartiles(df: DataFrame, columns: list[str] | None = None, **options) -> Dat
     )
 
 
-def _by_sorted_counts(df: DataFrame, names: list[str], values: DataFrame, probabilities) -> DataFrame:
-    """Running counts over each column's sorted distinct values; the row limit bounds a column."""
-    by_kind = kinds(df)
-    sizes = df.selectExpr(*[f"count({value_sql(n, by_kind[n])}) AS c{i}" for i, n in enumerate(names)]).first()
-    wanted = []
-    for i in range(len(names)):
-        for p in probabilities:
-            position = (sizes[i] - 1) * float(p)
-            if position >= 0:
-                wanted.append((i, float(p), int(position), position - int(position)))
-    ranks = df.sparkSession.createDataFrame(
-        wanted, "column_no int, probability double, rank bigint, fraction double"
-    )
-    counted = values.groupBy("column_no", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    upto = F.sum("cnt").over(Window.partitionBy("column_no").orderBy("value"))
-    # One row per numeric column and probability: the schema bounds this side.
-    near = (
-        counted.withColumn("upto", upto)
-        .join(F.broadcast(ranks), "column_no")
-        .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("cnt") <= F.col("rank") + 1))
-    )
-    return _interpolate(near)
-
-
 def _interpolate(near: DataFrame) -> DataFrame:
     """The value at a rank and the one after it, from running counts around them."""
     keys = ["column_no", "probability"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tablegauge.functions.fingerprints import rule_fingerprint
 from tablegauge.functions.scalars import percent_text
 from tablegauge.functions.severity import severity
+from tablegauge.operators.column_stats import row_count
 from tablegauge.operators.findings import (
     SAMPLE_ROWS,
     Metric,
@@ -34,11 +35,18 @@ FORBIDDEN_WORDS = (
     "open", "os.", "sys.", "subprocess", "shutil",
     "lambda", "def ", "class ",
 )
-# Beyond them, what would let a Spark SQL condition leave the row it is checked on.
-FORBIDDEN_SQL_WORDS = ("select", "reflect", "try_reflect", "java_method")
+# Parts of a resolved condition that leave the row it is checked on: other tables, Java methods, and
+# functions registered by someone. Aggregates, windows and generators show as plan steps of their own.
+ROW_PLAN_STEPS = {"Project", "LocalRelation", "LogicalRDD"}
+REFUSED_PARTS = {
+    "ScalarSubquery", "InSubquery", "ListQuery", "Exists", "LateralSubquery",
+    "CallMethodViaReflection", "TryReflect",
+}
 
 QUOTED_TEXT = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
-IF_THEN_TEXT = r"(?:IF|Si|WHEN|Cuando)\s+(.+?)\s+(?:THEN|Entonces)\s+(.+)"
+# The words that open the two parts of a conditional rule.
+IF_WORDS, THEN_WORDS = ("if", "si", "when", "cuando"), ("then", "entonces")
+RULE_TOKEN = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|\w+|\s+|."
 
 RULE_SCHEMA = (
     "rule_index int, name string, type string, expression string, blocked boolean, error string, "
@@ -64,7 +72,7 @@ class Rule:
 def forbidden_word(text: str) -> str | None:
     """The first forbidden word in a rule, as a whole word; quoted texts are data, not code."""
     code = re.sub(QUOTED_TEXT, "''", text.lower())
-    for word in FORBIDDEN_WORDS + FORBIDDEN_SQL_WORDS:
+    for word in FORBIDDEN_WORDS:
         core = word.strip()
         start = r"(?<![a-z0-9_])" if core[0].isalpha() else ""
         end = r"(?![a-z0-9_])" if core[-1].isalpha() else ""
@@ -91,12 +99,17 @@ def prepare_rules(df: DataFrame, rules: list[dict]) -> list[Rule]:
             rule.blocked = True
             continue
         if kind == "if_then" and not (condition and assertion):
-            found = re.match(IF_THEN_TEXT, expression, re.IGNORECASE)
-            if not found:
+            parts = split_if_then(expression)
+            if not parts:
                 rule.error = "not an IF ... THEN ... rule"
                 continue
-            condition, assertion = found.group(1).strip(), found.group(2).strip()
+            condition, assertion = parts
         try:
+            if any(leaves_row(empty, text) for text in (condition, assertion) if kind == "if_then") or (
+                kind != "if_then" and leaves_row(empty, expression)
+            ):
+                rule.blocked = True
+                continue
             if kind == "if_then":
                 rule.scope = _holds(condition)
                 rule.violates = rule.scope & ~_holds(assertion)
@@ -112,6 +125,72 @@ def prepare_rules(df: DataFrame, rules: list[dict]) -> list[Rule]:
     return prepared
 
 
+def split_if_then(text: str) -> tuple[str, str] | None:
+    """Condition and assertion of an IF ... THEN ... text; a THEN in quotes or in a CASE is not the one."""
+    tokens = re.findall(RULE_TOKEN, text.strip(), re.DOTALL)
+    if not tokens or tokens[0].lower() not in IF_WORDS:
+        return None
+    depth = 0
+    for i, token in enumerate(tokens[1:], 1):
+        word = token.lower()
+        if word == "case":
+            depth += 1
+        elif word == "end" and depth:
+            depth -= 1
+        elif word in THEN_WORDS and not depth:
+            condition, assertion = "".join(tokens[1:i]).strip(), "".join(tokens[i + 1 :]).strip()
+            return (condition, assertion) if condition and assertion else None
+    return None
+
+
+def leaves_row(empty: DataFrame, condition: str) -> bool:
+    """Whether a condition needs more than the cells of its row and built-in, repeatable functions.
+
+    The condition is resolved on an empty frame and its tree is judged, whatever way it was written.
+    """
+    steps = [empty.select(F.expr(condition))._jdf.queryExecution().analyzed()]
+    parts = []
+    while steps:
+        step = steps.pop()
+        if step.nodeName() not in ROW_PLAN_STEPS:
+            return True
+        steps += _members(step.children())
+        parts += _members(step.expressions())
+    while parts:
+        part = parts.pop()
+        name = part.getClass().getSimpleName()
+        if name in REFUSED_PARTS or "UDF" in name or not part.deterministic():
+            return True
+        parts += _members(part.children())
+    return False
+
+
+def _members(sequence) -> list:
+    return [sequence.apply(i) for i in range(sequence.size())]
+
+
+def without_failing(df: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """The rules, those that fail on some row listed with their error; each is tried by itself."""
+    for rule in rules:
+        if rule.violates is None:
+            continue
+        try:
+            df.agg(F.count_if(rule.scope), F.count_if(rule.violates)).collect()
+        except PySparkException as error:
+            rule.error = error.getCondition() or "fails on a row"
+            rule.scope = rule.violates = None
+    return rules
+
+
+def _counts(rules: list[Rule]) -> list[Column]:
+    out = []
+    for rule in rules:
+        if rule.violates is not None:
+            out.append(F.count_if(rule.scope).alias(f"rule_scope__{rule.index}"))
+            out.append(F.count_if(rule.violates).alias(f"rule_bad__{rule.index}"))
+    return out
+
+
 def _holds(condition: str) -> Column:
     """A condition that counts as false when it is null."""
     return F.coalesce(F.expr(condition).cast("boolean"), F.lit(False))
@@ -130,12 +209,7 @@ class LogicalConsistency(Metric):
     metric_id = "logical_consistency"
 
     def aggregates(self, df, params, context):
-        out = []
-        for rule in prepare_rules(df, params.get("rules") or []):
-            if rule.violates is not None:
-                out.append(F.count_if(rule.scope).alias(f"rule_scope__{rule.index}"))
-                out.append(F.count_if(rule.violates).alias(f"rule_bad__{rule.index}"))
-        return out
+        return _counts(prepare_rules(df, params.get("rules") or []))
 
     def frames(self, df, shared, params, context) -> MetricFrames:
         spark = df.sparkSession
@@ -147,7 +221,12 @@ class LogicalConsistency(Metric):
                 no_issues(spark),
             )
         # One row per rule.
-        results = local_rows(shared.wide.select(F.inline(F.array(*[_rule_row(rule) for rule in rules]))))
+        try:
+            results = local_rows(shared.wide.select(F.inline(F.array(*[_rule_row(rule) for rule in rules]))))
+        except PySparkException:
+            rules = without_failing(df, rules)
+            wide = df.agg(row_count(), *_counts(rules))
+            results = local_rows(wide.select(F.inline(F.array(*[_rule_row(rule) for rule in rules]))))
         score = results.agg(F.coalesce(F.avg("compliance"), F.lit(1.0)).alias("score")).select(
             F.lit(self.metric_id).alias("metric"), "score"
         )
@@ -179,7 +258,7 @@ class LogicalConsistency(Metric):
             issue_type="logical_consistency",
             severity="high",
             rule_key="cross_field_check",
-            description=F.concat(F.lit("Rule "), "name", F.lit(" was blocked: forbidden word")),
+            description=F.concat(F.lit("Rule "), "name", F.lit(" was blocked: it has a forbidden word or leaves its row")),
             details=details(name=F.col("name"), expression=F.col("expression")),
             fingerprint=rule_fingerprint(F.col("expression")),
         )

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import kinds
@@ -132,7 +132,7 @@ def evaluate(df: DataFrame, config: dict, context: EvaluationContext | None = No
         else:
             functions.append((entry["id"], metric, params))
 
-    aggregates = [F.struct(*wide_aggregates(_flat(df), kinds(df), NULLS)).alias("base")]
+    aggregates = {"base": F.struct(*wide_aggregates(_flat(df), kinds(df), NULLS)).alias("base")}
     counted: set[str] = set()
     shown: set[str] = set()
     needs_rows = False
@@ -145,11 +145,17 @@ def evaluate(df: DataFrame, config: dict, context: EvaluationContext | None = No
                 shown.update(names)
             needs_rows = needs_rows or metric.needs_rows()
             if own:
-                aggregates.append(F.struct(*own).alias(metric_id))
+                aggregates[metric_id] = F.struct(*own).alias(metric_id)
         except (PySparkException, ValueError, TypeError, KeyError) as error:
             skipped[metric_id] = str(error)
             chosen = [c for c in chosen if c[0] != metric_id]
-    wide = local_rows(df.agg(row_count(), *aggregates))
+    apart: set[str] = set()
+    try:
+        wide = local_rows(df.agg(row_count(), *aggregates.values()))
+    except PySparkException:
+        # some metric fails on a row: it gets a scan of its own, in which it may go on without that part
+        apart = {name for name, own in aggregates.items() if name != "base" and _fails(df, own)}
+        wide = local_rows(df.agg(row_count(), *[a for name, a in aggregates.items() if name not in apart]))
 
     profiled = referenced_columns(df, entries)
     null_patterns = next(
@@ -172,6 +178,8 @@ def evaluate(df: DataFrame, config: dict, context: EvaluationContext | None = No
                 own, frequency.where(F.col("column_name").isin(*names)) if names else None, rows
             )
             try:
+                if metric_id in apart:
+                    shared.wide = df.agg(row_count(), *metric.aggregates(df, params, context))
                 frames = metric.frames(df, shared, params, context)
                 scores.append(local_rows(frames.score))
                 if not metric.informs_only:
@@ -212,6 +220,14 @@ def evaluate(df: DataFrame, config: dict, context: EvaluationContext | None = No
     return Evaluation(run, score_rows, found, column_metrics, details, skipped)
 
 
+def _fails(df: DataFrame, aggregate: Column) -> bool:
+    try:
+        df.agg(aggregate).collect()
+    except PySparkException:
+        return True
+    return False
+
+
 def _flat(df: DataFrame) -> list[str]:
     return [c for c, kind in kinds(df).items() if kind != "nested"]
 

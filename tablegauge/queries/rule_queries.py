@@ -158,7 +158,7 @@ RULES = [
     {"name": "urgent is open", "type": "if_then", "expression": "IF o_orderpriority = '1-URGENT' THEN not (o_orderstatus = 'F')"},
     {"name": "nothing in scope", "type": "if_then", "condition": "o_orderkey < 0", "assertion": "o_totalprice > 0"},
     {"name": "missing column", "type": "violation", "expression": "no_such_column > 1"},
-    {"name": "forbidden", "type": "violation", "expression": "reflect('java.lang.System', 'exit') = 1"},
+    {"name": "forbidden", "type": "violation", "expression": "reflect('java.lang.System', 'lineSeparator') = 'x'"},
     {"name": "empty", "type": "violation", "expression": ""},
 ]
 RULE_IDENTITY = [
@@ -167,7 +167,7 @@ RULE_IDENTITY = [
     "IF o_orderpriority = '1-URGENT' THEN not (o_orderstatus = 'F')",
     "o_orderkey < 0 => o_totalprice > 0",
     "no_such_column > 1",
-    "reflect('java.lang.System', 'exit') = 1",
+    "reflect('java.lang.System', 'lineSeparator') = 'x'",
 ]
 
 

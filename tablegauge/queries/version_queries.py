@@ -32,12 +32,11 @@ BASELINE_SQL = with_views(f"{BASELINE} SELECT run_id, chosen_baseline_id FROM b"
 
 
 def lineage_baseline(spark, sf_dir):
-    few = _runs(spark, sf_dir).where("quality_score > 60")
-    return diff.lineage_baselines(view(spark, sf_dir, "datasets"), few)
+    return diff.lineage_baselines(view(spark, sf_dir, "datasets"), _runs(spark, sf_dir))
 
 
 LATEST_PER_DATASET = (
-    "SELECT dataset_id, run_id FROM runs WHERE status = 'COMPLETED' AND quality_score > 60 "
+    "SELECT dataset_id, run_id FROM runs WHERE status = 'COMPLETED' "
     "QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY completed_at DESC, run_id DESC) = 1"
 )
 LINEAGE_SQL = with_views(

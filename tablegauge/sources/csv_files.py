@@ -1,4 +1,4 @@
-"""CSV files: one look at the head to find the layout, then one distributed read."""
+"""CSV files: the delimiter from the head, the encoding from all lines, then a distributed read."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablegauge.functions.columns import col
 
 DELIMITERS = ",;\t|"
 HEAD_LINES = 100
 HEAD_CHARACTERS = 8192
-UNREADABLE = "\ufffd"
+MALFORMED = "_malformed"
 
 # Spark reads Latin-1 but not Windows-1252, which differs in these 32 code points.
 LATIN_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
@@ -36,9 +37,10 @@ LEADING_ZERO_TEXT = r"^\s*[+-]?0\d"
 
 
 def sniff(spark: SparkSession, path: str) -> dict[str, str]:
-    """Delimiter and encoding from the first lines of the data."""
-    lines = [row["value"] for row in spark.read.text(path).limit(HEAD_LINES).collect()]
-    head = "\n".join(lines)[:HEAD_CHARACTERS]
+    """Delimiter from the first lines of the data, encoding from every line of it."""
+    text = spark.read.text(path)
+    first = text.limit(HEAD_LINES).select(F.make_valid_utf8(F.substring("value", 1, HEAD_CHARACTERS)))
+    head = "\n".join(row[0] for row in first.collect())[:HEAD_CHARACTERS]
     if not head.strip():
         raise ValueError(f"no data in {path}")
     if head.startswith("PK\x03\x04"):
@@ -50,29 +52,43 @@ def sniff(spark: SparkSession, path: str) -> dict[str, str]:
     except csv.Error:
         counts = {d: head.splitlines()[0].count(d) for d in DELIMITERS}
         delimiter = max(counts, key=counts.get)
-    return {"sep": delimiter, "encoding": "ISO-8859-1" if UNREADABLE in head else "UTF-8"}
+    readable = text.agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
+    return {"sep": delimiter, "encoding": "UTF-8" if readable else "ISO-8859-1"}
 
 
 def read_csv(
-    spark: SparkSession, path: str, multi_line: bool = True, typed: bool = True
+    spark: SparkSession,
+    path: str,
+    multi_line: bool = True,
+    typed: bool = True,
+    malformed: str = "fail",
 ) -> DataFrame:
     """A CSV file or folder as a table.
 
+    A row with more cells than the header has would lose them: with `malformed` "fail" such rows end
+    the read with their number and one of them, with "keep" the column `_malformed` holds their text.
+    A row with fewer cells ends in missing ones.
+
     `multi_line` allows line breaks inside quotes, at the price of one task per file; turn it off
     for large files without them, so that a file is split over tasks. With `typed` off every
     column stays text.
     """
     layout = sniff(spark, path)
-    text = spark.read.csv(
-        path,
-        header=True,
-        sep=layout["sep"],
-        encoding=layout["encoding"],
-        escape='"',
-        multiLine=multi_line,
-        mode="PERMISSIVE",
-        nullValue="",
-    )
+    options = {"sep": layout["sep"], "escape": '"', "nullValue": "", "mode": "PERMISSIVE"}
+    reader = spark.read.options(**options, header=True, encoding=layout["encoding"], multiLine=multi_line)
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, MALFORMED]])
+    text = reader.schema(schema).option("columnNameOfCorruptRecord", MALFORMED).csv(path)
+    # Spark marks short rows, too; one cell beyond the header tells the long ones
+    wider = ", ".join(f"c{i} STRING" for i in range(len(names) + 1))
+    beyond = F.from_csv(col(MALFORMED), wider, options)[f"c{len(names)}"]
+    text = text.withColumn(MALFORMED, F.when(beyond.isNotNull(), col(MALFORMED)))
+    if malformed != "keep":
+        # Spark reads the marks only together with another column
+        found = text.agg(F.count(MALFORMED).alias("n"), F.min(MALFORMED).alias("row"), F.count(col(names[0]))).first()
+        if found["n"]:
+            raise ValueError(f"{found['n']} rows of {path} have more cells than its header, such as: {found['row'][:200]}")
+        text = text.drop(MALFORMED)
     if layout["encoding"] != "UTF-8":
         letters = str.maketrans(LATIN_CONTROLS, WINDOWS_LETTERS)
         text = text.select(
