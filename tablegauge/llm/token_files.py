@@ -108,6 +108,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> N
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, blobs], names=["doc_id", "n_ids", "blob"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoder.cache_clear()  # a worker that has encoded before does not need its tables here
         held: list[tuple] = []
         at, number, before, held_bytes = None, 0, 0, 0
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GENERATION = 200_000
+GENERATION = 150_000
 LIBRARY_PARTS = 64
 
 #: Words of characters below U+0180, where lower case, letters and digits are beyond doubt (U+0130
