@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablegauge.functions.fingerprints import fingerprint, outlier_fingerprint, row_fingerprints
 from tablegauge.functions.severity import WORSE_WHEN_LARGER, severity
 from tablegauge.operators import history, scoring
+from tablegauge.operators.versions import with_root
 from tablegauge.plans.evaluate import EvaluationContext, evaluate
 from tablegauge.queries.rule_queries import RULES
 from tablegauge.queries.support import (
@@ -19,6 +20,7 @@ from tablegauge.queries.support import (
     view,
     with_views,
 )
+from tablegauge.queries.version_queries import ROOTS
 
 # ---- scoring --------------------------------------------------------------------------------
 
@@ -405,36 +407,37 @@ RECENT_SQL = with_views(f"{RECENT} SELECT project_id, run_id, position, quality_
 
 
 def score_trend(spark, sf_dir):
-    trend = history.score_trend(view(spark, sf_dir, "runs"), "dataset_id", 70.0)
+    rooted = with_root(view(spark, sf_dir, "datasets")).select("dataset_id", "root_id")
+    trend = history.score_trend(view(spark, sf_dir, "runs").join(rooted, "dataset_id"), "root_id", 70.0)
     return rounded(trend, "last_score", "trend", "min_score", "max_score")
 
 
 SCORE_TREND_SQL = with_views(
-    "c AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY completed_at DESC, run_id DESC) AS rn FROM runs "
-    "WHERE status = 'COMPLETED' AND quality_score IS NOT NULL) "
-    "SELECT dataset_id, round(max(quality_score) FILTER (WHERE rn = 1), 6) + 0.0 AS last_score, "
+    f"{ROOTS}, c AS (SELECT r.*, g.root_id, row_number() OVER (PARTITION BY root_id ORDER BY completed_at DESC, run_id DESC) AS rn FROM runs r "
+    "JOIN g ON g.dataset_id = r.dataset_id WHERE status = 'COMPLETED' AND quality_score IS NOT NULL) "
+    "SELECT root_id, round(max(quality_score) FILTER (WHERE rn = 1), 6) + 0.0 AS last_score, "
     "round(max(quality_score) FILTER (WHERE rn = 1) - max(quality_score) FILTER (WHERE rn = 2), 6) + 0.0 AS trend, "
     "round(min(quality_score), 6) + 0.0 AS min_score, round(max(quality_score), 6) + 0.0 AS max_score, "
     "count(*) FILTER (WHERE quality_score >= 70) AS passing, count(*) AS total FROM c GROUP BY 1",
-    "runs",
-)
+    "datasets", "runs",
+)
 
 
 def version_trend(spark, sf_dir):
     from tablegauge.operators.versions import latest_completed_runs
 
     latest = latest_completed_runs(view(spark, sf_dir, "runs"), "dataset_id").select("dataset_id", "quality_score")
-    chains = view(spark, sf_dir, "datasets").withColumn("chain", F.floor(F.col("dataset_id") / 16))
-    return rounded(history.version_trend(chains.join(latest, "dataset_id", "left"), "chain"), "score_diff")
+    rooted = with_root(view(spark, sf_dir, "datasets"))
+    return rounded(history.version_trend(rooted.join(latest, "dataset_id", "left"), "root_id"), "score_diff")
 
 
 VERSION_TREND_SQL = with_views(
-    "l AS (SELECT dataset_id, quality_score FROM runs WHERE status = 'COMPLETED' QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY completed_at DESC, run_id DESC) = 1), "
-    "c AS (SELECT d.dataset_id // 16 AS chain, arg_min(l.quality_score, d.version) FILTER (WHERE l.quality_score IS NOT NULL) AS a, "
-    "arg_max(l.quality_score, d.version) FILTER (WHERE l.quality_score IS NOT NULL) AS b FROM datasets d LEFT JOIN l ON l.dataset_id = d.dataset_id GROUP BY 1) "
-    "SELECT chain, round(coalesce(b, 0) - coalesce(a, 0), 6) + 0.0 AS score_diff, CASE WHEN coalesce(b, 0) - coalesce(a, 0) > 2 THEN 'improving' "
+    f"{ROOTS}, l AS (SELECT dataset_id, quality_score FROM runs WHERE status = 'COMPLETED' QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY completed_at DESC, run_id DESC) = 1), "
+    "c AS (SELECT d.root_id, arg_min(l.quality_score, d.version) FILTER (WHERE l.quality_score IS NOT NULL) AS a, "
+    "arg_max(l.quality_score, d.version) FILTER (WHERE l.quality_score IS NOT NULL) AS b FROM g d LEFT JOIN l ON l.dataset_id = d.dataset_id GROUP BY 1) "
+    "SELECT root_id, round(coalesce(b, 0) - coalesce(a, 0), 6) + 0.0 AS score_diff, CASE WHEN coalesce(b, 0) - coalesce(a, 0) > 2 THEN 'improving' "
     "WHEN coalesce(b, 0) - coalesce(a, 0) < -2 THEN 'worsening' ELSE 'stable' END AS trend FROM c",
-    "runs", "datasets",
+    "datasets", "runs",
 )
 
 
