@@ -78,8 +78,16 @@ def mark_new_issues(issues: DataFrame, baselines: DataFrame) -> DataFrame:
     )
 
 
-def fixed_fingerprints(issues: DataFrame, baselines: DataFrame) -> DataFrame:
-    """(run_id, fingerprint): distinct baseline fingerprints a run no longer has."""
+def fixed_fingerprints(
+    issues: DataFrame, baselines: DataFrame, runs: list[int] | None = None
+) -> DataFrame:
+    """(run_id, fingerprint): distinct baseline fingerprints a run no longer has.
+
+    Runs that share a baseline each list its fingerprints, so a listing over many runs should name
+    them; `diff_summary` counts without listing.
+    """
+    if runs is not None:
+        baselines = baselines.where(F.col("run_id").isin(runs))
     prints = (
         issues.where(F.col("fingerprint").isNotNull() & (F.col("fingerprint") != ""))
         .select("run_id", "fingerprint")

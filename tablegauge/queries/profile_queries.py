@@ -77,16 +77,16 @@ def _top_sql(columns: list[str], source: str, k: int) -> str:
 
 
 def overview(spark, sf_dir):
-    return profiling.overview(view(spark, sf_dir, "docs_labels").drop("doc_id"), 1000)
+    return profiling.overview(view(spark, sf_dir, "docs_labels"), 1000)
 
 
-DOC_CELLS = ["text", "lang", "source", "n_chars", "quality", "toxic"]
+DOC_CELLS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 _DOC_MISSING = " + ".join(f"count(*) - count({c})" for c in DOC_CELLS)
 OVERVIEW_SQL = with_views(
-    "d AS (SELECT text, lang, source, n_chars, quality, toxic FROM docs_labels), "
+    "d AS (SELECT doc_id, text, lang, source, n_chars, quality, toxic FROM docs_labels), "
     f"s AS (SELECT count(*) AS n, {_DOC_MISSING} AS m, (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS u FROM d) "
-    "SELECT n AS total_rows, 6 AS total_columns, n * 6 AS total_cells, m AS total_missing, "
-    "round(100.0 * m / (n * 6), 2) AS missing_percent, n - u AS duplicate_rows, "
+    "SELECT n AS total_rows, 7 AS total_columns, n * 7 AS total_cells, m AS total_missing, "
+    "round(100.0 * m / (n * 7), 2) AS missing_percent, n - u AS duplicate_rows, "
     "round(100.0 * (n - u) / n, 2) AS duplicate_percent, CAST(1000 AS BIGINT) AS estimated_size_bytes FROM s",
     "docs_labels",
 )
@@ -308,14 +308,14 @@ RUN_METRIC_SQL = with_views(
 
 
 def quick_analysis(spark, sf_dir):
-    row = profiling.quick_analysis(view(spark, sf_dir, "docs_labels").drop("doc_id"))
+    row = profiling.quick_analysis(view(spark, sf_dir, "docs_labels"))
     return rounded(row, "completeness", "uniqueness", "quality_score")
 
 
 _DOC_SHARES = " + ".join(f"count({c}) * 1.0 / count(*)" for c in DOC_CELLS)
 QUICK_SQL = with_views(
-    "d AS (SELECT text, lang, source, n_chars, quality, toxic FROM docs_labels), "
-    f"s AS (SELECT ({_DOC_SHARES}) / 6 AS c, (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) * 1.0 / count(*) AS u FROM d) "
+    "d AS (SELECT doc_id, text, lang, source, n_chars, quality, toxic FROM docs_labels), "
+    f"s AS (SELECT ({_DOC_SHARES}) / 7 AS c, (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) * 1.0 / count(*) AS u FROM d) "
     "SELECT round(c, 6) + 0.0 AS completeness, round(u, 6) + 0.0 AS uniqueness, CAST(0.95 AS DOUBLE) AS consistency, "
     "round((c + u + 0.95) / 3, 6) + 0.0 AS quality_score FROM s",
     "docs_labels",
