@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablegauge.functions.fingerprints import fingerprint, outlier_fingerprint, row_fingerprints
 from tablegauge.functions.severity import WORSE_WHEN_LARGER, severity
 from tablegauge.operators import history, scoring
+from tablegauge.operators.drilldown import page
 from tablegauge.operators.versions import with_root
 from tablegauge.plans.evaluate import EvaluationContext, evaluate
 from tablegauge.queries.rule_queries import RULES
@@ -271,6 +272,24 @@ RUN_LIST_SQL = with_views(
 )
 
 
+def run_list_pages(spark, sf_dir):
+    """The third page of the list, newest first, reached by the last row of the second."""
+    listed = history.run_list(
+        view(spark, sf_dir, "runs"), view(spark, sf_dir, "datasets"), view(spark, sf_dir, "projects"), "COMPLETED"
+    ).select("run_id", "dataset_name", "project_name", "completed_at")
+    order = ["-completed_at", "-run_id"]
+    last = page(listed, order, 2, 25).orderBy("completed_at", "run_id").first()
+    after = [last["completed_at"], last["run_id"]] if last else None
+    return page(listed, order, 1, 25, after=after).select("run_id", "dataset_name", "project_name")
+
+
+RUN_PAGE_SQL = with_views(
+    "SELECT r.run_id, d.dataset_name, p.project_name FROM runs r JOIN datasets d ON d.dataset_id = r.dataset_id "
+    "JOIN projects p ON p.project_id = r.project_id WHERE r.status = 'COMPLETED' ORDER BY r.completed_at DESC, r.run_id DESC LIMIT 25 OFFSET 50",
+    "runs", "datasets", "projects",
+)
+
+
 def issue_list(spark, sf_dir):
     issues = view(spark, sf_dir, "issues")
     busiest = issues.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "run_id").first()
@@ -524,6 +543,7 @@ QUERIES = [
     Query("gate_distribution", "H3", gate_distribution, GATE_DISTRIBUTION_SQL),
     Query("severity_distribution", "H4", severity_distribution, SEVERITY_DISTRIBUTION_SQL),
     Query("recent_runs", "H5", recent_runs, RECENT_SQL),
+    Query("run_list_pages", "L6 L8", run_list_pages, RUN_PAGE_SQL),
     Query("score_trend", "H6", score_trend, SCORE_TREND_SQL),
     Query("version_trend", "H7", version_trend, VERSION_TREND_SQL),
     Query("attention_list", "H8", attention_list, ATTENTION_SQL),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablegauge.operators import diff, history, versions
+from tablegauge.plans.compare import compare_runs
 from tablegauge.queries.support import Query, rounded, view, with_views
 
 
@@ -286,6 +287,22 @@ RUN_COMPARE_SQL = with_views(
 )
 
 
+def run_compare_overall(spark, sf_dir):
+    """The first and the last scored run."""
+    runs = view(spark, sf_dir, "runs")
+    ends = runs.where("quality_score IS NOT NULL").agg(F.min("run_id"), F.max("run_id")).first()
+    compared = compare_runs(runs, view(spark, sf_dir, "metric_scores"), ends[0], ends[1])
+    return rounded(compared.overall, "overall_difference")
+
+
+OVERALL_SQL = with_views(
+    "e AS (SELECT arg_min(quality_score, run_id) - arg_max(quality_score, run_id) AS gap FROM runs WHERE quality_score IS NOT NULL) "
+    "SELECT round(abs(gap), 6) + 0.0 AS overall_difference, CASE WHEN gap > 0 THEN 'improvement' WHEN gap < 0 THEN 'decline' ELSE 'unchanged' END "
+    "AS overall_trend FROM e",
+    "runs",
+)
+
+
 def run_compare_categories(spark, sf_dir):
     first, second = _score_sides(spark, sf_dir)
     compared = versions.compare_categories(versions.compare_scores(first, second, ["pair"]), ["pair"])
@@ -321,6 +338,7 @@ QUERIES = [
     Query("issue_diff", "D3", issue_diff, ISSUE_DIFF_SQL),
     Query("fixed_issues", "D3", fixed_issues, FIXED_SQL),
     Query("diff_summary", "D4", diff_summary, DIFF_SUMMARY_SQL),
+    Query("run_compare_overall", "V11", run_compare_overall, OVERALL_SQL),
     Query("root_datasets", "V1", root_datasets, ROOT_SQL),
     Query("version_history", "V2", version_history, HISTORY_SQL),
     Query("latest_versions", "V3", latest_version, LATEST_VERSION_SQL),
