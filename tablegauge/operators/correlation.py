@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tablegauge.functions.columns import col, kinds, number_of, numeric_columns, value_sql
 from tablegauge.session import checkpointed
 
+# Pairs of one aggregate: with many more its code grows too large to be compiled.
+PAIRS_AT_ONCE = 300
+
 PAIR_SCHEMA = "column_a string, column_b string, coefficient double"
 
 
@@ -27,13 +30,18 @@ def _pair_rows(wide: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def pearson(
     df: DataFrame, columns: list[str] | None = None, sensitive: list[str] | None = None
 ) -> DataFrame:
-    """(column_a, column_b, coefficient) of every column pair, in one scan and one aggregate."""
+    """(column_a, column_b, coefficient) of every column pair, in one aggregate per block of pairs."""
     names = [c for c in numeric_columns(df, columns) if c not in (sensitive or [])]
     pairs = list(combinations(names, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    blocks = [pairs[i : i + PAIRS_AT_ONCE] for i in range(0, len(pairs), PAIRS_AT_ONCE)]
+    return reduce(DataFrame.unionByName, [_pearson_block(df, block) for block in blocks])
+
+
+def _pearson_block(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     by_kind = kinds(df)
-    number = {name: f"double({value_sql(name, by_kind[name])})" for name in names}
+    number = {n: f"double({value_sql(n, by_kind[n])})" for pair in pairs for n in pair}
     # A null on either side leaves the row out of that pair only. `corr` itself fails on a
     # constant column, so the quotient is taken here.
     sums = [

@@ -2,11 +2,14 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tablegauge import EvaluationContext, evaluate
 from tablegauge.functions.scalars import to_timestamp
+from tablegauge.operators.correlation import pearson
 from tablegauge.operators.drilldown import page, search
 from tablegauge.operators.duplicates import duplicate_groups
 from tablegauge.operators.rules import LogicalConsistency, prepare_rules, split_if_then
@@ -145,6 +148,15 @@ def test_if_then_scanner(text, parts):
     assert split_if_then(text) == parts
 
 
+def test_pearson_of_a_wide_table(spark):
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame(rng.normal(size=(50, 30)), columns=[f"c{i}" for i in range(30)])
+    got = {(r[0], r[1]): r[2] for r in pearson(spark.createDataFrame(pdf)).collect()}
+    expected = pdf.corr()
+    assert len(got) == 435
+    assert all(v == pytest.approx(expected.loc[a, b], abs=1e-9) for (a, b), v in got.items())
+
+
 def test_two_part_rules(spark):
     rule = prepare_rules(rule_table(spark), [{"type": "if_then", "expression": "IF s = 'then' THEN x > 1"}])[0]
     assert rule.violates is not None and rule.columns == ["x", "s"]
