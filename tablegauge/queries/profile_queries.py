@@ -206,8 +206,10 @@ def type_summary(spark, sf_dir):
 
 
 TYPE_SUMMARY_SQL = (
-    "SELECT 'numeric' AS category, count(DISTINCT 1) * 3 AS cnt, 'p_partkey,p_retailprice,p_size' AS names FROM part "
-    "UNION ALL SELECT 'categorical', count(DISTINCT 1) * 3, 'p_brand,p_name,p_type' FROM part"
+    "WITH t AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS name, any_value(typeof({c})) AS type FROM part" for c in PART_COLUMNS)
+    + ") SELECT CASE WHEN type = 'VARCHAR' THEN 'categorical' ELSE 'numeric' END AS category, count(*) AS cnt, "
+    "string_agg(name, ',' ORDER BY name) AS names FROM t GROUP BY 1"
 )
 
 
@@ -291,11 +293,12 @@ DIRTY_NUMERIC = ["o_orderkey", "o_custkey", "o_totalprice"]
 def run_column_metrics(spark, sf_dir):
     orders = view(spark, sf_dir, "dirty_orders").select(*DIRTY)
     metrics = profiling.run_column_metrics(orders, value_frequency(orders, whole_text=[]))
-    return rounded(metrics, "completeness", "uniqueness", "mean", "median", "std").drop("kind")
+    return rounded(metrics, "completeness", "uniqueness", "mean", "median", "std")
 
 
 _RUN_METRIC = (
-    "round(count({c}) * 1.0 / count(*), 6) + 0.0 AS completeness, round(count(DISTINCT {c}) * 1.0 / count(*), 6) + 0.0 AS uniqueness, "
+    "CASE any_value(typeof({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'fraction' WHEN 'TIMESTAMP' THEN 'time' "
+    "WHEN 'DATE' THEN 'time' ELSE 'integer' END AS kind, round(count({c}) * 1.0 / count(*), 6) + 0.0 AS completeness, round(count(DISTINCT {c}) * 1.0 / count(*), 6) + 0.0 AS uniqueness, "
     "count(*) - count({c}) AS n_nulls, count({c}) AS n_non_nulls, count(DISTINCT {c}) AS n_unique"
 )
 RUN_METRIC_SQL = with_views(

@@ -51,10 +51,7 @@ CSV_TYPE_SQL = f"WITH t AS ({TEXT_ORDERS}), n AS (SELECT " + ", ".join(
     "WHEN bool_and(lower({c}) IN ('true', 'false')) THEN 'boolean' ELSE 'string' END AS type FROM n",
 )
 
-DOC_TYPES = {
-    "doc_id": "bigint", "text": "string", "lang": "string", "source": "string",
-    "n_chars": "bigint", "quality": "int", "toxic": "int",
-}
+DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 
 
 def schema_listing(spark, sf_dir):
@@ -63,8 +60,9 @@ def schema_listing(spark, sf_dir):
 
 SCHEMA_SQL = with_views(
     " UNION ALL ".join(
-        f"SELECT {i} AS position, '{c}' AS name, '{t}' AS type, count(*) > count({c}) AS nullable FROM docs_labels"
-        for i, (c, t) in enumerate(DOC_TYPES.items())
+        f"SELECT {i} AS position, '{c}' AS name, CASE any_value(typeof({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' "
+        f"ELSE lower(any_value(typeof({c}))) END AS type, count(*) > count({c}) AS nullable FROM docs_labels"
+        for i, c in enumerate(DOC_COLUMNS)
     ),
     "docs_labels",
 )
