@@ -14,14 +14,13 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.llm.tokens import WordEncoder
+from tablegauge.llm.tokens import word_encoder
 from tablegauge.session import checkpoint_folder
 
 BUDGET_TOKENS = 1024
@@ -77,11 +76,6 @@ def parse_turns(formatted: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-@cache
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 @dataclass
 class _Turn:
     text: str
@@ -172,7 +166,7 @@ def format_windows(turns: DataFrame, vocabulary: str, budget: int = BUDGET_TOKEN
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(low, ROWS_AT_ONCE).to_pylist()
                 formatted = [made(r["role"], r["text"]) for r in rows]
-                sizes = [len(x) // 4 for x in _encoder(vocabulary).encode(pa.array([t for t, _ in formatted], pa.string()))]
+                sizes = [len(x) // 4 for x in word_encoder(vocabulary).encode(pa.array([t for t, _ in formatted], pa.string()))]
                 for r, (text, target), tokens in zip(rows, formatted, sizes, strict=True):
                     turn, segment = _Turn(text, tokens, target), (r["conv_id"], r["segment"])
                     if at is None or at.segment != segment:
@@ -181,7 +175,7 @@ def format_windows(turns: DataFrame, vocabulary: str, budget: int = BUDGET_TOKEN
                         at = _Open(segment, budget, history)
                         if r["system"] is not None and not r["is_system"]:  # a later segment of its conversation
                             system = format_turn("system", r["system"])
-                            size = len(_encoder(vocabulary).encode(pa.array([system]))[0]) // 4
+                            size = len(word_encoder(vocabulary).encode(pa.array([system]))[0]) // 4
                             at.system = _Turn(system, size, None)
                             at.repeated = [at.system] if size <= budget // 2 else []
                         elif r["is_system"]:

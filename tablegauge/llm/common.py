@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.session import apply_session_settings, checkpointed
 
-__all__ = ["apply_session_settings", "bound_bucket", "checkpointed", "id_bounds", "read_table", "row_key", "slices"]
+__all__ = ["apply_session_settings", "bound_bucket", "checkpointed", "free_worker_table", "id_bounds", "read_table", "row_key", "slices", "worker_table"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,24 @@ def bound_bucket(column: str, bounds: list[int]) -> Column:
     return F.when(F.col(column).isNull(), F.lit(0)).otherwise(found)
 
 
+_WORKER_TABLES: dict[tuple, object] = {}
+
+
+def worker_table(key: tuple, make: Callable[[], object]) -> object:
+    """A table that a Python worker keeps from task to task, one at a time.
+
+    Spark uses workers again for other stages; asking for another table, or for none, frees the last.
+    """
+    if key not in _WORKER_TABLES:
+        _WORKER_TABLES.clear()
+        _WORKER_TABLES[key] = make()
+    return _WORKER_TABLES[key]
+
+
+def free_worker_table() -> None:
+    _WORKER_TABLES.clear()
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in parts, so that what is made of a part at a time stays small."""
     for batch in batches:

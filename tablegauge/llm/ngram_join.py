@@ -9,7 +9,6 @@ and a task returns numbers of links and a spanning forest rather than pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.llm.common import checkpointed, row_key
+from tablegauge.llm.common import checkpointed, free_worker_table, row_key, worker_table
 from tablegauge.llm.components import components
 
 WORDS = 5
@@ -29,7 +28,7 @@ FAR_SIMILARITY, NOISE = 0.4, 0.3
 #: A block of a bucket has about so many classes, and so many n-grams in all.
 BLOCK_CLASSES = 256
 BLOCK_NGRAMS = 1 << 18
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,9 +50,8 @@ class _WordHashes(dict):
         return value
 
 
-@cache
 def _word_hashes() -> _WordHashes:
-    return _WordHashes()
+    return worker_table(("word hashes",), _WordHashes)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -145,6 +143,7 @@ def _verify(similarity: float) -> Callable[[tuple, pa.Table], pa.Table]:
     millionths = round(similarity * 1_000_000)
 
     def verify(key: tuple, rows: pa.Table) -> pa.Table:
+        free_worker_table()
         band, _, low, high = (k.as_py() for k in key)
         nodes = rows.column("node").to_pylist()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("ngrams").to_pylist()]

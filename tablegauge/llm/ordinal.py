@@ -12,7 +12,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -20,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegauge.llm.common import free_worker_table, worker_table
+
 WORD_FEATURES = 1 << 18
 FORM_FEATURES = 1 << 10
 #: Shares of: distinct words, words in capitals, words with odd marks, words without letters; and a constant.
@@ -27,14 +28,14 @@ TEXT_FEATURES = 5
 FEATURES = WORD_FEATURES + FORM_FEATURES + TEXT_FEATURES
 #: Labelled rows that the fit uses at most: those with the smallest hash of their id. Fitting is one
 #: task over the features of these rows; scoring covers all rows.
-TRAINING_ROWS = 20_000
+TRAINING_ROWS = 10_000
 #: Distinct words that the fit uses of a text at most, the first ones; scoring uses all.
-TRAINING_WORDS = 4_000
+TRAINING_WORDS = 2_000
 STEPS, RATE, PENALTY = 150, 0.05, 1e-3
 #: Rows of either kind that a word is taken to have been seen in beforehand, when its evidence is weighed.
 PRIOR_ROWS = 10
 SHARE_SCALE = 6.0
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 
 _MARKS = ".,!?;:|*%#&$@~^_-=+()[]{}<>/\\\"'`"
 
@@ -55,9 +56,8 @@ class _WordFeatures(dict):
         return value
 
 
-@cache
 def _word_features() -> _WordFeatures:
-    return _WordFeatures()
+    return worker_table(("word features",), _WordFeatures)
 
 
 def features(text: str | None, most_words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +163,7 @@ def train(labelled: DataFrame, n_grades: int) -> OrdinalModel:
             yield pa.RecordBatch.from_arrays([*arrays, batch.column(2)], names=["grade", "index", "value", "order"])
 
     def learn(rows: pa.Table) -> pa.Table:
+        free_worker_table()
         rows = rows.sort_by([("order", "ascending"), ("grade", "ascending")])  # sums do not depend on arrival
         grades = rows.column("grade").to_numpy().astype(np.int64)
         found = [

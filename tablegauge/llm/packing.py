@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.llm.common import checkpointed, slices
-from tablegauge.llm.tokens import WordEncoder
+from tablegauge.llm.common import checkpointed, free_worker_table, slices
+from tablegauge.llm.tokens import word_encoder
 
 SEQUENCE_TOKENS = 2048
 GROUP_PIECES = 4096
@@ -30,11 +29,6 @@ GOOD_FILL = 0.995
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@cache
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 def document_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int = SEQUENCE_TOKENS, carry: str = "") -> DataFrame:
     """One row per piece of each document: place and length in ids, and the checksum of its ids.
 
@@ -45,7 +39,7 @@ def document_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int = S
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(_encoder(vocabulary).encode(batch.column(1), end_id)):
+            for i, ids in enumerate(word_encoder(vocabulary).encode(batch.column(1), end_id)):
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     row.append(i)
@@ -103,6 +97,7 @@ def _place(prefix: int, last: bool, size: int) -> Callable[[tuple, pa.Table], pa
     """Packs the pieces of a group; `last` keeps all of them, else only well filled sequences are good."""
 
     def place(key: tuple, pieces: pa.Table) -> pa.Table:
+        free_worker_table()
         pieces = pieces.take(pc.sort_indices(pieces, [("length", "descending"), ("__tie", "ascending")]))
         lengths = pieces.column("length").to_numpy()
         bins, offsets = sum_of_squares(lengths, size)

@@ -9,7 +9,6 @@ its number of tokens. What is shuffled is the frequencies, three bytes an entry,
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablegauge.llm.common import worker_table
 from tablegauge.llm.tokens import PreTokenizer
 
 CHUNK_DOCUMENTS = 4096
@@ -34,9 +34,8 @@ DOCUMENT = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("n_bytes", "<i8"), (
 _ROWS = "pre_token string, chunk long, entries binary"
 
 
-@cache
 def _pre_tokenizer(path: str) -> PreTokenizer:
-    return PreTokenizer(path)
+    return worker_table(("pre-tokens", path), lambda: PreTokenizer(path))
 
 
 def _bytes_of(values: np.ndarray, ends: np.ndarray) -> pa.Array:

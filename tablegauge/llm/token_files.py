@@ -19,7 +19,6 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablegauge.llm.common import bound_bucket, id_bounds, slices
-from tablegauge.llm.tokens import WordEncoder
+from tablegauge.llm.common import bound_bucket, free_worker_table, id_bounds, slices
+from tablegauge.llm.tokens import word_encoder
 from tablegauge.session import checkpoint_folder
 
 DICTIONARY_BYTES = 32 * 1024
@@ -48,11 +47,6 @@ SHARD_SCHEMA = (
 )
 
 
-@cache
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 def _narrow(ids: bytes, wide: bool) -> bytes:
     return ids if wide else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
 
@@ -68,9 +62,9 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, wide: bool)
     last = hashes.agg(F.max("hash")).first()[0]
     start = F.first(F.substring("text", 1, 4 * TRAINING_IDS)).alias("start")
     rows = texts.where(F.col("hash") <= F.lit(last)).groupBy("hash").agg(start).orderBy("hash").collect()
-    encoded = _encoder(vocabulary).encode(pa.array([r.start for r in rows], pa.string()), end_id)
+    encoded = word_encoder(vocabulary).encode(pa.array([r.start for r in rows], pa.string()), end_id)
     samples = [_narrow(x[: 4 * TRAINING_IDS], wide) for x in encoded]
-    _encoder.cache_clear()
+    free_worker_table()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -93,7 +87,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> N
     order of their bytes. An empty table gives a store without shards.
     """
     spark = docs.sparkSession
-    wide = max(end_id + 1, _encoder(vocabulary).tokenizer.get_vocab_size()) > 1 << 16
+    wide = max(end_id + 1, word_encoder(vocabulary).tokenizer.get_vocab_size()) > 1 << 16
     dictionary = train_dictionary(docs, vocabulary, end_id, wide)
     name = hashlib.sha256(dictionary + bytes([wide])).hexdigest()
     stored = spark.createDataFrame([(name, wide, bytearray(dictionary))], "hash string, wide boolean, dictionary binary")
@@ -102,13 +96,13 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> N
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = _compressor(dictionary)
         for batch in slices(batches):
-            ids = _encoder(vocabulary).encode(batch.column(1), end_id)
+            ids = word_encoder(vocabulary).encode(batch.column(1), end_id)
             sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
             blobs = pa.array([pack.compress(_narrow(x, wide)) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, blobs], names=["doc_id", "n_ids", "blob"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _encoder.cache_clear()  # a worker that has encoded before does not need its tables here
+        free_worker_table()
         held: list[tuple] = []
         at, number, before, held_bytes = None, 0, 0, 0
 

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tablegauge.llm.common import worker_table
+
 GENERATION = 150_000
 LIBRARY_PARTS = 64
 
@@ -172,6 +174,11 @@ class WordEncoder:
         return out
 
 
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker."""
+    return worker_table(("words", path), lambda: WordEncoder(path))
+
+
 #: The byte-level vocabulary's own pre-tokens, for texts of plain characters only.
 _PRE_TOKENS = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ]+"
