@@ -8,9 +8,10 @@ shares of the whole text.
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm.common import free_worker_table, worker_table
+from tablegauge.llm.common import free_worker_table, slices, worker_table
 
 WORD_FEATURES = 1 << 18
 FORM_FEATURES = 1 << 10
@@ -29,12 +30,13 @@ FEATURES = WORD_FEATURES + FORM_FEATURES + TEXT_FEATURES
 #: Labelled rows that the fit uses at most: those with the smallest hash of their id. Fitting is one
 #: task over the features of these rows; scoring covers all rows.
 TRAINING_ROWS = 10_000
-#: Distinct words that the fit uses of a text at most, the first ones; scoring uses all.
-TRAINING_WORDS = 2_000
+#: Features that the fit has in memory at a time, but for the last row of a block; the others wait in a file.
+BLOCK_FEATURES = 1 << 20
 STEPS, RATE, PENALTY = 150, 0.05, 1e-3
 #: Rows of either kind that a word is taken to have been seen in beforehand, when its evidence is weighed.
 PRIOR_ROWS = 10
 SHARE_SCALE = 6.0
+ROWS_AT_ONCE = 256
 KNOWN_WORDS = 200_000
 
 _MARKS = ".,!?;:|*%#&$@~^_-=+()[]{}<>/\\\"'`"
@@ -60,7 +62,7 @@ def _word_features() -> _WordFeatures:
     return worker_table(("word features",), _WordFeatures)
 
 
-def features(text: str | None, most_words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a text's features; a null or empty text has the constant alone."""
     known = _word_features()
     if len(known) > KNOWN_WORDS:
@@ -70,10 +72,9 @@ def features(text: str | None, most_words: int | None = None) -> tuple[np.ndarra
     words: dict[int, float] = {}
     forms: Counter[int] = Counter()
     kinds = [0] * 8
-    for i, (word, n) in enumerate(counts.items()):
+    for word, n in counts.items():
         index, form, kind = known[word]
-        if most_words is None or i < most_words:
-            words[index] = 1.0
+        words[index] = 1.0
         forms[form] += n
         kinds[kind] += n
     shares = [len(counts)] + [sum(n for k, n in enumerate(kinds) if k & bit) for bit in (1, 2, 4)]
@@ -102,13 +103,53 @@ class OrdinalModel:
         return 1.0 - _sigmoid(self.thresholds[None, :] - scores[:, None])
 
 
-def _evidence(index: np.ndarray, repeats: np.ndarray, top: np.ndarray) -> np.ndarray:
+class _Sample:
+    """The rows of the fit: grades in memory, features in a file without a name, read back in blocks of whole rows."""
+
+    def __init__(self) -> None:
+        self.file = tempfile.TemporaryFile()
+        self.grades: list[int] = []
+        self.sizes: list[int] = []
+        #: First row and row after the last of each block.
+        self.blocks: list[tuple[int, int]] = []
+        self._open: list[tuple[np.ndarray, np.ndarray]] = []
+        self._held = 0
+
+    def add(self, index: np.ndarray, value: np.ndarray, grade: int) -> None:
+        self._open.append((index, value))
+        self.grades.append(grade)
+        self.sizes.append(len(index))
+        self._held += len(index)
+        if self._held >= BLOCK_FEATURES:
+            self.close_block()
+
+    def close_block(self) -> None:
+        if self._open:
+            for part in (0, 1):
+                self.file.write(np.concatenate([row[part] for row in self._open]).tobytes())
+            self.blocks.append((len(self.grades) - len(self._open), len(self.grades)))
+            self._open, self._held = [], 0
+
+    def read(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each block: its rows, the features of each row, and all their indices and values."""
+        self.file.seek(0)
+        for low, high in self.blocks:
+            sizes = np.array(self.sizes[low:high])
+            n = int(sizes.sum())
+            index = np.frombuffer(self.file.read(4 * n), dtype=np.int32)
+            yield slice(low, high), sizes, index, np.frombuffer(self.file.read(4 * n), dtype=np.float32)
+
+
+def _evidence(sample: _Sample, top: np.ndarray) -> np.ndarray:
     """How far each word sets the highest grade apart: its log ratio of shares in top and other rows.
 
     Words scaled by it are found by a few of their rows, and words without bearing stay out of the way.
     """
-    here = np.repeat(top, repeats)
-    in_top, in_rest = (np.bincount(index[x], minlength=FEATURES) for x in (here, ~here))
+    in_top, in_rest = np.zeros(FEATURES), np.zeros(FEATURES)
+    for rows, sizes, index, _ in sample.read():
+        here = np.repeat(top[rows], sizes)
+        in_top += np.bincount(index[here], minlength=FEATURES)
+        in_rest += np.bincount(index[~here], minlength=FEATURES)
     n_top, n_rest = int(top.sum()), int((~top).sum())
     prior = PRIOR_ROWS * np.array([n_top, n_rest]) / max(1, len(top)) + 1e-9
     ratio = np.log((in_top + prior[0]) / (n_top + prior[0])) - np.log((in_rest + prior[1]) / (n_rest + prior[1]))
@@ -117,32 +158,40 @@ def _evidence(index: np.ndarray, repeats: np.ndarray, top: np.ndarray) -> np.nda
     return scale
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int) -> OrdinalModel:
+def fit(rows: Iterable[tuple[np.ndarray, np.ndarray]], grades: Iterable[int], n_grades: int) -> OrdinalModel:
     """Full-batch Adam, on evidence-scaled words, of the mean negative log likelihood with a squared penalty on the weights."""
-    index = np.concatenate([r[0] for r in rows])
-    value = np.concatenate([r[1] for r in rows])
-    starts = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])[:-1]])
-    repeats = np.array([len(r[0]) for r in rows])
-    scale = _evidence(index, repeats, grades == n_grades - 1)
-    value = value * scale[index]
-    n, at = len(rows), np.arange(len(rows))
+    sample = _Sample()
+    with sample.file:
+        for (index, value), grade in zip(rows, grades, strict=True):
+            sample.add(index, value, int(grade))
+        sample.close_block()
+        return _descend(sample, n_grades)
+
+
+def _descend(sample: _Sample, n_grades: int) -> OrdinalModel:
+    """Each step sums the gradient over the blocks, so that a block is all it has in memory."""
+    all_grades = np.array(sample.grades, dtype=np.int64)
+    n = len(all_grades)
+    scale = _evidence(sample, all_grades == n_grades - 1)
     weights = np.zeros(FEATURES)
     thresholds = np.linspace(-1.0, 1.0, n_grades - 1) if n_grades > 2 else np.zeros(1)
     first, second = np.zeros(FEATURES + n_grades - 1), np.zeros(FEATURES + n_grades - 1)
     for step in range(1, STEPS + 1):
-        scores = np.add.reduceat(weights[index] * value, starts)
-        below = np.zeros((n, n_grades + 1))
-        below[:, -1] = 1.0
-        below[:, 1:-1] = _sigmoid(thresholds[None, :] - scores[:, None])
-        slope = below * (1 - below)
-        chance = np.maximum(below[at, grades + 1] - below[at, grades], 1e-9)
-        pull = (slope[at, grades + 1] - slope[at, grades]) / chance
-        by_weight = np.bincount(index, weights=value * np.repeat(pull, repeats), minlength=FEATURES) / n
-        by_threshold = [
-            (np.where(grades == j + 1, slope[:, j + 1], 0) - np.where(grades == j, slope[:, j + 1], 0)) / chance
-            for j in range(n_grades - 1)
-        ]
-        gradient = np.concatenate([by_weight + PENALTY * weights, np.mean(by_threshold, axis=1)])
+        scaled = weights * scale
+        by_weight, by_threshold = np.zeros(FEATURES), np.zeros(n_grades - 1)
+        for rows, sizes, index, value in sample.read():
+            grades, at = all_grades[rows], np.arange(len(sizes))
+            scores = np.add.reduceat(scaled[index] * value, np.cumsum(sizes) - sizes)
+            below = np.zeros((len(sizes), n_grades + 1))
+            below[:, -1] = 1.0
+            below[:, 1:-1] = _sigmoid(thresholds[None, :] - scores[:, None])
+            slope = below * (1 - below)
+            chance = np.maximum(below[at, grades + 1] - below[at, grades], 1e-9)
+            pull = (slope[at, grades + 1] - slope[at, grades]) / chance
+            by_weight += np.bincount(index, weights=value * np.repeat(pull, sizes), minlength=FEATURES)
+            for j in range(n_grades - 1):
+                by_threshold[j] += ((np.where(grades == j + 1, slope[:, j + 1], 0) - np.where(grades == j, slope[:, j + 1], 0)) / chance).sum()
+        gradient = np.concatenate([by_weight * scale / n + PENALTY * weights, by_threshold / n])
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -157,21 +206,22 @@ def train(labelled: DataFrame, n_grades: int) -> OrdinalModel:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [features(t, TRAINING_WORDS) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches, ROWS_AT_ONCE):
+            found = [features(t) for t in batch.column(1).to_pylist()]
             arrays = [batch.column(0)] + [pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*arrays, batch.column(2)], names=["grade", "index", "value", "order"])
 
-    def learn(rows: pa.Table) -> pa.Table:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker_table()
-        rows = rows.sort_by([("order", "ascending"), ("grade", "ascending")])  # sums do not depend on arrival
-        grades = rows.column("grade").to_numpy().astype(np.int64)
-        found = [
-            (np.frombuffer(i, dtype=np.int32), np.frombuffer(v, dtype=np.float32))
-            for i, v in zip(rows.column("index").to_pylist(), rows.column("value").to_pylist(), strict=True)
-        ]
-        model = fit(found, grades, n_grades)
-        return pa.table({"weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tobytes()]})
+        sample = _Sample()
+        with sample.file:
+            for batch in batches:
+                for grade, index, value in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    sample.add(np.frombuffer(index.as_py(), dtype=np.int32), np.frombuffer(value.as_py(), dtype=np.float32), grade)
+            sample.close_block()
+            if sample.grades:
+                model = _descend(sample, n_grades)
+                yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tobytes()]})
 
     known = labelled.where(F.col("grade").between(0, n_grades - 1)).select(F.col("grade").cast("int").alias("grade"), "text", "order")
     # the last hash of the sample comes first, so that only the sample's texts are read into features
@@ -182,8 +232,9 @@ def train(labelled: DataFrame, n_grades: int) -> OrdinalModel:
         known.where(F.col("order") <= last)
         .select("grade", "text", "order")
         .mapInArrow(read, "grade int, index binary, value binary, order long")
-        .groupBy()
-        .applyInArrow(learn, "weights binary, thresholds binary")
+        .repartition(1)
+        .sortWithinPartitions("order", "grade", "index", "value")  # sums do not depend on arrival
+        .mapInArrow(learn, "weights binary, thresholds binary")
         .first()
     )
     return OrdinalModel(np.frombuffer(bytes(fitted.weights), dtype=np.float32), np.frombuffer(bytes(fitted.thresholds)))

@@ -331,3 +331,28 @@ def test_features_are_of_the_whole_text():
     index, value = ordinal.features("word " * 10_000 + "last")
     assert len(index) == len(value) and len(pa.array(index)) == len(set(index.tolist()))
     assert ordinal.features(None)[0].tolist() == ordinal.features("")[0].tolist()
+
+
+def test_training_reads_all_words_of_a_text(spark, monkeypatch):
+    """What makes a long text toxic comes after thousands of clean words; blocks are much smaller than the sample."""
+    monkeypatch.setattr(ordinal, "BLOCK_FEATURES", 20_000)
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(6000)]
+    long = lambda toxic: " ".join(rng.sample(vocabulary, 2600)) + (" vile nasty" if toxic else "")
+    rows = [(i, long(i % 4 == 0), "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = ordinal.train(ordinal.graded_labels(docs_of(spark, rows), labels), 3)
+    chance = lambda text: float(model.tails(np.array([model.score(text)]))[0, 1])
+    assert all((chance(t) >= 0.5) == (i % 4 > 0) for i, t, _ in rows[300:])
+    index = ordinal.features("vile nasty")[0][:2]
+    assert (model.weights[index] < 3 * model.weights[: ordinal.WORD_FEATURES].min() / 4).all()
+
+
+def test_fit_does_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(10)
+    grades = [rng.randrange(3) for _ in range(300)]
+    rows = [ordinal.features(words(rng, 30) + " vile" * (g == 0) + " !!" * (g == 1)) for g in grades]
+    whole = ordinal.fit(rows, grades, 3)
+    monkeypatch.setattr(ordinal, "BLOCK_FEATURES", 500)
+    parts = ordinal.fit(rows, grades, 3)
+    assert np.allclose(whole.weights, parts.weights, atol=1e-4) and np.allclose(whole.thresholds, parts.thresholds)
