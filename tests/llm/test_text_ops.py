@@ -290,6 +290,23 @@ def test_mixture_edges(spark):
     assert len(got) == 5 and len({(r.mix_slot, r.mix_place) for r in got}) == 5
 
 
+def test_mixture_of_many_sources(spark):
+    """More sources than 500, of which the small ones hold most rows: each has its own even places."""
+    rows = [(i, f"t{i}", f"s{i % 700}" if i % 5 else "big") for i in range(7000)]
+    got = mixing.mix(docs_of(spark, rows), block_rows=1).collect()
+    assert sorted(r.mix_slot for r in got) == list(range(7000))
+    assert len({r.mix_phase for r in got}) > 500
+    sizes, slots = {}, {}
+    for r in got:
+        slots.setdefault(r.source, []).append(r.mix_slot)
+    sizes = {s: len(x) for s, x in slots.items()}
+    total = sum(math.sqrt(n) for n in sizes.values())
+    first = max(r.mix_slot for r in got if r.mix_phase == 0) + 1
+    for name, n in sizes.items():
+        share = math.sqrt(n) / total
+        assert all(abs(sum(x < t for x in slots[name]) - share * t) <= 1 for t in range(0, first, 50))
+
+
 # classifier
 
 
