@@ -290,6 +290,32 @@ def test_mixture_edges(spark):
     assert len(got) == 5 and len({(r.mix_slot, r.mix_place) for r in got}) == 5
 
 
+@pytest.mark.parametrize("ends", [False, True])
+def test_schedule_keeps_to_the_true_targets(ends):
+    """Roots of sizes as weights, one of them far below 1/4000; over 30,000 slots no source is a block away from its flow."""
+    shares = [math.sqrt(2), math.sqrt(3), 1 / 3, 1e-4, 5.7]
+    weights = [round(x / sum(shares) * mixing.WEIGHT_SUM) for x in shares]
+    blocks = [300, 9000, 40, 2, 20_000] if ends else [max(1, math.ceil(30_000 * x / sum(shares))) for x in shares]
+    dealt = list(mixing.schedule(blocks, weights))
+    assert sorted((j, i) for j, i, _, _ in dealt) == [(j, i) for j, n in enumerate(blocks) for i in range(n)]
+    assert [slot for *_, slot in dealt] == list(range(sum(blocks)))
+    flown, seen = [0.0] * len(blocks), [0] * len(blocks)
+    for j, i, _, _ in dealt:
+        assert i == seen[j]
+        seen[j] += 1
+        left = 1.0
+        while left > 1e-12:
+            active = [k for k, n in enumerate(blocks) if flown[k] < n - 1e-9]
+            if not active:
+                break
+            total = sum(shares[k] for k in active)
+            step = min(left, *((blocks[k] - flown[k]) * total / shares[k] for k in active))
+            for k in active:
+                flown[k] += step * shares[k] / total
+            left -= step
+        assert all(abs(a - b) < 1 + 1e-6 for a, b in zip(flown, seen, strict=True))
+
+
 def test_mixture_of_many_sources(spark):
     """More sources than 500, of which the small ones hold most rows: each has its own even places."""
     rows = [(i, f"t{i}", f"s{i % 700}" if i % 5 else "big") for i in range(7000)]
