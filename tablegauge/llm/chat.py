@@ -112,7 +112,7 @@ class _Open:
     def next(self, turn: _Turn) -> None:
         """Start the window after this one, which `turn` no longer fits."""
         last = [t for t in self.repeated + self.fresh if t is not self.system]
-        fixed = [self.system] if self.system and self.system.tokens <= self.budget // 2 else []
+        fixed = [self.system] if self.system else []
         left = min(self.history_budget, self.budget - turn.tokens - sum(t.tokens for t in fixed))
         history: list[_Turn] = []
         for t in reversed(last):
@@ -149,8 +149,8 @@ def format_windows(turns: DataFrame, vocabulary: str, budget: int = BUDGET_TOKEN
 
     Turns are in the order of `turn` (a null first), those of one number by role and text; repeated
     rows are turns of their own. Null ids are one conversation. The first turn, if its role is
-    "system", is in every window, unless it takes over half of the budget. A turn that alone is over
-    the budget is a window of its own, marked `over_budget`; texts are never cut.
+    "system", is in every window; history makes way for it. A turn that is over the budget, alone or
+    with the system turn, is the only new one of its window, marked `over_budget`; texts are never cut.
     """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def format_windows(turns: DataFrame, vocabulary: str, budget: int = BUDGET_TOKEN
                             system = format_turn("system", r["system"])
                             size = len(word_encoder(vocabulary).encode(pa.array([system]))[0]) // 4
                             at.system = _Turn(system, size, None)
-                            at.repeated = [at.system] if size <= budget // 2 else []
+                            at.repeated = [at.system]
                         elif r["is_system"]:
                             at.system = turn
                     elif not at.fits(turn):

@@ -87,6 +87,24 @@ def test_windows_hold_every_turn_once(spark, monkeypatch):
                 assert not repeated or last[-len(repeated) :] == repeated
 
 
+def test_every_window_has_the_system_turn(spark, monkeypatch):
+    """A system turn of over half of the budget stays, in later segments too; with a long turn the window is over budget."""
+    monkeypatch.setattr(chat, "SEGMENT_TURNS", 20)
+    rng = random.Random(11)
+    system = words(rng, 60)
+    rows = [(1, 0, "system", system)] + [(1, i, ["user", "assistant"][i % 2], words(rng, 8)) for i in range(1, 50)]
+    rows.append((1, 50, "user", words(rng, 50)))
+    made = chat.format_windows(conversations(spark, rows), WORDS, budget=400, history=60).collect()
+    size = next(w.tokens for w in chat.format_windows(conversations(spark, rows[:1]), WORDS).collect())
+    assert 200 < size < 300 and len(made) > 5
+    for w in made:
+        turns = chat.parse_turns(w.text)
+        assert turns[0][:2] == ("system", system)
+        assert w.over_budget == (w.tokens > 400) == (len(turns) == 2 and turns[1][0] == "user" and len(turns[1][1].split()) == 50)
+    found = {r.conv_id: tuple(r)[1:5] for r in chat.read_windows(chat.format_windows(conversations(spark, rows), WORDS, budget=400, history=60)).collect()}
+    assert found == digests(rows)
+
+
 def test_windows_of_nothing(spark):
     assert chat.read_windows(chat.format_windows(conversations(spark, []), WORDS)).collect() == []
 
