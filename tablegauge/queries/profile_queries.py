@@ -479,10 +479,9 @@ def completeness_rollup(spark, sf_dir):
     return profiling.completeness_rollup(profiling.column_stats(docs), 0.95)
 
 
-ROLLUP_DOC = ["doc_id", *DOC_CELLS]
 COMPLETENESS_ROLLUP_SQL = with_views(
     "c AS ("
-    + union_sql(ROLLUP_DOC, "SELECT count(*) - count({c}) AS m, count(*) AS n FROM docs_labels")
+    + union_sql(DOC_CELLS, "SELECT count(*) - count({c}) AS m, count(*) AS n FROM docs_labels")
     + ") SELECT CAST(sum(m) AS BIGINT) AS total_nulls, CAST(sum(n) AS BIGINT) AS total_cells, "
     "count(*) FILTER (WHERE 1 - m * 1.0 / n < 0.95) AS columns_below, count(*) FILTER (WHERE m > 0) AS columns_with_nulls, "
     "round((1 - avg(1 - m * 1.0 / n)) * 100, 1) AS missing_percent FROM c",
