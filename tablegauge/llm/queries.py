@@ -15,15 +15,24 @@ from tablegauge.llm.mixing import mix
 from tablegauge.llm.ngram_join import ngram_join
 from tablegauge.llm.ordinal import grade_documents, graded_labels, train
 from tablegauge.llm.packing import pack_documents
+from tablegauge.llm.periodic_runs import looped_text, periodic_runs, run_digests
+from tablegauge.llm.spelling import SPELLING_SQL, frequent_words, spelling_forms, typo_words
 from tablegauge.llm.token_counts import token_counts
 from tablegauge.llm.token_files import new_store, read_store, write_store
 from tablegauge.llm.tokens import vocabulary_path
 from tablegauge.llm.topk import integer_vectors, top_inner_products, top_inner_products_sql
+from tablegauge.llm.url_filter import Rule, url_verdicts, url_verdicts_sql
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 #: A document is kept if its chance of the highest grade is this or more.
 KEEP_CHANCE = 0.5
+URL_RULES: tuple[Rule, ...] = (
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +88,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "expected_grade", "top_chance", (F.col("top_chance") >= KEEP_CHANCE).alias("keep"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", looped_text(F.col("doc_id"), F.col("text")).alias("text"))
+    return run_digests(periodic_runs(docs))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_verdicts(pages, URL_RULES).drop("url")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = frequent_words(typo_words(read_table(spark, sf_dir, "documents")))
+    return spelling_forms(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
@@ -90,10 +114,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_url_filter": op12_url_filter,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup_sql(),
     "op6_imatch_fingerprints": FINGERPRINT_SQL,
     "op7_exact_top_k": top_inner_products_sql(5, 50),
+    "op12_url_filter": url_verdicts_sql(URL_RULES),
+    "op13_spelling_variants": SPELLING_SQL,
 }
