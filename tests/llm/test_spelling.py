@@ -108,7 +108,7 @@ def test_query(spark, tmp_path):
     table.repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
     got = forms(op13_spelling_variants(spark, str(tmp_path)))
     assert got == expected(rows)
-    assert sum(v[0] is not None for v in got.values()) > 5
+    assert sum(v[0] is not None for v in got.values()) >= 5
 
 
 def test_empty_tables(spark, tmp_path):
