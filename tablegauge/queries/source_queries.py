@@ -8,6 +8,7 @@ from tablegauge.operators.frequency import value_frequency
 from tablegauge.operators.profiling import run_column_metrics
 from tablegauge.queries.support import Query, r6, run_sql, scratch_folder, table, union_sql, view, with_views
 from tablegauge.sources import csv_files, sinks, tables
+from tablegauge.sources.run_store import RunStore
 
 TEXT_ORDERS = """
     SELECT CAST(o_orderkey AS STRING) AS key_text,
@@ -142,25 +143,81 @@ JSON_SQL = with_views(
 )
 
 
+def _stored_runs(spark, sf_dir):
+    """All runs with a row count of their own, and their issues as stored."""
+    runs = view(spark, sf_dir, "runs").select(
+        "run_id", "project_id", "status", "quality_score", (F.col("dataset_id") % 900 + 100).alias("n_rows")
+    )
+    issues = view(spark, sf_dir, "issues").withColumn("severity", F.col("level")).drop("level")
+    return runs, sinks.stored_issues_of(issues, runs)
+
+
 def run_sink(spark, sf_dir):
-    """Runs and issues appended to tables split by project, then counted per project."""
-    folder = scratch_folder(spark)
-    issues = view(spark, sf_dir, "issues").withColumn("severity", F.col("level")).drop("run_id")
-    stored = sinks.stored_issues(issues, 1, 1, 1000)
-    run = view(spark, sf_dir, "runs").select("run_id", "project_id", "status")
-    sinks.append_run(run, stored, folder)
-    kept = spark.read.parquet(f"{folder}/issues")
-    return kept.groupBy("project_id", "severity").agg(
-        F.count(F.lit(1)).alias("cnt"), r6(F.sum("affected_rows_pct")).alias("share_sum")
-    ).withColumn("project_id", F.col("project_id").cast("bigint"))
+    """The runs of all projects in one commit; one in seven written again with other rows, that commit
+    retried; a write of one in five that fails before it is published. Each run is read back once."""
+    store = RunStore(spark, scratch_folder(spark))
+    runs, issues = _stored_runs(spark, sf_dir)
+    store.write(runs, issues, "first")
+    again, kept = runs.where("run_id % 7 = 0"), issues.where("run_id % 7 = 0 AND severity <> 'info'")
+    for _ in range(2):
+        store.write(again.withColumn("status", F.lit("REPEATED")), kept, "second")
+    failed = runs.where("run_id % 5 = 0")
+    store.stage(failed.withColumn("status", F.lit("LOST")), issues.where("run_id % 5 = 0"), "third")
+    reader = RunStore(spark, store.folder)
+    counted = reader.issues().groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_issues"),
+        F.count_if(F.col("severity") == "critical").alias("n_critical"),
+        F.sum("affected_rows_pct").alias("share"),
+    )
+    return (
+        reader.runs()
+        .join(counted, "run_id", "left")
+        .groupBy("project_id", "status")
+        .agg(
+            F.count(F.lit(1)).alias("n_runs"),
+            r6(F.sum("quality_score")).alias("score_sum"),
+            F.sum(F.coalesce("n_issues", F.lit(0))).alias("n_issues"),
+            F.sum(F.coalesce("n_critical", F.lit(0))).alias("n_critical"),
+            r6(F.sum(F.coalesce("share", F.lit(0.0)))).alias("share_sum"),
+        )
+    )
 
 
 SINK_SQL = with_views(
-    "SELECT CAST(1 AS BIGINT) AS project_id, severity, count(*) AS cnt, round(sum(share), 6) + 0.0 AS share_sum FROM ("
-    "SELECT CASE level WHEN 'critical' THEN 'critical' WHEN 'high' THEN 'major' WHEN 'medium' THEN 'minor' "
-    "WHEN 'low' THEN 'info' ELSE 'minor' END AS severity, affected_row_count / 1000.0 AS share FROM issues) GROUP BY 2",
-    "issues",
-)
+    "r AS (SELECT run_id, project_id, CASE WHEN run_id % 7 = 0 THEN 'REPEATED' ELSE status END AS status, quality_score, dataset_id % 900 + 100 AS n_rows FROM runs), "
+    "i AS (SELECT i.run_id, count(*) AS n, count(*) FILTER (WHERE level = 'critical') AS c, "
+    "sum(CAST(affected_row_count AS DOUBLE) / n_rows) AS s FROM issues i JOIN r ON i.run_id = r.run_id "
+    "WHERE i.run_id % 7 <> 0 OR level <> 'low' GROUP BY 1) "
+    "SELECT project_id, status, count(*) AS n_runs, round(CAST(sum(quality_score) AS DOUBLE), 6) + 0.0 AS score_sum, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_issues, "
+    "CAST(sum(coalesce(c, 0)) AS BIGINT) AS n_critical, round(sum(coalesce(s, 0)), 6) + 0.0 AS share_sum FROM r LEFT JOIN i ON r.run_id = i.run_id GROUP BY 1, 2",
+    "runs", "issues",
+)
+
+
+def run_store_compaction(spark, sf_dir):
+    """A store of one commit a project group, compacted: files a project before and after, and the same rows."""
+    store = RunStore(spark, scratch_folder(spark))
+    runs, issues = _stored_runs(spark, sf_dir)
+    for part in range(3):
+        mine = f"run_id % 3 = {part}"
+        store.write(runs.where(mine), issues.where(mine), f"part{part}")
+    store.write(runs.where("run_id % 2 = 0"), issues.where("run_id % 2 = 0 AND affected_row_count > 10"), "newer")
+    base = store.compact()
+    files = spark.read.parquet(f"{store.folder}/issues/commit={base}").select("project_id", F.col("_metadata.file_path").alias("file"))
+    return (
+        store.issues()
+        .groupBy("project_id")
+        .agg(F.count(F.lit(1)).alias("n_issues"), F.count_distinct("run_id").alias("n_runs"), F.sum("issue_id").alias("id_sum"))
+        .join(files.groupBy(F.col("project_id").cast("bigint").alias("project_id")).agg(F.count_distinct("file").alias("n_files")), "project_id")
+        .withColumn("commits", F.lit(store.commits().count()))
+    )
+
+
+COMPACTION_SQL = with_views(
+    "SELECT project_id, count(*) AS n_issues, count(DISTINCT i.run_id) AS n_runs, CAST(1 AS BIGINT) AS n_files, CAST(sum(issue_id) AS BIGINT) AS id_sum, 1 AS commits "
+    "FROM issues i JOIN runs r ON i.run_id = r.run_id WHERE i.run_id % 2 = 1 OR affected_row_count > 10 GROUP BY 1",
+    "runs", "issues",
+)
 
 QUERIES = [
     Query("csv_scan", "S1", csv_scan, "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) + 0.0 AS c_acctbal, c_mktsegment FROM customer"),
@@ -171,4 +228,5 @@ QUERIES = [
     Query("result_export_csv", "S8", export_round_trip, PIVOT_SQL),
     Query("column_metric_pivot", "S8", column_metric_pivot, PIVOT_SQL),
     Query("run_issue_sink", "S9 C18 K7", run_sink, SINK_SQL),
+    Query("run_store_compaction", "S9", run_store_compaction, COMPACTION_SQL),
 ]

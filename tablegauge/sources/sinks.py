@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.functions.columns import col
 from tablegauge.functions.scalars import score_label, stored_severity
 from tablegauge.operators.scoring import affected_share
+from tablegauge.sources.run_store import RunStore
 
 
 def stored_issues(issues: DataFrame, run_id: int, project_id: int, n_rows: int) -> DataFrame:
-    """Issue rows as stored: stored severity names, affected share, and the run they belong to."""
+    """Issue rows of one run as stored: stored severity names, affected share, and the run they belong to."""
+    owned = issues.withColumns({"run_id": F.lit(run_id), "project_id": F.lit(project_id)})
+    return _as_stored(owned, F.lit(float(n_rows)))
+
+
+def stored_issues_of(issues: DataFrame, runs: DataFrame) -> DataFrame:
+    """Issue rows of many runs as stored; `runs` gives the `project_id` and `n_rows` of each `run_id`."""
+    owned = issues.drop("project_id").join(runs.select("run_id", "project_id", F.col("n_rows").alias("__rows")), "run_id")
+    return _as_stored(owned, F.col("__rows").cast("double")).drop("__rows")
+
+
+def _as_stored(issues: DataFrame, n_rows: Column) -> DataFrame:
+    made = ("run_id", "project_id", "severity", "affected_row_count")
+    affected = F.coalesce("affected_row_count", F.lit(0)).cast("bigint")
     return issues.select(
-        F.lit(run_id).cast("bigint").alias("run_id"),
-        F.lit(project_id).cast("bigint").alias("project_id"),
-        *[col(c) for c in issues.columns if c not in ("severity", "affected_row_count")],
+        F.col("run_id").cast("bigint").alias("run_id"),
+        F.col("project_id").cast("bigint").alias("project_id"),
+        *[col(c) for c in issues.columns if c not in made],
         stored_severity(F.col("severity")).alias("severity"),
-        F.coalesce("affected_row_count", F.lit(0)).cast("bigint").alias("affected_row_count"),
-        affected_share(
-            F.coalesce("affected_row_count", F.lit(0)).cast("double"), F.lit(float(n_rows))
-        ).alias("affected_rows_pct"),
+        affected.alias("affected_row_count"),
+        affected_share(affected.cast("double"), n_rows).alias("affected_rows_pct"),
     )
 
 
 def append_run(run: DataFrame, issues: DataFrame, folder: str) -> None:
-    """Add a run and its issues to the Parquet tables `runs` and `issues`, split by project."""
-    run.write.mode("append").partitionBy("project_id").parquet(f"{folder}/runs")
-    issues.write.mode("append").partitionBy("project_id").parquet(f"{folder}/issues")
+    """Add runs and their issues to the store at `folder`; a run that is there already is replaced."""
+    RunStore(run.sparkSession, folder).write(run, issues)
 
 
 def result_json(run: DataFrame, scores: DataFrame, columns: DataFrame) -> DataFrame:
