@@ -25,7 +25,16 @@ def csv_scan(spark, sf_dir):
     """Customers written as a `;` CSV file set and read back through the sniffing reader."""
     folder = scratch_folder(spark)
     table(spark, sf_dir, "customer").write.csv(folder, header=True, sep=";")
-    return csv_files.read_csv(spark, folder, multi_line=False).withColumn("c_acctbal", r6("c_acctbal"))
+    return csv_files.read_csv(spark, folder).withColumn("c_acctbal", r6("c_acctbal"))
+
+
+def csv_quoted_lines(spark, sf_dir):
+    """Documents, whose texts hold line breaks, as one CSV file read back from its splits."""
+    folder = scratch_folder(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").where("text IS NOT NULL")
+    docs.coalesce(1).write.csv(folder, header=True, escape='"', quoteAll=True, lineSep="\n")
+    back = csv_files.read_csv(spark, folder)
+    return back.select("doc_id", "lang", F.char_length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"))
 
 
 def csv_type_choice(spark, sf_dir):
@@ -221,6 +230,7 @@ COMPACTION_SQL = with_views(
 
 QUERIES = [
     Query("csv_scan", "S1", csv_scan, "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) + 0.0 AS c_acctbal, c_mktsegment FROM customer"),
+    Query("csv_quoted_lines", "S1", csv_quoted_lines, "SELECT doc_id, lang, length(text) AS n_chars, sha256(text) AS digest FROM documents WHERE text IS NOT NULL"),
     Query("csv_type_choice", "S4", csv_type_choice, CSV_TYPE_SQL),
     Query("schema_listing", "S5", schema_listing, SCHEMA_SQL),
     Query("table_preview", "S6 C4", preview, "SELECT c_custkey, '***' AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 100"),

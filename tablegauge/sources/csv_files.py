@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablegauge.functions.columns import col
+from tablegauge.sources import split_csv
 
 DELIMITERS = ",;\t|"
 HEAD_LINES = 100
@@ -69,16 +70,21 @@ def read_csv(
     the read with their number and one of them, with "keep" the column `_malformed` holds their text.
     A row with fewer cells ends in missing ones.
 
-    `multi_line` allows line breaks inside quotes, at the price of one task per file; turn it off
-    for large files without them, so that a file is split over tasks. With `typed` off every
-    column stays text.
+    `multi_line` allows line breaks inside quotes; records are assembled from split files, over as many
+    tasks as without them, and line breaks in cells stay as they are. Only files whose quotes stand in unquoted cells are then read by one task
+    each, as their records cannot be found by counting quotes. With `typed` off every column stays text.
     """
     layout = sniff(spark, path)
     options = {"sep": layout["sep"], "escape": '"', "nullValue": "", "mode": "PERMISSIVE"}
     reader = spark.read.options(**options, header=True, encoding=layout["encoding"], multiLine=multi_line)
     names = reader.csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, MALFORMED]])
-    text = reader.schema(schema).option("columnNameOfCorruptRecord", MALFORMED).csv(path)
+    found = _split_records(spark, path, layout) if multi_line else None
+    if found is None:
+        text = reader.schema(schema).option("columnNameOfCorruptRecord", MALFORMED).csv(path)
+    else:
+        cells = F.from_csv(F.col("record"), schema.toDDL(), {**options, "multiLine": "true", "columnNameOfCorruptRecord": MALFORMED})
+        text = found.select(cells.alias("cells")).select(*[F.col("cells").getField(c).alias(c) for c in [*names, MALFORMED]])
     # Spark marks short rows, too; one cell beyond the header tells the long ones
     wider = ", ".join(f"c{i} STRING" for i in range(len(names) + 1))
     beyond = F.from_csv(col(MALFORMED), wider, options)[f"c{len(names)}"]
@@ -100,6 +106,17 @@ def read_csv(
     return choose_types(text) if typed else blank_to_null(text)
 
 
+def _split_records(spark: SparkSession, path: str, layout: dict[str, str]) -> DataFrame | None:
+    """`record` texts read in parallel; None where quotes do not tell records apart."""
+    line_sep = split_csv.line_separator(spark, path)
+    lines = split_csv.text_lines(spark, path, layout["encoding"], line_sep)
+    header = split_csv.header_line(lines)
+    states = split_csv.block_states(lines, header)
+    if split_csv.is_misquoted(lines, states, layout["sep"]):
+        return None
+    return split_csv.records(lines, states, header, line_sep)
+
+
 def blank_to_null(text: DataFrame) -> DataFrame:
     """Text columns with the missing-value tokens set to null."""
     return text.select(*[_cell(c).alias(c) for c in text.columns])
