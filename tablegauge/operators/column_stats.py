@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,5 +119,16 @@ def shape(df: DataFrame, columns: list[str], stats: DataFrame) -> DataFrame:
     )
 
 
+def moment_shape(n: int, s2: float | None, s3: float | None, s4: float | None) -> tuple[float | None, ...]:
+    """Deviation, skewness and kurtosis as `shape` gives them, from sums of powers around the mean."""
+    if not n or s2 is None:
+        return None, None, None
+    m2, m3, m4 = s2 / n, s3 / n, s4 / n
+    std = math.sqrt(s2 / (n - 1)) if n > 1 else None
+    skewness = None if n < 3 else m3 / m2**1.5 * math.sqrt(n * (n - 1)) / (n - 2) if m2 else 0.0
+    kurtosis = None if n < 4 else (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6) if m2 else 0.0
+    return std, skewness, kurtosis
+
+
 def storage_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()

@@ -14,7 +14,7 @@ from tablegauge.functions.columns import (
     profile_sub_type,
 )
 from tablegauge.functions.fingerprints import numeric_code_fingerprint
-from tablegauge.operators.column_stats import CENTRE, MOMENTS, column_stats, shape
+from tablegauge.operators.column_stats import CENTRE, MOMENTS, NULLS, column_stats, moment_shape, row_count, wide_aggregates
 from tablegauge.operators.findings import Context, Shared, issues_of
 from tablegauge.operators.frequency import (
     complete_distinct_counts,
@@ -23,7 +23,7 @@ from tablegauge.operators.frequency import (
 )
 from tablegauge.operators.histogram import adaptive_bins, bin_bounds, histogram
 from tablegauge.operators.outliers import Outliers
-from tablegauge.operators.quantiles import quartiles
+from tablegauge.operators.quantiles import QUARTILES, quartiles, two_scans
 from tablegauge.session import local_rows
 
 TOP_COMMON, TOP_BARS = 5, 20
@@ -83,29 +83,32 @@ def type_summary(types: DataFrame) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, digits: int = 4) -> DataFrame:
     """Moments, quartiles, skewness and kurtosis of each numeric column."""
     names = numeric_columns(df, columns)
-    # One row per numeric column; the means are needed as constants by the second scan.
-    stats = local_rows(column_stats(df, names, CENTRE))
+    measures = {**NULLS, **CENTRE}
+    found = two_scans(df, names, QUARTILES, [row_count(), *wide_aggregates(names, kinds(df), measures)], powers=True)
+    rows = []
+    for i, name in enumerate(names):
+        n, low, high, mean = (found.row[f"{m}__{i}"] for m in ("n_valid", "min", "max", "mean"))
+        quarters = [found.quantiles.get((name, p)) for p in QUARTILES]
+        rows.append((name, n, mean, low, high, *quarters, *moment_shape(n, *found.powers.get(name, (None,) * 3))))
+    schema = "column_name string, n_valid bigint, mean double, min double, max double, q1 double, median double, q3 double, std double, skewness double, kurtosis double"
+    stats = df.sparkSession.createDataFrame(rows, schema)
 
     def rounded(value: Column, name: str) -> Column:
         return F.round(value, digits).alias(name)
 
-    return (
-        stats.join(F.broadcast(shape(df, names, stats)), "column_name")
-        .join(F.broadcast(quartiles(df, names)), "column_name", "left")
-        .select(
-            "column_name",
-            "n_valid",
-            rounded(F.col("mean"), "mean"),
-            rounded(F.col("median"), "median"),
-            rounded(F.col("std"), "std"),
-            "min",
-            "max",
-            rounded(F.col("q1"), "q1"),
-            rounded(F.col("q3"), "q3"),
-            rounded(F.col("q3") - F.col("q1"), "iqr"),
-            rounded(F.col("skewness"), "skewness"),
-            rounded(F.col("kurtosis"), "kurtosis"),
-        )
+    return stats.select(
+        "column_name",
+        "n_valid",
+        rounded(F.col("mean"), "mean"),
+        rounded(F.col("median"), "median"),
+        rounded(F.col("std"), "std"),
+        "min",
+        "max",
+        rounded(F.col("q1"), "q1"),
+        rounded(F.col("q3"), "q3"),
+        rounded(F.col("q3") - F.col("q1"), "iqr"),
+        rounded(F.col("skewness"), "skewness"),
+        rounded(F.col("kurtosis"), "kurtosis"),
     )
 
 
