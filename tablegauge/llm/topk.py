@@ -1,15 +1,19 @@
 """Exact top-k inner products by aggregation over sorted lists, without random access.
 
-A block of candidates holds, per component, the list of its values in order. For a query the lists are
-read from the end that gives the largest products, all to the same depth. What has been read bounds
-every score: unread components are at most the value where reading stands, and at least the list's
-other end. Reading goes deeper until the k-th lower bound is above the upper bound of all others; then
-the scores of the k found are resolved. A bound for many queries at once is two matrix products.
+A block of candidates holds one list per component: the candidates' values in order, each with the number
+of its candidate. For a query the lists are read in slices, each from the end that gives the largest
+products, all to the same depth. An entry adds its product to the sum of the candidate it names; what a
+candidate has not been met in lies between the value where reading stands and the list's other end. That
+gives a lower and an upper bound of every candidate met, and one upper bound of all others. Reading stops
+when the k-th best lower bound is above the upper bounds of all outsiders; then the final scores of
+the k found are resolved.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -21,138 +25,193 @@ from tablegauge.llm.common import checkpointed
 
 CANDIDATE_BLOCK = 2048
 QUERY_BLOCK = 512
-#: Shares of the lists that are read before bounds are compared.
-DEPTHS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)
-#: Components saturate here, so that scores of up to 128 components fit a long.
-LARGEST = 1 << 28
+#: Shares of the lists up to which they are read before bounds are compared.
+DEPTHS = (1 / 32, 1 / 4, 1)
+#: Scores travel as decimals of 38 digits and are returned as longs.
+LARGEST_SCORE = 10**38 - 1
+LARGEST_LONG = (1 << 63) - 1
 
 
 def integer_vectors(table: DataFrame, id_column: str, vector: str, scale: int = 256) -> DataFrame:
-    """`id` and `v` = floor(scale * component); rows with a null id or a null or non-finite component take no part."""
-    valid = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    component = lambda x: F.floor(F.least(F.greatest(x.cast("double") * scale, F.lit(float(-LARGEST))), F.lit(float(LARGEST))))
+    """`row`, `id` and `v` = floor(scale * component), whole numbers as doubles, which hold them exactly.
+
+    Rows with a null id, or a null, a null component or one that is not finite (also after scaling by a
+    power of two) take no part. `row` tells equal rows apart; the table is written once.
+    """
+    scaled = F.transform(vector, lambda x: x.cast("double") * F.lit(float(scale)))
+    valid = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = table.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull() & valid)
-    return kept.select(F.col(id_column).cast("long").alias("id"), F.transform(vector, component).alias("v"))
+    whole = lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
+    numbered = kept.select(F.col(id_column).cast("long").alias("id"), F.transform(scaled, whole).alias("v"))
+    return checkpointed(numbered.select(F.monotonically_increasing_id().alias("row"), "id", "v"))
+
+
+@dataclass
+class Block:
+    """Candidates in ascending order of id and row, their components (shorter vectors end in zeros), and per
+    component its list: values in ascending order, the candidates they belong to, and each candidate's place."""
+
+    rows: np.ndarray
+    ids: np.ndarray
+    matrix: np.ndarray
+    values: np.ndarray
+    names: np.ndarray
+    places: np.ndarray
+
+    @classmethod
+    def of(cls, rows: bytes, ids: bytes, matrix: bytes, lists: bool = True) -> Block:
+        rows = np.frombuffer(rows, "<i8")
+        matrix = np.frombuffer(matrix, "<f8").reshape(len(rows), -1 if matrix else 0)
+        if not lists:
+            empty = np.zeros((0, 0))
+            return cls(rows, np.frombuffer(ids, "<i8"), matrix, empty, empty, empty)
+        names = np.ascontiguousarray(np.argsort(matrix, axis=0, kind="stable").T)
+        places = np.empty_like(names)
+        np.put_along_axis(places, names, np.broadcast_to(np.arange(len(rows)), names.shape), axis=1)
+        return cls(rows, np.frombuffer(ids, "<i8"), matrix, np.take_along_axis(matrix.T, names, axis=1), names, places)
+
+    def read(self, used: np.ndarray, from_end: bool, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates and values of a slice of the lists of some components, read from their end or start."""
+        n = len(self.rows)
+        part = slice(n - end, n - first) if from_end else slice(first, end)
+        return self.names[used, part], self.values[used, part]
 
 
 def _block(key: tuple, rows: pa.Table) -> pa.Table:
-    """One row of block number, ids, components (shorter vectors end in zeros) and each component's sorted list."""
-    rows = rows.sort_by("id")
+    rows = rows.sort_by([("id", "ascending"), ("row", "ascending")])
     vectors = rows.column("v").to_pylist()
-    width = max(map(len, vectors))
-    matrix = np.zeros((len(vectors), width), dtype="<i8")
+    matrix = np.zeros((len(vectors), max(map(len, vectors))), dtype="<f8")
     for i, v in enumerate(vectors):
         matrix[i, : len(v)] = v
     data = {
         "block": [key[0].as_py()],
+        "rows": [rows.column("row").to_numpy().astype("<i8").tobytes()],
         "ids": [rows.column("id").to_numpy().astype("<i8").tobytes()],
-        "width": [width],
-        "components": [matrix.tobytes()],
-        "lists": [np.sort(matrix, axis=0).tobytes()],
+        "matrix": [matrix.tobytes()],
     }
-    return pa.table(data, schema=pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("width", pa.int64()), ("components", pa.binary()), ("lists", pa.binary())]))
-
-
-_BLOCK_SCHEMA = "block int, ids binary, width long, components binary, lists binary"
+    return pa.table(data, schema=pa.schema([("block", pa.int32()), *[(c, pa.binary()) for c in ("rows", "ids", "matrix")]]))
 
 
 def _blocks(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
     count = max(1, -(-vectors.count() // size))
-    by = F.pmod(F.xxhash64("id", "v"), F.lit(count)).cast("int").alias("block")
-    made = vectors.select("id", "v", by).groupBy("block").applyInArrow(_block, _BLOCK_SCHEMA)
+    by = F.pmod(F.xxhash64("row"), F.lit(count)).cast("int").alias("block")
+    made = vectors.select("row", "id", "v", by).groupBy("block").applyInArrow(_block, "block int, rows binary, ids binary, matrix binary")
     return checkpointed(made), count
 
 
-def block_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, lists: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Query number, candidate number and score of the k best candidates of a block, for each query.
+def _fits_float(block: Block, query: np.ndarray) -> bool:
+    """Whether all sums of products are whole numbers that doubles hold; else Python integers are used."""
+    return float(np.abs(block.matrix).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, len(query)) < 1 << 52
+
 
-    Candidates are in ascending order of id, which breaks ties. A candidate with the query's id is
-    not one of its candidates.
+def _integers(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in doubles as Python integers."""
+    return np.array([int(y) for y in x.ravel()], dtype=object).reshape(x.shape)
+
+
+def query_top(query_row: int, query: np.ndarray, block: Block, k: int) -> list[tuple[int, int]]:
+    """Candidate number and exact score of the k best candidates of a block for a query, in no order.
+
+    Equal scores go to the candidate that comes first. The query's own row is no candidate.
     """
-    n, width = matrix.shape
-    queries = np.pad(queries, ((0, 0), (0, max(0, width - queries.shape[1]))))[:, :width]
-    exact = int(np.abs(matrix).max(initial=0)) * int(np.abs(queries).max(initial=0)) * width < 1 << 53
-    kind = np.float64 if exact else np.int64  # floats are exact below 2 ** 53, and much faster
-    matrix, lists = matrix.astype(kind), lists.astype(kind)
-    own = query_ids[:, None] == ids[None, :]
-    lowest = np.finfo(np.float64).min if exact else np.iinfo(np.int64).min
-    out, open_queries = [], np.arange(len(queries))
+    n, width = block.matrix.shape
+    weights = np.zeros(width, dtype=np.float64)
+    weights[: min(width, len(query))] = query[:width]
+    others = block.rows != query_row
+    wanted = min(k, int(others.sum()))
+    whole = _fits_float(block, weights)
+    exact = (lambda x: x) if whole else _integers
+    # lists of positive weights are read from their end, those of negative ones from their start
+    sides = [(used, exact(weights[used]), end) for used, end in ((np.flatnonzero(weights > 0), True), (np.flatnonzero(weights < 0), False)) if len(used)]
+    if not wanted or not sides:  # all scores are 0
+        return [(int(c), 0) for c in np.flatnonzero(others)[:wanted]]
+    known = np.zeros(n) if whole else _integers(np.zeros(n))
+    done = 0
     for share in DEPTHS:
-        depth = min(n, max(k + 1, int(np.ceil(n * share))))
-        q = queries[open_queries].astype(kind)
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        if depth == n:
-            low = high = q @ matrix.T
-        else:
-            top, bottom = lists[n - depth], lists[depth - 1]  # where reading stands, from either end
-            high = up @ np.maximum(matrix, top).T + down @ np.minimum(matrix, bottom).T
-            low = up @ np.where(matrix >= top, matrix, lists[0]).T + down @ np.where(matrix <= bottom, matrix, lists[-1]).T
-        low, high = np.where(own[open_queries], lowest, low), np.where(own[open_queries], lowest, high)
-        best = np.argsort(-low if exact else ~low, axis=1, kind="stable")[:, :k]
-        kth = np.take_along_axis(low, best, axis=1)[:, -1]
-        others = high.copy()
-        np.put_along_axis(others, best, lowest, axis=1)
-        sure = np.full(len(q), True) if depth == n else kth > others.max(axis=1, initial=lowest)
-        for row in np.flatnonzero(sure):
-            number = int(open_queries[row])
-            found = best[row][~own[number][best[row]]]
-            scores = queries[number].astype(np.int64) @ matrix[found].astype(np.int64).T
-            out += [(number, int(c), int(s)) for c, s in zip(found, scores, strict=True)]
-        open_queries = open_queries[~sure]
-        if not len(open_queries):
+        depth = n if share == 1 else int(np.ceil(n * share))
+        for used, w, end in sides:
+            names, values = block.read(used, end, done, depth)
+            products = exact(values) * w[:, None]
+            if whole:
+                known += np.bincount(names.ravel(), products.ravel(), n)
+            else:
+                np.add.at(known, names, products)
+        done = depth
+        low = high = known
+        seen, unseen = others, None
+        if done < n:
+            low, high, seen, unseen = known.copy(), known.copy(), np.zeros(n, dtype=bool), 0
+            for used, w, end in sides:
+                missing = block.places[used] < n - done if end else block.places[used] >= done
+                limits = [w * exact(block.read(used, end, at, at + 1)[1][:, 0]) for at in (n - 1, done - 1)]
+                least, most = np.stack(limits) @ (missing.astype(float) if whole else missing.astype(object))
+                low, high = low + least, high + most
+                seen |= ~missing.all(axis=0)
+                unseen += limits[1].sum()
+            seen &= others
+        found = np.flatnonzero(seen)
+        if len(found) < wanted:
+            continue
+        ranked = found[np.argsort(-low[found], kind="stable")]  # ties in the order of candidates
+        best, rest = ranked[:wanted], ranked[wanted:]
+        kth = low[best[-1]]
+        outside = [high[rest].max()] if len(rest) else []
+        outside += [unseen] if len(found) < others.sum() else []
+        if done == n or all(kth > bound for bound in outside):
             break
-    return out
+    full = exact(weights)
+    return [(int(c), int(full @ exact(block.matrix[c]))) for c in best]
 
 
 def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """`query_id`, `rank` (from 1), `vec_id`, `score` of each query's k best candidates, ties to the smaller id.
-
-    Both tables have `id` and `v` (see `integer_vectors`). Every block of queries meets every block of
-    candidates once, a pair to a task; a pair gives k rows a query. Vectors of different lengths are
-    compared as if the shorter ended in zeros. Equal rows count once; several vectors under one query
-    id are told apart by rank order only. Empty tables give an empty result.
+    """`query_id`, `rank` (from 1), `vec_id`, `score` of each query row's k best candidate rows, ties to the smaller id.
+
+    Both tables come from one `integer_vectors`. Every row of `vectors` is a candidate but the query's
+    own, equal rows and rows of one id each by themselves; so are query rows. Every block of queries meets
+    every block of candidates once, a pair to a task; a pair gives k rows a query. Vectors of different
+    lengths are compared as if the shorter ended in zeros. Sums are exact whatever their size; a score
+    that no long holds is returned as the nearest long, with its rank by the exact score (scores of 38
+    digits and more count as equal). Empty tables give an empty result.
     """
-    candidates, n_candidates = _blocks(vectors.distinct(), CANDIDATE_BLOCK)
-    asked, n_queries = _blocks(queries.distinct(), QUERY_BLOCK)
+    candidates, n_candidates = _blocks(vectors, CANDIDATE_BLOCK)
+    asked, n_queries = _blocks(queries, QUERY_BLOCK)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = candidates.select(F.col("block").alias("c"), every(n_queries).alias("q"), "ids", "width", "components", "lists")
-    right = asked.select(
-        F.col("block").alias("q"), every(n_candidates).alias("c"), F.col("ids").alias("query_ids"), F.col("width").alias("query_width"), F.col("components").alias("query_components")
-    )
+    parts = ["rows", "ids", "matrix"]
+    left = candidates.select(F.col("block").alias("c"), every(n_queries).alias("q"), *parts)
+    right = asked.select(F.col("block").alias("q"), every(n_candidates).alias("c"), *[F.col(x).alias(f"query_{x}") for x in parts])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, ids, width, components, lists, query_ids, query_width, query_components in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, query_ids = np.frombuffer(ids, "<i8"), np.frombuffer(query_ids, "<i8")
-                found = block_top(
-                    query_ids,
-                    np.frombuffer(query_components, "<i8").reshape(len(query_ids), query_width),
-                    ids,
-                    np.frombuffer(components, "<i8").reshape(len(ids), width),
-                    np.frombuffer(lists, "<i8").reshape(len(ids), width),
-                    k,
-                )
-                number, place, score = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
-                # block and place tell queries of one id apart
-                arrays = [pa.array(query_ids[number]), pa.array((q << 32) + number), pa.array(ids[place]), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "number", "vec_id", "score"])
-
-    pairs = left.join(right, ["c", "q"]).select("q", "ids", "width", "components", "lists", "query_ids", "query_width", "query_components")
-    found = pairs.mapInArrow(search, "query_id long, number long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "number").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for rows, ids, matrix, query_rows, query_ids, query_matrix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                block = Block.of(rows, ids, matrix)
+                asked = Block.of(query_rows, query_ids, query_matrix, lists=False)
+                out: tuple[list, ...] = ([], [], [], [])
+                for number, query in enumerate(asked.matrix):
+                    for place, score in query_top(int(asked.rows[number]), query, block, k):
+                        found = (asked.ids[number], asked.rows[number], block.ids[place], Decimal(max(-LARGEST_SCORE, min(LARGEST_SCORE, score))))
+                        for column, value in zip(out, found, strict=True):
+                            column.append(value)
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.decimal128(38, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["query_id", "query_row", "vec_id", "score"])
+
+    pairs = left.join(right, ["c", "q"]).select(*parts, *[f"query_{x}" for x in parts])
+    found = pairs.mapInArrow(search, "query_id long, query_row long, vec_id long, score decimal(38, 0)")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    held = F.least(F.greatest(F.col("score"), F.lit(Decimal(-LARGEST_LONG - 1))), F.lit(Decimal(LARGEST_LONG))).cast("long")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", held.alias("score"))
 
 
 def top_inner_products_sql(k: int, every: int) -> str:
     return f"""
-WITH parts AS (
-    SELECT vec_id, unnest(range(len(embedding))) AS i, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x
-    FROM embeddings
+WITH numbered AS (SELECT vec_id, embedding, row_number() OVER () AS place FROM embeddings WHERE vec_id IS NOT NULL),
+parts AS (
+    SELECT vec_id, place, unnest(range(len(embedding))) AS i, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x
+    FROM numbered
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scores AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-    FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id
-    WHERE q.vec_id % {every} = 0 GROUP BY q.vec_id, c.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+    SELECT q.vec_id AS query_id, q.place AS query_place, c.vec_id, c.place, CAST(sum(q.x * c.x) AS BIGINT) AS score
+    FROM parts q JOIN parts c ON q.i = c.i AND q.place <> c.place
+    WHERE q.vec_id % {every} = 0 GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_place ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
 FROM scores QUALIFY rank <= {k}
 """
