@@ -1,11 +1,11 @@
 """I-Match document fingerprints over randomised lexicons, in DataFrame functions only.
 
 Terms are runs of letters and digits of the lower-cased whole text. The lexicon keeps the terms whose
-share of documents lies in a band (a band of inverse document frequency). A subset of the lexicon
-keeps a term when one hexadecimal digit of its MD5 is small, a different digit for each subset. A
-document's fingerprint is a hash per subset, of its distinct terms in the subset, sorted; two
-documents are alike to the share of equal hashes. A subset without any term of the document gives a
-hash of the text itself, so that documents do not look alike for having nothing to compare.
+share of documents lies in a band (a band of inverse document frequency). Each of several random
+subsets of the lexicon keeps a term with its own chance, from one in 4 to one in 1,024, so that texts of
+any length have subsets that hold a few of their terms. A document's fingerprint is a hash per subset, of its
+distinct terms in the subset, sorted. Two documents are alike to the share of equal hashes among the
+subsets that hold a term of either; if none does, they are alike if their texts are equal.
 """
 
 from __future__ import annotations
@@ -18,10 +18,14 @@ from tablegauge.llm.common import bound_bucket, checkpointed, id_bounds
 
 #: Share of documents, as lowest and highest count per 1,000 documents.
 BAND = (1, 100)
-SUBSETS = 16
-#: A subset keeps the terms whose digit is below this: a quarter of the lexicon.
-KEPT_DIGITS = "4"
-HASH_DIGITS = 16
+#: Subsets by chance: a subset keeps a term if the first three hexadecimal digits of the MD5 of
+#: `<subset>:<term>` are below its limit, of 4,096.
+SUBSETS_BY_LIMIT = {"400": 4, "100": 8, "040": 16, "010": 24, "004": 12}
+LIMITS = [limit for limit, n in SUBSETS_BY_LIMIT.items() for _ in range(n)]
+SUBSETS = len(LIMITS)
+HASH_DIGITS = 8
+#: Stands for a subset without a term of the document.
+NO_TERM = "." * HASH_DIGITS
 RANGE_DOCUMENTS = 2048
 #: Up to so many terms the lexicon is broadcast (some 100 bytes each); a larger one is joined by
 #: shuffle. A term of the band is in BAND[0] of 1,000 documents at least, so the lexicon has at most
@@ -38,42 +42,63 @@ def lexicon(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFrame:
     rows = docs.count()
     counted = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     kept = counted.where((F.col("n") * 1000 >= band[0] * rows) & (F.col("n") * 1000 <= band[1] * rows))
-    digest = F.md5("term")
-    bits = [F.when(F.substring(digest, i + 1, 1) < KEPT_DIGITS, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(SUBSETS)]
-    mask = bits[0]
-    for bit in bits[1:]:
-        mask = mask.bitwiseOR(bit)
-    empty = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).alias("subsets"))
-    return kept.select("term", mask.alias("subsets")).unionByName(empty)
+    limits = F.array(*map(F.lit, LIMITS))
+    digits = lambda i: F.substring(F.md5(F.concat(i.cast("string"), F.lit(":"), F.col("term"))), 1, 3)
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: digits(i) < F.get(limits, i))
+    empty = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.array().cast("array<int>").alias("subsets"))
+    return kept.select("term", numbers.alias("subsets")).unionByName(empty)
 
 
-def _hashes(found: Column, text_digest: Column) -> Column:
-    def one(i: int) -> Column:
-        inside = F.filter(found, lambda t: t["subsets"].bitwiseAND(F.lit(1 << i)) != 0)
-        of_terms = F.md5(F.array_join(F.transform(inside, lambda t: t["term"]), " "))
-        of_text = F.md5(F.concat(F.lit(f"{i}="), text_digest))
-        return F.substring(F.when(F.size(inside) > 0, of_terms).otherwise(of_text), 1, HASH_DIGITS)
+def _hash(joined: Column) -> Column:
+    return F.substring(F.md5(joined), 1, HASH_DIGITS)
 
-    return F.array(*[one(i) for i in range(SUBSETS)])
 
+def _by_subset(entries: Column) -> Column:
+    """(subset, hash) entries as an array by subset, null where there is none."""
+    found = F.map_from_entries(entries)
+    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.try_element_at(found, i))
 
-def _likeness(a: Column, b: Column) -> Column:
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
-    return same / F.lit(float(SUBSETS))
+
+def _shown(hashes: Column, digest: Column) -> Column:
+    """The fingerprint as an array without nulls; a text without any term of the lexicon shows its own digest."""
+    filled = F.exists(hashes, lambda h: h.isNotNull())
+    return F.when(filled, F.transform(hashes, lambda h: F.coalesce(h, F.lit(NO_TERM)))).otherwise(F.array(digest))
+
+
+def _likeness(a: Column, b: Column, same_text: Column) -> Column:
+    both = F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.coalesce(x == y, F.lit(False))))
+    filled = F.size(F.filter(both, lambda x: x.isNotNull()))
+    same = F.size(F.filter(both, lambda x: x))
+    return F.when(filled > 0, same / F.greatest(filled, F.lit(1))).otherwise(same_text.cast("double"))
 
 
 def _lookup(rows: DataFrame, words: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(words) if words.count() <= BROADCAST_TERMS else words, "term")
 
 
+def _hashed(parts: DataFrame, words: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
+    """`hashes` and the `facts` for each combination of `keys`, of `parts` (keys, facts, distinct terms and an empty one).
+
+    Facts stand on the empty term only, so rows stay short; terms of one document are grouped where
+    they were dealt to.
+    """
+    facts_once = F.when(F.col("term") == "", F.struct(*facts)).alias("facts")
+    found = _lookup(parts, words).select(*keys, "term", facts_once, F.explode_outer("subsets").alias("subset"))
+    of_subset = found.repartition(*keys[:2]).groupBy(*keys, "subset").agg(
+        F.array_join(F.array_sort(F.collect_list("term")), " ").alias("joined"), F.first("facts", ignorenulls=True).alias("facts")
+    )
+    entry = F.when(F.col("subset").isNotNull(), F.struct("subset", _hash(F.col("joined")).alias("hash")))
+    made = of_subset.groupBy(*keys).agg(_by_subset(F.collect_list(entry)).alias("hashes"), F.first("facts", ignorenulls=True).alias("facts"))
+    return made.select(*keys, "hashes", "facts.*")
+
+
 def fingerprints(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFrame:
     """`text` and `fingerprint` (an array of hashes) per distinct text of `docs`; a null text counts as empty."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     words = checkpointed(lexicon(texts, band))
     digested = texts.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["digest"])
-    found = _lookup(digested.select("digest", F.explode(F.array_append(terms(F.col("text")), F.lit(""))).alias("term")), words)
-    made = found.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("term", "subsets"))).alias("found"))
-    hashed = made.select("digest", _hashes(F.col("found"), F.col("digest")).alias("fingerprint"))
+    parts = digested.select("digest", F.lit(0).alias("side"), F.explode(F.array_append(terms(F.col("text")), F.lit(""))).alias("term"))
+    hashed = _hashed(parts, words, ["digest", "side"], ["side"]).select("digest", _shown(F.col("hashes"), F.col("digest")).alias("fingerprint"))
     return digested.join(hashed, "digest").select("text", "fingerprint")
 
 
@@ -83,7 +108,8 @@ def edited_fingerprints(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFr
     The edited text has the second half of the characters replaced by the first as many (or all) of
     the next document's, in ascending `doc_id` order (a null id first, rows of one id by text), the
     first document's after the last. Each document goes to one task with its neighbours: documents
-    are dealt by ranges of their id, and the first of a range also visits the range before.
+    are dealt by ranges of their id; those of a range's first id also visit the range before, and
+    those of the first id of all the last range, after all others.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     words = checkpointed(lexicon(base, band))
@@ -92,8 +118,8 @@ def edited_fingerprints(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFr
     opens = F.col("doc_id").isNull() if first.none else F.col("doc_id") == F.lit(first.low).cast("long")
     place = bound_bucket("doc_id", bounds)
     opens_range = F.col("doc_id").isin(bounds) if bounds else F.lit(False)
-    before = F.when(opens_range, place - 1).when(opens, F.lit(len(bounds)))
-    homes = F.array(F.struct(place.alias("range"), F.lit(0).alias("visit")), F.struct(before.alias("range"), F.lit(1).alias("visit")))
+    home = lambda range_no, visit: F.struct(range_no.cast("int").alias("range"), F.lit(visit).alias("visit"))
+    homes = F.array(home(place, 0), home(F.when(opens_range, place - 1), 1), home(F.when(opens, F.lit(len(bounds))), 2))
     homes = F.filter(homes, lambda h: h["range"].isNotNull())
     order = Window.partitionBy("range").orderBy("visit", F.col("doc_id").asc_nulls_first(), "text")
     rows = (
@@ -105,36 +131,29 @@ def edited_fingerprints(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFr
         .withColumn("digest", F.sha2("text", 256))
         .withColumn("edited_sha256", F.sha2("edited", 256))
     )
-    kept = ["range", "place", "visit", "doc_id", "n_chars", "digest", "edited_sha256"]
+    facts = ["visit", "doc_id", "n_chars", "digest", "edited_sha256"]
     sides = F.array(
         F.struct(F.lit(0).alias("side"), F.col("text").alias("of")),
         F.struct(F.lit(1).alias("side"), F.when(F.col("visit") == 0, F.col("edited")).otherwise(F.lit("")).alias("of")),
     )
-    parts = rows.select(*kept, F.inline(sides)).select(*kept, "side", F.explode(F.array_append(terms(F.col("of")), F.lit(""))).alias("term"))
-    entry = F.struct("term", "subsets")
-    made = (
-        _lookup(parts, words)
-        .groupBy("range", "place")
-        .agg(
-            *[F.first(c).alias(c) for c in kept[2:]],
-            F.array_sort(F.collect_list(F.when(F.col("side") == 0, entry))).alias("of_text"),
-            F.array_sort(F.collect_list(F.when(F.col("side") == 1, entry))).alias("of_edited"),
-        )
-        .withColumn("a", _hashes(F.col("of_text"), F.col("digest")))
-        .withColumn("b", _hashes(F.col("of_edited"), F.col("edited_sha256")))
-    )
-    following = F.lead("a").over(Window.partitionBy("range").orderBy("place"))
+    parts = rows.select("range", "place", *facts, F.inline(sides)).select("range", "place", "side", *facts, F.explode(F.array_append(terms(F.col("of")), F.lit(""))).alias("term"))
+    hashed = _hashed(parts, words, ["range", "place", "side"], facts)
+    by_side = lambda side: F.first(F.when(F.col("side") == side, F.col("hashes")), ignorenulls=True)
+    made = hashed.groupBy("range", "place").agg(*[F.first(c).alias(c) for c in facts], by_side(0).alias("a"), by_side(1).alias("b"))
+    following = Window.partitionBy("range").orderBy("place")
+    text_of = lambda hashes, digest: F.array_join(_shown(F.col(hashes), F.col(digest)), "")
     return (
-        made.withColumn("next_a", following)
+        made.withColumn("next_a", F.lead("a").over(following))
+        .withColumn("next_digest", F.lead("digest").over(following))
         .where("visit = 0")
         .select(
             "doc_id",
             "n_chars",
             "edited_sha256",
-            F.array_join("a", "").alias("fingerprint"),
-            F.array_join("b", "").alias("edited_fingerprint"),
-            _likeness(F.col("a"), F.col("b")).alias("near_edited"),
-            _likeness(F.col("a"), F.col("next_a")).alias("near_next"),
+            text_of("a", "digest").alias("fingerprint"),
+            text_of("b", "edited_sha256").alias("edited_fingerprint"),
+            _likeness(F.col("a"), F.col("b"), F.col("digest") == F.col("edited_sha256")).alias("near_edited"),
+            _likeness(F.col("a"), F.col("next_a"), F.col("digest") == F.col("next_digest")).alias("near_next"),
         )
     )
 
@@ -157,25 +176,30 @@ words AS (
     SELECT term FROM parts WHERE side = 0 AND term <> '' GROUP BY term
     HAVING count(*) * 1000 >= {BAND[0]} * (SELECT count(*) FROM base)
        AND count(*) * 1000 <= {BAND[1]} * (SELECT count(*) FROM base)),
-subset_ids AS (SELECT unnest(range({SUBSETS})) AS i),
+subsets(i, low) AS (VALUES {", ".join(f"({i}, '{limit}')" for i, limit in enumerate(LIMITS))}),
+kept AS (SELECT term, i FROM words JOIN subsets ON substr(md5(i || ':' || term), 1, 3) < low),
 found AS (
-    SELECT p.place, p.side, s.i, string_agg(p.term, ' ' ORDER BY p.term) AS joined
-    FROM parts p JOIN words w ON p.term = w.term
-    JOIN subset_ids s ON substr(md5(p.term), CAST(s.i AS INT) + 1, 1) < '{KEPT_DIGITS}'
-    GROUP BY p.place, p.side, s.i),
+    SELECT p.place, p.side, k.i, left(md5(string_agg(p.term, ' ' ORDER BY p.term)), {HASH_DIGITS}) AS h
+    FROM parts p JOIN kept k ON p.term = k.term GROUP BY p.place, p.side, k.i),
 hashes AS (
-    SELECT d.place, d.side,
-           list(left(md5(coalesce(f.joined, CAST(s.i AS VARCHAR) || '=' || sha256(d.t))), {HASH_DIGITS}) ORDER BY s.i) AS h
-    FROM sides d CROSS JOIN subset_ids s
-    LEFT JOIN found f ON f.place = d.place AND f.side = d.side AND f.i = s.i
+    SELECT d.place, d.side, sha256(any_value(d.t)) AS digest, count(f.h) AS filled,
+           list(coalesce(f.h, '{NO_TERM}') ORDER BY s.i) AS h
+    FROM sides d CROSS JOIN subsets s LEFT JOIN found f ON f.place = d.place AND f.side = d.side AND f.i = s.i
     GROUP BY d.place, d.side),
+following AS (
+    SELECT place, h, digest, filled, coalesce(lead(h) OVER w, first_value(h) OVER w) AS next_h,
+           coalesce(lead(digest) OVER w, first_value(digest) OVER w) AS next_digest
+    FROM hashes WHERE side = 0 WINDOW w AS (ORDER BY place)),
 full_rows AS (
-    SELECT e.doc_id, e.n, e.edited, e.place, a.h AS a, b.h AS b,
-           coalesce(lead(a.h) OVER (ORDER BY e.place), first_value(a.h) OVER (ORDER BY e.place)) AS c
-    FROM edited e JOIN hashes a ON a.place = e.place AND a.side = 0 JOIN hashes b ON b.place = e.place AND b.side = 1)
-SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
-       array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
-       len(list_filter(list_zip(a, b), lambda x: x[1] = x[2])) / {SUBSETS}.0 AS near_edited,
-       len(list_filter(list_zip(a, c), lambda x: x[1] = x[2])) / {SUBSETS}.0 AS near_next
+    SELECT e.doc_id, e.n, b.digest AS edited_sha256, CASE WHEN a.filled > 0 THEN array_to_string(a.h, '') ELSE a.digest END AS fingerprint,
+           CASE WHEN b.filled > 0 THEN array_to_string(b.h, '') ELSE b.digest END AS edited_fingerprint,
+           list_filter(list_zip(a.h, b.h), lambda x: x[1] <> '{NO_TERM}' OR x[2] <> '{NO_TERM}') AS with_edited, a.digest = b.digest AS same_edited,
+           list_filter(list_zip(a.h, a.next_h), lambda x: x[1] <> '{NO_TERM}' OR x[2] <> '{NO_TERM}') AS with_next, a.digest = a.next_digest AS same_next
+    FROM edited e JOIN following a ON a.place = e.place JOIN hashes b ON b.place = e.place AND b.side = 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
+       CASE WHEN len(with_edited) > 0 THEN len(list_filter(with_edited, lambda x: x[1] = x[2])) / CAST(len(with_edited) AS DOUBLE)
+            ELSE CAST(same_edited AS DOUBLE) END AS near_edited,
+       CASE WHEN len(with_next) > 0 THEN len(list_filter(with_next, lambda x: x[1] = x[2])) / CAST(len(with_next) AS DOUBLE)
+            ELSE CAST(same_next AS DOUBLE) END AS near_next
 FROM full_rows
 """
