@@ -19,6 +19,10 @@ SKETCH_LOG2 = 9
 #: Estimates from this share of the threshold up to its inverse are near it. At 512 registers the
 #: standard error is under 5 %, so the band is more than ten of them wide on either side.
 NEAR = 0.5
+#: Up to so many lines (16 bytes each, and a place) are broadcast to the tasks that hold their occurrences;
+#: more are joined by shuffle, with the occurrences of a line dealt to `SALTS` tasks.
+BROADCAST_LINES = 500_000
+SALTS = 16
 
 
 def line_sites(lines: DataFrame) -> DataFrame:
@@ -29,12 +33,21 @@ def line_sites(lines: DataFrame) -> DataFrame:
     )
 
 
+def _meet(lines: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The occurrences of the chosen lines, which are distinct, with their columns; a frequent line is no task's alone."""
+    keys = ["line_a", "line_b"]
+    if chosen.count() <= BROADCAST_LINES:
+        return lines.join(F.broadcast(chosen), keys)
+    salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("key", "place"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """`line_a`, `line_b` and `first` of the lines on `min_sites` sites or more; no approximation is left."""
     spread = checkpointed(line_sites(lines).where(F.col("sites") >= NEAR * min_sites))
     near = spread.where(F.col("sites") < min_sites / NEAR).select("line_a", "line_b")
     exact = (
-        lines.join(near, ["line_a", "line_b"], "left_semi")
+        _meet(lines, near)
         .select("line_a", "line_b", F.xxhash64("site").alias("site"))
         .distinct()
         .groupBy("line_a", "line_b")
@@ -61,19 +74,21 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
             F.xxhash64("line").alias("line_a"), F.xxhash64(F.lit(1), "line").alias("line_b"),
         )
     )
-    bad = boilerplate(lines, min_sites)
+    bad = checkpointed(boilerplate(lines, min_sites))
     hits = (
-        lines.join(bad, ["line_a", "line_b"])
+        _meet(lines, bad)
         .where(F.struct("id", "key", "place") != F.col("first"))
         .groupBy("key")
         .agg(F.collect_set("place").alias("__gone"))
     )
-    parts = F.split("text", "\n")
-    left = F.filter(parts, lambda _, i: ~F.array_contains(F.col("__gone"), i))
-    cleaned = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    # lines are split once, before the join, and found by place: linear in the lines of a text
+    places = F.sequence(F.lit(0), F.size("__lines") - 1)
+    kept = F.transform(F.array_except(places, F.col("__gone")), lambda i: F.get(F.col("__lines"), i))
+    cleaned = F.array_join(F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(kept), "\n")
     names = [c for c in docs.columns if c != count]
+    with_lines = keyed.withColumn("__lines", F.split("text", "\n")).drop("text")
     return (
-        keyed.join(hits.withColumnRenamed("key", "__key"), "__key", "left")
+        with_lines.join(hits.withColumnRenamed("key", "__key"), "__key", "left")
         .withColumn("text", cleaned)
         .select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(count))
     )

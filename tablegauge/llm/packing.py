@@ -9,6 +9,7 @@ So no round has more than one group's pieces in a task, and the loss at the ends
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,6 +26,8 @@ SEQUENCE_TOKENS = 2048
 GROUP_PIECES = 4096
 #: A sequence filled to this share or more is left as it is in the next rounds.
 GOOD_FILL = 0.995
+#: Sequence numbers have room for so many rounds; each of them settles a tenth of its pieces or is the last.
+MOST_ROUNDS = 30
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -117,18 +120,20 @@ def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS, group_pieces: int = GRO
 
     The result does not depend on how rows are spread over tasks: groups are made by a hash of the
     piece, or by `first_group` (a long) in the first round, and ordered by length and identity
-    within. An empty input gives an empty result.
+    within. Rounds go on until one group is left, or until one settles less than a tenth of its pieces
+    (or `MOST_ROUNDS` are done), as further ones would change little. An empty input gives an empty result.
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     left = checkpointed(pieces.select(*names))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields)
-    done, level = None, 0
+    done, level, before = None, 0, math.inf
     identity = F.xxhash64(*[c for c in names if c != "length"])
     while True:
         rows = left.count()
         groups = max(1, -(-rows // group_pieces))
         by = first_group if level == 0 and first_group is not None else F.pmod(F.xxhash64(F.lit(level), identity), F.lit(groups))
-        last = groups == 1 or level == 15
+        # groups that the caller made leave badly filled sequences each, which meet in the rounds after
+        last = (groups == 1 or 10 * rows > 9 * before or level == MOST_ROUNDS) and not (level == 0 and first_group is not None)
         placed = checkpointed(
             left.withColumn("__group", by)
             .withColumn("__tie", identity)
@@ -139,7 +144,7 @@ def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS, group_pieces: int = GRO
         done = good if done is None else done.unionByName(good)
         if last:
             return done
-        left = placed.where("NOT __good").select(*names)
+        left, before = placed.where("NOT __good").select(*names), rows if level else math.inf
         level += 1
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -133,7 +134,9 @@ def brute_lines(rows, min_sites):
     return out
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_lines(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
     rng = random.Random(1)
     lines = [f"line {i}" for i in range(40)] + ["", "  ", "\t"]
     rows = []
@@ -148,6 +151,16 @@ def test_lines(spark):
     assert sum(n for _, n in got.values()) > 100
 
 
+def test_texts_of_many_removed_lines(spark):
+    """Six texts of 64,000 shared lines: removing them takes time in proportion to the lines."""
+    text = "\n".join(f"line {i}" for i in range(64_000))
+    rows = [(i, text + f"\nown {i}", f"s{i}") for i in range(6)]
+    started = time.monotonic()
+    got = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup.remove_boilerplate(docs_of(spark, rows)).collect()}
+    assert time.monotonic() - started < 60
+    assert got == {i: (t if i == 0 else f"own {i}", 64_000 * (i > 0)) for i, t, _ in rows}
+
+
 def test_lines_of_repeated_rows(spark):
     rows = [(1, "a\nb", f"s{i}") for i in range(6)] + [(None, "a", "z"), (2, "a\nc", "y")]
     got = sorted((r.doc_id or -1, r.text) for r in line_dedup.remove_boilerplate(docs_of(spark, rows), min_sites=5).collect())
@@ -258,7 +271,9 @@ def test_band_choice_reaches_the_recall():
     assert 1 - (1 - 0.8**rows) ** bands >= ngram_join.RECALL
 
 
-def test_components(spark):
+@pytest.mark.parametrize("share", [1000, 5, 0])
+def test_components(spark, monkeypatch, share):
+    monkeypatch.setattr("tablegauge.llm.components.HOT_SHARE", share)
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 300), (300, 100), (7, 7)]
     star = [(500, 500 + i) for i in range(1, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain + star, "x long, y long")).collect()}

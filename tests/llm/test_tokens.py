@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tablegauge.llm import tokens
 from tablegauge.llm.packing import document_pieces, pack, pack_documents, sum_of_squares
@@ -160,6 +161,24 @@ def test_packing_in_rounds_is_near_the_bound(spark):
     assert check_packing(rows, 2048) <= 1.02 * sum(lengths) / 2048 + 1
 
 
+def test_stretches_meet_in_the_next_round(spark):
+    """Few pieces in many small groups: their badly filled sequences are packed again, however few pieces there are."""
+    rng = random.Random(9)
+    rows = [(i, rng.randint(1, 700), i // 10) for i in range(3000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, length long, stretch long")
+    bound = -(-sum(r[1] for r in rows) // 2048)
+    count = lambda packed: len({r.sequence_id for r in packed.collect()})
+    alone, stretched = count(pack(pieces)), count(pack(pieces, first_group=F.col("stretch")))
+    assert bound <= alone <= 1.01 * bound + 1 and stretched <= 1.01 * alone + 1
+
+
+def test_pieces_that_never_fill_end_in_groups(spark):
+    """Pieces of over half a sequence: rounds stop when they settle nothing, in groups of bounded size."""
+    pieces = spark.createDataFrame([(i, 1100) for i in range(900)], "doc_id long, length long")
+    packed = pack(pieces, group_pieces=50).collect()
+    assert len(packed) == len({r.sequence_id for r in packed}) == 900
+
+
 def test_packing_edges(spark):
     empty = frame(spark, [])
     assert pack_documents(empty, WORDS, 0).collect() == []
