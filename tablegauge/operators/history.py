@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.operators.lineage import follow_links
+from tablegauge.operators.tree_tour import preorder
 from tablegauge.operators.versions import COMPLETED, latest_completed_runs
 
 # Severities of stored issues in listing order.
@@ -18,7 +19,6 @@ TOP_PROJECTS = 10
 STALL_SECONDS = 300
 OPEN_STATUSES = ("pending", "processing")
 SLOW_MS = 500
-_ORDER_DIGITS = 20
 
 
 def run_list(
@@ -252,21 +252,16 @@ def latency_stats(calls: DataFrame, keys: list[str], duration: str, slow_ms: flo
 
 
 def tree_order(datasets: DataFrame) -> DataFrame:
-    """Datasets with `root_id`, `depth` and `path`; ordered by path, a tree reads parents first.
+    """Datasets with `root_id`, `depth` and `position`; by root and position, a tree reads parents first.
 
-    A path joins one fixed-width step per version, creation time first, so siblings sort by age
-    and every parent is a prefix of its children.
+    Positions count from 0 in each tree; siblings follow one another by creation time, then id. A
+    version on a cycle of parents is a root.
     """
-    age = F.unix_micros(F.col("created_at").cast("timestamp")).cast("string")
-    step = F.concat(
-        F.lpad(age, _ORDER_DIGITS, "0"), F.lpad(F.col("dataset_id").cast("string"), _ORDER_DIGITS, "0")
-    )
-    links = datasets.select(
-        F.col("dataset_id").alias("id"), F.col("parent_dataset_id").alias("target"), step.alias("step")
-    )
-    paths = follow_links(links, "step")
-    depth = (F.length("path") / (2 * _ORDER_DIGITS)).cast("bigint") - 1
-    placed = paths.select(
-        F.col("id").alias("dataset_id"), F.col("end").alias("root_id"), depth.alias("depth"), "path"
-    )
-    return datasets.join(placed, "dataset_id")
+    links = datasets.select(F.col("dataset_id").alias("id"), F.col("parent_dataset_id").alias("target"))
+    ends = follow_links(links).select("id", F.col("end").alias("root"))
+    age = F.unix_micros(F.col("created_at").cast("timestamp"))
+    rows = datasets.select(F.col("dataset_id").alias("id"), F.col("parent_dataset_id").alias("parent"), age.alias("age"))
+    parent = F.when(F.col("id") != F.col("root"), F.col("parent"))
+    placed = preorder(rows.join(ends, "id").select("id", parent.alias("parent"), "age", "root"))
+    facts = ends.join(placed, "id").select(F.col("id").alias("dataset_id"), F.col("root").alias("root_id"), "depth", "position")
+    return datasets.join(facts, "dataset_id")

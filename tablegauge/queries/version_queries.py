@@ -321,14 +321,14 @@ CATEGORY_SQL = with_views(
 
 def tree_order(spark, sf_dir):
     """Depth and pre-order path of every dataset version."""
-    return history.tree_order(view(spark, sf_dir, "datasets")).select("dataset_id", "root_id", "depth", "path")
+    return history.tree_order(view(spark, sf_dir, "datasets")).select("dataset_id", "root_id", "depth", "position")
 
 
 TREE_SQL = with_views(
     "s AS (SELECT dataset_id, parent_dataset_id, concat(lpad(CAST(epoch_us(created_at) AS VARCHAR), 20, '0'), lpad(CAST(dataset_id AS VARCHAR), 20, '0')) AS step FROM datasets), "
     "w(dataset_id, root_id, depth, path) AS (SELECT dataset_id, dataset_id, CAST(0 AS BIGINT), step FROM s WHERE parent_dataset_id IS NULL "
     "UNION ALL SELECT s.dataset_id, w.root_id, w.depth + 1, concat(w.path, s.step) FROM s JOIN w ON s.parent_dataset_id = w.dataset_id) "
-    "SELECT dataset_id, root_id, depth, path FROM w",
+    "SELECT dataset_id, root_id, depth, row_number() OVER (PARTITION BY root_id ORDER BY path) - 1 AS position FROM w",
     "datasets",
 )
 

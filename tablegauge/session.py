@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """Write `df` as a table below the checkpoint folder and read it back.
+
+    For rounds that join a table with itself: unlike a checkpoint, a table read back carries no
+    constraints of the plan that made it, which double from round to round.
+    """
+    folder = f"{checkpoint_folder(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def local_rows(df: DataFrame) -> DataFrame:
     """Run a frame of schema-bounded size (one row, or one row per column) exactly once.
 
