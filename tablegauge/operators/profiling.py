@@ -14,14 +14,14 @@ from tablegauge.functions.columns import (
     profile_sub_type,
 )
 from tablegauge.functions.fingerprints import numeric_code_fingerprint
-from tablegauge.operators.column_stats import CENTRE, MOMENTS, NULLS, column_stats, moment_shape, row_count, wide_aggregates
+from tablegauge.operators.column_stats import CENTRE, MOMENTS, NULLS, column_stats, moment_shape, row_count, to_long, wide_aggregates, with_missing
 from tablegauge.operators.findings import Context, Shared, issues_of
 from tablegauge.operators.frequency import (
     complete_distinct_counts,
     duplicate_totals,
     top_values,
 )
-from tablegauge.operators.histogram import adaptive_bins, bin_bounds, histogram
+from tablegauge.operators.histogram import DEFAULT_BINS, adaptive_bins, bin_bounds, histogram
 from tablegauge.operators.outliers import Outliers
 from tablegauge.operators.quantiles import QUARTILES, quartiles, two_scans
 from tablegauge.session import local_rows
@@ -208,12 +208,26 @@ def redact(statistics: DataFrame, sensitive: list[str] | None) -> DataFrame:
 
 
 def run_column_metrics(df: DataFrame, frequency: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """What a run stores per column: completeness, uniqueness, counts, type and moments."""
-    names = present(df, columns)
-    stats = column_stats(df, names, MOMENTS)
-    counted = complete_distinct_counts(frequency, stats)
-    medians = quartiles(df, names).select("column_name", "median")
-    return counted.join(F.broadcast(medians), "column_name", "left").select(
+    """What a run stores per column: completeness, uniqueness, counts, type, moments and the histogram.
+
+    `histogram` holds the counts of ten equal bins from `min` to `max` of a numeric column with values.
+    """
+    names, by_kind, measures = present(df, columns), kinds(df), {**NULLS, **MOMENTS}
+    numeric = numeric_columns(df, names)
+    found = two_scans(df, numeric, (0.5,), [row_count(), *wide_aggregates(names, by_kind, measures)])
+    wanted = [c for c in found.row.asDict() if not c.startswith("sketch__")]
+    wide = df.agg(row_count(), *wide_aggregates(names, by_kind, measures)).schema
+    row = df.sparkSession.createDataFrame([tuple(found.row[c] for c in wanted)], wide)
+    stats = local_rows(with_missing(to_long(row, names, by_kind, measures, ["n_rows"])))
+    medians = df.sparkSession.createDataFrame([(c, found.quantiles.get((c, 0.5))) for c in names], "column_name string, median double")
+    bars = histogram(df, numeric, bounds=bin_bounds(stats, F.lit(DEFAULT_BINS))) if numeric else None
+    counted = complete_distinct_counts(frequency, stats).join(F.broadcast(medians), "column_name", "left")
+    if bars is None:
+        counted = counted.withColumn("histogram", F.lit(None).cast("array<bigint>"))
+    else:
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("bin", "cnt"))), lambda b: b["cnt"])
+        counted = counted.join(F.broadcast(bars.groupBy("column_name").agg(in_order.alias("histogram"))), "column_name", "left")
+    return counted.select(
         "column_name",
         "kind",
         "completeness",
@@ -226,9 +240,15 @@ def run_column_metrics(df: DataFrame, frequency: DataFrame, columns: list[str] |
         "mean",
         "median",
         "std",
+        "histogram",
     )
 
 
+def quick_column_metrics(df: DataFrame, frequency: DataFrame) -> DataFrame:
+    """The column part of a quick analysis: shares, type, and of numeric columns moments and histogram."""
+    return run_column_metrics(df, frequency).drop("n_nulls", "n_non_nulls", "n_unique")
+
+
 def quick_analysis(df: DataFrame) -> DataFrame:
     """One row: completeness, row uniqueness, a constant consistency, and the mean of the three."""
     completeness = column_stats(df).agg(F.avg("completeness"))

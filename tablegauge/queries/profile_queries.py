@@ -34,7 +34,7 @@ PART_NUMERIC = ["p_partkey", "p_size", "p_retailprice"]
 def upload_schema(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     schema = profiling.upload_schema(part, value_frequency(part, whole_text=[]))
-    return rounded(schema, "mean", "median", "std").drop("kind", "position")
+    return rounded(schema, "mean", "median", "std").drop("position")
 
 
 def _moments(c: str, source: str, extra: str) -> str:
@@ -50,7 +50,11 @@ def _no_moments(c: str, source: str, extra: str) -> str:
     return f"SELECT '{c}' AS column_name, {extra}, {nulls} FROM {source}"
 
 
-_UPLOAD = "count(DISTINCT {c}) AS unique_count, count(*) - count({c}) AS missing_count, round(100.0 * (count(*) - count({c})) / count(*), 2) AS missing_percentage"
+_KIND = (
+    "CASE any_value(typeof({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'fraction' WHEN 'TIMESTAMP' THEN 'time' "
+    "WHEN 'DATE' THEN 'time' ELSE 'integer' END AS kind, "
+)
+_UPLOAD = _KIND + "count(DISTINCT {c}) AS unique_count, count(*) - count({c}) AS missing_count, round(100.0 * (count(*) - count({c})) / count(*), 2) AS missing_percentage"
 UPLOAD_SQL = " UNION ALL ".join(
     (_moments if c in PART_NUMERIC else _no_moments)(c, "part", _UPLOAD.replace("{c}", c))
     for c in PART_COLUMNS
@@ -293,17 +297,26 @@ DIRTY_NUMERIC = ["o_orderkey", "o_custkey", "o_totalprice"]
 def run_column_metrics(spark, sf_dir):
     orders = view(spark, sf_dir, "dirty_orders").select(*DIRTY)
     metrics = profiling.run_column_metrics(orders, value_frequency(orders, whole_text=[]))
-    return rounded(metrics, "completeness", "uniqueness", "mean", "median", "std")
+    return _with_bars(rounded(metrics, "completeness", "uniqueness", "mean", "median", "std"))
+
+
+def _with_bars(metrics):
+    return metrics.withColumn("histogram", F.array_join(F.transform("histogram", lambda n: n.cast("string")), ","))
+
+
+def _bars(c: str, source: str) -> str:
+    return f"(SELECT string_agg(CAST(cnt AS VARCHAR), ',' ORDER BY bin) FROM ({_histogram_sql([c], source, '10')})) AS histogram"
 
 
 _RUN_METRIC = (
-    "CASE any_value(typeof({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'fraction' WHEN 'TIMESTAMP' THEN 'time' "
-    "WHEN 'DATE' THEN 'time' ELSE 'integer' END AS kind, round(count({c}) * 1.0 / count(*), 6) + 0.0 AS completeness, round(count(DISTINCT {c}) * 1.0 / count(*), 6) + 0.0 AS uniqueness, "
+    _KIND + "round(count({c}) * 1.0 / count(*), 6) + 0.0 AS completeness, round(count(DISTINCT {c}) * 1.0 / count(*), 6) + 0.0 AS uniqueness, "
     "count(*) - count({c}) AS n_nulls, count({c}) AS n_non_nulls, count(DISTINCT {c}) AS n_unique"
 )
 RUN_METRIC_SQL = with_views(
     " UNION ALL ".join(
-        (_moments if c in DIRTY_NUMERIC else _no_moments)(c, "dirty_orders", _RUN_METRIC.replace("{c}", c))
+        (_moments if c in DIRTY_NUMERIC else _no_moments)(
+            c, "dirty_orders", _RUN_METRIC.replace("{c}", c) + ", " + (_bars(c, "dirty_orders") if c in DIRTY_NUMERIC else "NULL AS histogram")
+        )
         for c in DIRTY
     ),
     "dirty_orders",
@@ -315,6 +328,24 @@ def quick_analysis(spark, sf_dir):
     return rounded(row, "completeness", "uniqueness", "quality_score")
 
 
+def quick_column_metrics(spark, sf_dir):
+    docs = view(spark, sf_dir, "docs_labels")
+    metrics = profiling.quick_column_metrics(docs, value_frequency(docs, whole_text=[]))
+    return _with_bars(rounded(metrics, "completeness", "uniqueness", "mean", "median", "std"))
+
+
+DOC_NUMERIC = ["doc_id", "n_chars", "quality", "toxic"]
+_QUICK = _KIND + "round(count({c}) * 1.0 / count(*), 6) + 0.0 AS completeness, round(count(DISTINCT {c}) * 1.0 / count(*), 6) + 0.0 AS uniqueness, "
+QUICK_COLUMN_SQL = with_views(
+    " UNION ALL ".join(
+        (_moments if c in DOC_NUMERIC else _no_moments)(
+            c, "docs_labels", _QUICK.replace("{c}", c) + (_bars(c, "docs_labels") if c in DOC_NUMERIC else "NULL AS histogram")
+        )
+        for c in DOC_CELLS
+    ),
+    "docs_labels",
+)
+
 _DOC_SHARES = " + ".join(f"count({c}) * 1.0 / count(*)" for c in DOC_CELLS)
 QUICK_SQL = with_views(
     "d AS (SELECT doc_id, text, lang, source, n_chars, quality, toxic FROM docs_labels), "
@@ -507,6 +538,21 @@ CONFORMANCE_ROLLUP_SQL = with_views(
     "dirty_orders",
 )
 
+def worst_columns(spark, sf_dir):
+    """Columns from the least complete on, with their place in that order."""
+    stats = profiling.column_stats(view(spark, sf_dir, "docs_labels"))
+    ordered = profiling.worst_first(rounded(stats.select("column_name", "completeness"), "completeness"), "completeness")
+    # one row per column; numbered as they are listed
+    rows = [(r["column_name"], r["completeness"], at + 1) for at, r in enumerate(ordered.collect())]
+    return spark.createDataFrame(rows, "column_name string, completeness double, place bigint")
+
+
+WORST_SQL = with_views(
+    "c AS (" + union_sql(DOC_CELLS, "SELECT '{c}' AS column_name, round(count({c}) * 1.0 / count(*), 6) + 0.0 AS completeness FROM docs_labels")
+    + ") SELECT column_name, completeness, row_number() OVER (ORDER BY completeness, column_name) AS place FROM c",
+    "docs_labels",
+)
+
 RESTRICTED_PAIR_SQL = _pairs_sql(["l_quantity", "l_tax"], "lineitem", "corr({a}, {b})")
 
 QUERIES = [
@@ -528,6 +574,8 @@ QUERIES = [
     Query("spearman_range_ranks", "P11", spearman_range_ranks, LINE_SPEARMAN_SQL),
     Query("run_column_metrics", "P12", run_column_metrics, RUN_METRIC_SQL),
     Query("quick_analysis", "P14", quick_analysis, QUICK_SQL),
+    Query("quick_column_metrics", "P14", quick_column_metrics, QUICK_COLUMN_SQL),
+    Query("worst_columns", "P21", worst_columns, WORST_SQL),
     Query("duplicate_totals", "P15 Q4 Q7", duplicate_totals, DUPLICATE_TOTAL_SQL),
     Query("duplicate_groups", "P15", duplicate_group_counts, DUPLICATE_GROUP_SQL),
     Query("duplicate_row_samples", "P15", duplicate_row_samples, DUPLICATE_ROW_SQL),

@@ -297,20 +297,17 @@ RULE_VIOLATION_SQL = with_views(
 
 
 def text_search(spark, sf_dir):
-    customer = table(spark, sf_dir, "customer").drop("c_acctbal")
+    customer = table(spark, sf_dir, "customer")
     literal = drilldown.search(customer, "Build").select(F.lit("literal").alias("mode"), "c_custkey")
     regex = drilldown.search(customer, "^machi|00[0-9]7$", regex=True).select(F.lit("regex").alias("mode"), "c_custkey")
-    return literal.unionByName(regex)
+    number = drilldown.search(customer, "-99").select(F.lit("number").alias("mode"), "c_custkey")
+    return literal.unionByName(regex).unionByName(number)
 
 
-_SEARCHED = "[lower(CAST(c_custkey AS VARCHAR)), lower(c_name), lower(CAST(c_nationkey AS VARCHAR)), lower(c_mktsegment)]"
-SEARCH_SQL = (
-    "SELECT 'literal' AS mode, c_custkey FROM customer WHERE lower(c_name) LIKE '%build%' OR lower(c_mktsegment) LIKE '%build%' UNION ALL "
-    "SELECT 'regex', c_custkey FROM customer WHERE "
-    + " OR ".join(
-        f"regexp_matches({c}, '^machi|00[0-9]7$')"
-        for c in ("CAST(c_custkey AS VARCHAR)", "lower(c_name)", "CAST(c_nationkey AS VARCHAR)", "lower(c_mktsegment)")
-    )
+_SEARCHED = [f"lower(CAST({c} AS VARCHAR))" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")]
+SEARCH_SQL = " UNION ALL ".join(
+    f"SELECT '{mode}' AS mode, c_custkey FROM customer WHERE " + " OR ".join(hit.format(c) for c in _SEARCHED)
+    for mode, hit in (("literal", "contains({}, 'build')"), ("regex", "regexp_matches({}, '^machi|00[0-9]7$')"), ("number", "contains({}, '-99')"))
 )
 
 

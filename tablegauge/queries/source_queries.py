@@ -121,6 +121,27 @@ def export_round_trip(spark, sf_dir):
     return spark.read.csv(f"{folder}/column_metrics", header=True)
 
 
+def export_run_rows(spark, sf_dir):
+    """The run and metric folders of the same export, read back and counted."""
+    metrics, names = _orders_metrics(spark, sf_dir)
+    runs = view(spark, sf_dir, "runs").select("run_id", "status", "quality_score")
+    folder = scratch_folder(spark)
+    sinks.export_csv(runs, view(spark, sf_dir, "metric_scores").select("run_id", "metric", "score"), metrics, names, folder)
+    read = lambda part: spark.read.csv(f"{folder}/{part}", header=True)
+    total = lambda value: r6(F.sum(F.col(value).cast("double"))).alias("total")
+    run_rows = read("run").groupBy(F.lit("run").alias("part"), "status").agg(F.count(F.lit(1)).alias("cnt"), total("quality_score"))
+    rows = read("metrics").groupBy(F.col("metric").alias("part"), "status").agg(F.count(F.lit(1)).alias("cnt"), total("score"))
+    return run_rows.unionByName(rows)
+
+
+EXPORT_ROWS_SQL = with_views(
+    "SELECT 'run' AS part, status, count(*) AS cnt, round(CAST(sum(quality_score) AS DOUBLE), 6) + 0.0 AS total FROM runs GROUP BY 2 UNION ALL "
+    "SELECT metric, CASE WHEN score IS NULL THEN NULL WHEN score >= 0.98 THEN 'Excellent' WHEN score >= 0.95 THEN 'Good' WHEN score >= 0.90 THEN 'Acceptable' ELSE 'Poor' END, "
+    "count(*), round(CAST(sum(score) AS DOUBLE), 6) + 0.0 FROM metric_scores GROUP BY 1, 2",
+    "runs", "metric_scores",
+)
+
+
 def json_export(spark, sf_dir):
     """One JSON document with a run, its metric scores and its column metrics, read back."""
     metrics, _ = _orders_metrics(spark, sf_dir)
@@ -236,6 +257,7 @@ QUERIES = [
     Query("table_preview", "S6 C4", preview, "SELECT c_custkey, '***' AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 100"),
     Query("result_export_json", "S7", json_export, JSON_SQL),
     Query("result_export_csv", "S8", export_round_trip, PIVOT_SQL),
+    Query("result_export_csv_rows", "S8", export_run_rows, EXPORT_ROWS_SQL),
     Query("column_metric_pivot", "S8", column_metric_pivot, PIVOT_SQL),
     Query("run_issue_sink", "S9 C18 K7", run_sink, SINK_SQL),
     Query("run_store_compaction", "S9", run_store_compaction, COMPACTION_SQL),
