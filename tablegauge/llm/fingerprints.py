@@ -38,15 +38,16 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFrame:
-    """`term` and `subsets` (bit i: in subset i), plus one empty term in no subset."""
+    """`term` and `subsets` (bit i of 64: in subset i), plus one empty term in no subset."""
     rows = docs.count()
     counted = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     kept = counted.where((F.col("n") * 1000 >= band[0] * rows) & (F.col("n") * 1000 <= band[1] * rows))
     limits = F.array(*map(F.lit, LIMITS))
     digits = lambda i: F.substring(F.md5(F.concat(i.cast("string"), F.lit(":"), F.col("term"))), 1, 3)
-    numbers = F.filter(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: digits(i) < F.get(limits, i))
-    empty = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.array().cast("array<int>").alias("subsets"))
-    return kept.select("term", numbers.alias("subsets")).unionByName(empty)
+    bit = lambda i: F.when(digits(i) < F.get(limits, i), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+    mask = F.reduce(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), F.lit(0).cast("bigint"), lambda m, i: m.bitwiseOR(bit(i)))
+    empty = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("bigint").alias("subsets"))
+    return kept.select("term", mask.alias("subsets")).unionByName(empty)
 
 
 def _hash(joined: Column) -> Column:
@@ -79,12 +80,14 @@ def _lookup(rows: DataFrame, words: DataFrame) -> DataFrame:
 def _hashed(parts: DataFrame, words: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
     """`hashes` and the `facts` for each combination of `keys`, of `parts` (keys, facts, distinct terms and an empty one).
 
-    Facts stand on the empty term only, so rows stay short; terms of one document are grouped where
-    they were dealt to.
+    Facts stand on the empty term only and subsets are bits, so rows are short and move once: a term is
+    put into its subsets, and terms are grouped, where those of its document were dealt to.
     """
     facts_once = F.when(F.col("term") == "", F.struct(*facts)).alias("facts")
-    found = _lookup(parts, words).select(*keys, "term", facts_once, F.explode_outer("subsets").alias("subset"))
-    of_subset = found.repartition(*keys[:2]).groupBy(*keys, "subset").agg(
+    found = _lookup(parts, words).where("subsets <> 0 OR term = ''").select(*keys, "term", facts_once, "subsets").repartition(*keys[:2])
+    is_in = lambda i: F.call_function("shiftrightunsigned", F.col("subsets"), i).bitwiseAND(F.lit(1)) != 0
+    subset = F.explode_outer(F.filter(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), is_in)).alias("subset")
+    of_subset = found.select(*keys, "term", "facts", subset).groupBy(*keys, "subset").agg(
         F.array_join(F.array_sort(F.collect_list("term")), " ").alias("joined"), F.first("facts", ignorenulls=True).alias("facts")
     )
     entry = F.when(F.col("subset").isNotNull(), F.struct("subset", _hash(F.col("joined")).alias("hash")))

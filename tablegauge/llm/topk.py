@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql.window import Window
 
 from tablegauge.llm.common import checkpointed
 
-CANDIDATE_BLOCK = 2048
+CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 512
 #: Shares of the lists up to which they are read before bounds are compared.
 DEPTHS = (1 / 32, 1 / 4, 1)
@@ -49,26 +50,25 @@ def integer_vectors(table: DataFrame, id_column: str, vector: str, scale: int =
 @dataclass
 class Block:
     """Candidates in ascending order of id and row, their components (shorter vectors end in zeros), and per
-    component its list: values in ascending order, the candidates they belong to, and each candidate's place."""
+    component its list: values in ascending order, and the candidates they belong to."""
 
     rows: np.ndarray
     ids: np.ndarray
     matrix: np.ndarray
     values: np.ndarray
     names: np.ndarray
-    places: np.ndarray
+
+    @cached_property
+    def largest(self) -> float:
+        return float(np.abs(self.matrix).max(initial=0))
 
     @classmethod
     def of(cls, rows: bytes, ids: bytes, matrix: bytes, lists: bool = True) -> Block:
         rows = np.frombuffer(rows, "<i8")
         matrix = np.frombuffer(matrix, "<f8").reshape(len(rows), -1 if matrix else 0)
-        if not lists:
-            empty = np.zeros((0, 0))
-            return cls(rows, np.frombuffer(ids, "<i8"), matrix, empty, empty, empty)
-        names = np.ascontiguousarray(np.argsort(matrix, axis=0, kind="stable").T)
-        places = np.empty_like(names)
-        np.put_along_axis(places, names, np.broadcast_to(np.arange(len(rows)), names.shape), axis=1)
-        return cls(rows, np.frombuffer(ids, "<i8"), matrix, np.take_along_axis(matrix.T, names, axis=1), names, places)
+        names = np.ascontiguousarray(np.argsort(matrix, axis=0, kind="stable").T) if lists else np.zeros((0, 0), dtype=np.int64)
+        values = np.take_along_axis(matrix.T, names, axis=1) if lists else names
+        return cls(rows, np.frombuffer(ids, "<i8"), matrix, values, names)
 
     def read(self, used: np.ndarray, from_end: bool, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Candidates and values of a slice of the lists of some components, read from their end or start."""
@@ -101,7 +101,7 @@ def _blocks(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
 
 def _fits_float(block: Block, query: np.ndarray) -> bool:
     """Whether all sums of products are whole numbers that doubles hold; else Python integers are used."""
-    return float(np.abs(block.matrix).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, len(query)) < 1 << 52
+    return block.largest * float(np.abs(query).max(initial=0)) * max(1, len(query)) < 1 << 52
 
 
 def _integers(x: np.ndarray) -> np.ndarray:
@@ -109,6 +109,25 @@ def _integers(x: np.ndarray) -> np.ndarray:
     return np.array([int(y) for y in x.ravel()], dtype=object).reshape(x.shape)
 
 
+def _sums(names: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the values of each candidate named."""
+    values = np.broadcast_to(values, names.shape)
+    if values.dtype != object:
+        return np.bincount(names.ravel(), values.ravel(), n)
+    out = _integers(np.zeros(n))
+    np.add.at(out, names, values)
+    return out
+
+
+def _best(scores: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k candidates of `found` with the largest scores, and all others; of equal scores the first come first."""
+    own = scores[found]
+    kth = np.partition(own, -k)[-k] if own.dtype != object else sorted(own)[-k]
+    chosen = own > kth
+    chosen[np.flatnonzero(own == kth)[: k - int(chosen.sum())]] = True
+    return found[chosen], found[~chosen]
+
+
 def query_top(query_row: int, query: np.ndarray, block: Block, k: int) -> list[tuple[int, int]]:
     """Candidate number and exact score of the k best candidates of a block for a query, in no order.
 
@@ -122,42 +141,35 @@ def query_top(query_row: int, query: np.ndarray, block: Block, k: int) -> list[t
     whole = _fits_float(block, weights)
     exact = (lambda x: x) if whole else _integers
     # lists of positive weights are read from their end, those of negative ones from their start
-    sides = [(used, exact(weights[used]), end) for used, end in ((np.flatnonzero(weights > 0), True), (np.flatnonzero(weights < 0), False)) if len(used)]
+    sides = [(used, exact(weights[used])[:, None], end) for used, end in ((np.flatnonzero(weights > 0), True), (np.flatnonzero(weights < 0), False)) if len(used)]
     if not wanted or not sides:  # all scores are 0
         return [(int(c), 0) for c in np.flatnonzero(others)[:wanted]]
-    known = np.zeros(n) if whole else _integers(np.zeros(n))
-    done = 0
+    # the least that each list can add, and per candidate how much its entries are above that
+    floors = [w * exact(block.read(used, end, n - 1, n)[1]) for used, w, end in sides]
+    lowest = sum(floor.sum() for floor in floors)
+    above, done = 0, 0
     for share in DEPTHS:
         depth = n if share == 1 else int(np.ceil(n * share))
-        for used, w, end in sides:
+        for (used, w, end), floor in zip(sides, floors, strict=True):
             names, values = block.read(used, end, done, depth)
-            products = exact(values) * w[:, None]
-            if whole:
-                known += np.bincount(names.ravel(), products.ravel(), n)
-            else:
-                np.add.at(known, names, products)
+            above = above + _sums(names, exact(values) * w - floor, n)
         done = depth
-        low = high = known
-        seen, unseen = others, None
-        if done < n:
-            low, high, seen, unseen = known.copy(), known.copy(), np.zeros(n, dtype=bool), 0
-            for used, w, end in sides:
-                missing = block.places[used] < n - done if end else block.places[used] >= done
-                limits = [w * exact(block.read(used, end, at, at + 1)[1][:, 0]) for at in (n - 1, done - 1)]
-                least, most = np.stack(limits) @ (missing.astype(float) if whole else missing.astype(object))
-                low, high = low + least, high + most
-                seen |= ~missing.all(axis=0)
-                unseen += limits[1].sum()
-            seen &= others
-        found = np.flatnonzero(seen)
+        low = above + lowest
+        # what adds no more than a list's least is as good as not met
+        found = np.flatnonzero(others & (above > 0)) if done < n else np.flatnonzero(others)
         if len(found) < wanted:
             continue
-        ranked = found[np.argsort(-low[found], kind="stable")]  # ties in the order of candidates
-        best, rest = ranked[:wanted], ranked[wanted:]
-        kth = low[best[-1]]
-        outside = [high[rest].max()] if len(rest) else []
-        outside += [unseen] if len(found) < others.sum() else []
-        if done == n or all(kth > bound for bound in outside):
+        best, rest = _best(low, found, wanted)
+        if done == n:
+            break
+        kth = low[best].min()
+        limits = [w * exact(block.read(used, end, done - 1, done)[1]) - floor for (used, w, end), floor in zip(sides, floors, strict=True)]
+        unseen = sum(limit.sum() for limit in limits)
+        if kth <= unseen + lowest and len(found) < others.sum():
+            continue
+        # the lists that a candidate was met in add no more, all others up to where reading stands
+        room = sum(_sums(block.read(used, end, 0, done)[0], limit, n) for (used, _, end), limit in zip(sides, limits, strict=True))
+        if not len(rest) or kth > (low + unseen - room)[rest].max():
             break
     full = exact(weights)
     return [(int(c), int(full @ exact(block.matrix[c]))) for c in best]
