@@ -10,6 +10,8 @@ subsets that hold a term of either; if none does, they are alike if their texts
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +28,8 @@ SUBSETS = len(LIMITS)
 HASH_DIGITS = 8
 #: Stands for a subset without a term of the document.
 NO_TERM = "." * HASH_DIGITS
+#: The hash of an empty text, which no term has.
+OF_NOTHING = hashlib.md5(b"").hexdigest()[:HASH_DIGITS]
 RANGE_DOCUMENTS = 2048
 #: Up to so many terms the lexicon is broadcast (some 100 bytes each); a larger one is joined by
 #: shuffle. A term of the band is in BAND[0] of 1,000 documents at least, so the lexicon has at most
@@ -50,14 +54,15 @@ def lexicon(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFrame:
     return kept.select("term", mask.alias("subsets")).unionByName(empty)
 
 
-def _hash(joined: Column) -> Column:
-    return F.substring(F.md5(joined), 1, HASH_DIGITS)
+def _hashes(found: Column) -> Column:
+    """A hash by subset of the sorted (term, subsets) entries of a document, null where none of them is in it."""
 
+    def one(i: Column) -> Column:
+        inside = F.filter(found, lambda t: F.call_function("shiftrightunsigned", t["subsets"], i).bitwiseAND(F.lit(1)) != 0)
+        return F.substring(F.md5(F.array_join(F.transform(inside, lambda t: t["term"]), " ")), 1, HASH_DIGITS)
 
-def _by_subset(entries: Column) -> Column:
-    """(subset, hash) entries as an array by subset, null where there is none."""
-    found = F.map_from_entries(entries)
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.try_element_at(found, i))
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+    return F.transform(hashes, lambda h: F.when(h != OF_NOTHING, h))
 
 
 def _shown(hashes: Column, digest: Column) -> Column:
@@ -74,25 +79,13 @@ def _likeness(a: Column, b: Column, same_text: Column) -> Column:
 
 
 def _lookup(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """`rows` of terms in a subset, and of the empty term, with their `subsets`."""
+    words = words.where("subsets <> 0 OR term = ''")
     return rows.join(F.broadcast(words) if words.count() <= BROADCAST_TERMS else words, "term")
 
 
-def _hashed(parts: DataFrame, words: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
-    """`hashes` and the `facts` for each combination of `keys`, of `parts` (keys, facts, distinct terms and an empty one).
-
-    Facts stand on the empty term only and subsets are bits, so rows are short and move once: a term is
-    put into its subsets, and terms are grouped, where those of its document were dealt to.
-    """
-    facts_once = F.when(F.col("term") == "", F.struct(*facts)).alias("facts")
-    found = _lookup(parts, words).where("subsets <> 0 OR term = ''").select(*keys, "term", facts_once, "subsets").repartition(*keys[:2])
-    is_in = lambda i: F.call_function("shiftrightunsigned", F.col("subsets"), i).bitwiseAND(F.lit(1)) != 0
-    subset = F.explode_outer(F.filter(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), is_in)).alias("subset")
-    of_subset = found.select(*keys, "term", "facts", subset).groupBy(*keys, "subset").agg(
-        F.array_join(F.array_sort(F.collect_list("term")), " ").alias("joined"), F.first("facts", ignorenulls=True).alias("facts")
-    )
-    entry = F.when(F.col("subset").isNotNull(), F.struct("subset", _hash(F.col("joined")).alias("hash")))
-    made = of_subset.groupBy(*keys).agg(_by_subset(F.collect_list(entry)).alias("hashes"), F.first("facts", ignorenulls=True).alias("facts"))
-    return made.select(*keys, "hashes", "facts.*")
+def _entries(side: Column) -> Column:
+    return F.array_sort(F.collect_list(F.when(side & (F.col("term") != ""), F.struct("term", "subsets"))))
 
 
 def fingerprints(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFrame:
@@ -100,8 +93,9 @@ def fingerprints(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFrame:
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     words = checkpointed(lexicon(texts, band))
     digested = texts.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["digest"])
-    parts = digested.select("digest", F.lit(0).alias("side"), F.explode(F.array_append(terms(F.col("text")), F.lit(""))).alias("term"))
-    hashed = _hashed(parts, words, ["digest", "side"], ["side"]).select("digest", _shown(F.col("hashes"), F.col("digest")).alias("fingerprint"))
+    found = _lookup(digested.select("digest", F.explode(F.array_append(terms(F.col("text")), F.lit(""))).alias("term")), words)
+    made = found.groupBy("digest").agg(_entries(F.lit(True)).alias("found"))
+    hashed = made.select("digest", _shown(_hashes(F.col("found")), F.col("digest")).alias("fingerprint"))
     return digested.join(hashed, "digest").select("text", "fingerprint")
 
 
@@ -140,9 +134,14 @@ def edited_fingerprints(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFr
         F.struct(F.lit(1).alias("side"), F.when(F.col("visit") == 0, F.col("edited")).otherwise(F.lit("")).alias("of")),
     )
     parts = rows.select("range", "place", *facts, F.inline(sides)).select("range", "place", "side", *facts, F.explode(F.array_append(terms(F.col("of")), F.lit(""))).alias("term"))
-    hashed = _hashed(parts, words, ["range", "place", "side"], facts)
-    by_side = lambda side: F.first(F.when(F.col("side") == side, F.col("hashes")), ignorenulls=True)
-    made = hashed.groupBy("range", "place").agg(*[F.first(c).alias(c) for c in facts], by_side(0).alias("a"), by_side(1).alias("b"))
+    # facts stand on the empty term only; terms are grouped where the ranges of documents are already
+    facts_once = F.when((F.col("term") == "") & (F.col("side") == 0), F.struct(*facts)).alias("facts")
+    found = _lookup(parts, words).select("range", "place", "side", "term", "subsets", facts_once)
+    made = (
+        found.groupBy("range", "place")
+        .agg(F.first("facts", ignorenulls=True).alias("facts"), _entries(F.col("side") == 0).alias("of_text"), _entries(F.col("side") == 1).alias("of_edited"))
+        .select("range", "place", "facts.*", _hashes(F.col("of_text")).alias("a"), _hashes(F.col("of_edited")).alias("b"))
+    )
     following = Window.partitionBy("range").orderBy("place")
     text_of = lambda hashes, digest: F.array_join(_shown(F.col(hashes), F.col(digest)), "")
     return (
