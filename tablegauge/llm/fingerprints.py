@@ -2,7 +2,7 @@
 
 Terms are runs of letters and digits of the lower-cased whole text. The lexicon keeps the terms whose
 share of documents lies in a band (a band of inverse document frequency). Each of several random
-subsets of the lexicon keeps a term with its own chance, from one in 4 to one in 1,024, so that texts of
+subsets of the lexicon keeps a term with its own chance, from one in 16 to one in 1,024, so that texts of
 any length have subsets that hold a few of their terms. A document's fingerprint is a hash per subset, of its
 distinct terms in the subset, sorted. Two documents are alike to the share of equal hashes among the
 subsets that hold a term of either; if none does, they are alike if their texts are equal.
@@ -22,7 +22,7 @@ from tablegauge.llm.common import bound_bucket, checkpointed, id_bounds
 BAND = (1, 100)
 #: Subsets by chance: a subset keeps a term if the first three hexadecimal digits of the MD5 of
 #: `<subset>:<term>` are below its limit, of 4,096.
-SUBSETS_BY_LIMIT = {"400": 4, "100": 8, "040": 16, "010": 24, "004": 12}
+SUBSETS_BY_LIMIT = {"100": 5, "040": 8, "010": 13, "004": 6}
 LIMITS = [limit for limit, n in SUBSETS_BY_LIMIT.items() for _ in range(n)]
 SUBSETS = len(LIMITS)
 HASH_DIGITS = 8
@@ -42,7 +42,7 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFrame:
-    """`term` and `subsets` (bit i of 64: in subset i), plus one empty term in no subset."""
+    """`term` and `subsets` (bit i: in subset i), plus one empty term in no subset."""
     rows = docs.count()
     counted = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     kept = counted.where((F.col("n") * 1000 >= band[0] * rows) & (F.col("n") * 1000 <= band[1] * rows))
