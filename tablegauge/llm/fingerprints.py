@@ -10,13 +10,12 @@ subsets that hold a term of either; if none does, they are alike if their texts
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablegauge.llm.common import bound_bucket, checkpointed, id_bounds
+from tablegauge.llm.common import bound_bucket, id_bounds
+from tablegauge.session import rewritten
 
 #: Share of documents, as lowest and highest count per 1,000 documents.
 BAND = (1, 100)
@@ -28,8 +27,8 @@ SUBSETS = len(LIMITS)
 HASH_DIGITS = 8
 #: Stands for a subset without a term of the document.
 NO_TERM = "." * HASH_DIGITS
-#: The hash of an empty text, which no term has.
-OF_NOTHING = hashlib.md5(b"").hexdigest()[:HASH_DIGITS]
+#: The empty term, which every text has, is in this subset alone.
+NO_SUBSET = -1
 RANGE_DOCUMENTS = 2048
 #: Up to so many terms the lexicon is broadcast (some 100 bytes each); a larger one is joined by
 #: shuffle. A term of the band is in BAND[0] of 1,000 documents at least, so the lexicon has at most
@@ -42,27 +41,26 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFrame:
-    """`term` and `subsets` (bit i: in subset i), plus one empty term in no subset."""
+    """`term` and the numbers of its `subsets`, if any, plus one empty term in `NO_SUBSET`.
+
+    Callers write it before they join it: a filter or a join on `subsets` of the unwritten frame would be pushed
+    to every occurrence of every term.
+    """
     rows = docs.count()
     counted = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     kept = counted.where((F.col("n") * 1000 >= band[0] * rows) & (F.col("n") * 1000 <= band[1] * rows))
     limits = F.array(*map(F.lit, LIMITS))
     digits = lambda i: F.substring(F.md5(F.concat(i.cast("string"), F.lit(":"), F.col("term"))), 1, 3)
-    bit = lambda i: F.when(digits(i) < F.get(limits, i), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
-    mask = F.reduce(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), F.lit(0).cast("bigint"), lambda m, i: m.bitwiseOR(bit(i)))
-    empty = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("bigint").alias("subsets"))
-    return kept.select("term", mask.alias("subsets")).unionByName(empty)
-
+    inside = F.filter(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: digits(i) < F.get(limits, i))
+    empty = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.array(F.lit(NO_SUBSET)).alias("subsets"))
+    return kept.select("term", inside.alias("subsets")).unionByName(empty)
 
-def _hashes(found: Column) -> Column:
-    """A hash by subset of the sorted (term, subsets) entries of a document, null where none of them is in it."""
 
-    def one(i: Column) -> Column:
-        inside = F.filter(found, lambda t: F.call_function("shiftrightunsigned", t["subsets"], i).bitwiseAND(F.lit(1)) != 0)
-        return F.substring(F.md5(F.array_join(F.transform(inside, lambda t: t["term"]), " ")), 1, HASH_DIGITS)
-
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
-    return F.transform(hashes, lambda h: F.when(h != OF_NOTHING, h))
+def _by_subset(hashes: Column) -> Column:
+    """A hash by subset, null where no term is in it, of an array of (subset, hash) entries."""
+    all_subsets = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
+    others = F.transform(F.array_except(all_subsets, hashes["subset"]), lambda i: F.struct(i.alias("subset"), F.lit(None).cast("string").alias("hash")))
+    return F.array_sort(F.concat(hashes, others))["hash"]
 
 
 def _shown(hashes: Column, digest: Column) -> Column:
@@ -79,23 +77,29 @@ def _likeness(a: Column, b: Column, same_text: Column) -> Column:
 
 
 def _lookup(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """`rows` of terms in a subset, and of the empty term, with their `subsets`."""
-    words = words.where("subsets <> 0 OR term = ''")
-    return rows.join(F.broadcast(words) if words.count() <= BROADCAST_TERMS else words, "term")
+    """`rows` of terms, one for each `subset` of theirs; the empty term is in `NO_SUBSET`."""
+    words = words.where(F.size("subsets") > 0)
+    found = rows.join(F.broadcast(words) if words.count() <= BROADCAST_TERMS else words, "term")
+    return found.withColumn("subset", F.explode("subsets")).drop("subsets")
+
+
+def _hash() -> Column:
+    """Hash of the sorted terms of a group."""
+    return F.substring(F.md5(F.array_join(F.array_sort(F.collect_list("term")), " ")), 1, HASH_DIGITS)
 
 
 def _entries(side: Column) -> Column:
-    return F.array_sort(F.collect_list(F.when(side & (F.col("term") != ""), F.struct("term", "subsets"))))
+    return F.collect_list(F.when(side & (F.col("subset") != NO_SUBSET), F.struct("subset", "hash")))
 
 
 def fingerprints(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFrame:
     """`text` and `fingerprint` (an array of hashes) per distinct text of `docs`; a null text counts as empty."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    words = checkpointed(lexicon(texts, band))
+    words = rewritten(lexicon(texts, band))
     digested = texts.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["digest"])
     found = _lookup(digested.select("digest", F.explode(F.array_append(terms(F.col("text")), F.lit(""))).alias("term")), words)
-    made = found.groupBy("digest").agg(_entries(F.lit(True)).alias("found"))
-    hashed = made.select("digest", _shown(_hashes(F.col("found")), F.col("digest")).alias("fingerprint"))
+    made = found.groupBy("digest", "subset").agg(_hash().alias("hash")).groupBy("digest").agg(_entries(F.lit(True)).alias("found"))
+    hashed = made.select("digest", _shown(_by_subset(F.col("found")), F.col("digest")).alias("fingerprint"))
     return digested.join(hashed, "digest").select("text", "fingerprint")
 
 
@@ -109,7 +113,7 @@ def edited_fingerprints(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFr
     those of the first id of all the last range, after all others.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    words = checkpointed(lexicon(base, band))
+    words = rewritten(lexicon(base, band))
     bounds = id_bounds(base, "doc_id", RANGE_DOCUMENTS, 1024)
     first = base.agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("none")).first()
     opens = F.col("doc_id").isNull() if first.none else F.col("doc_id") == F.lit(first.low).cast("long")
@@ -136,11 +140,13 @@ def edited_fingerprints(docs: DataFrame, band: tuple[int, int] = BAND) -> DataFr
     parts = rows.select("range", "place", *facts, F.inline(sides)).select("range", "place", "side", *facts, F.explode(F.array_append(terms(F.col("of")), F.lit(""))).alias("term"))
     # facts stand on the empty term only; terms are grouped where the ranges of documents are already
     facts_once = F.when((F.col("term") == "") & (F.col("side") == 0), F.struct(*facts)).alias("facts")
-    found = _lookup(parts, words).select("range", "place", "side", "term", "subsets", facts_once)
+    found = _lookup(parts, words).select("range", "place", "side", "subset", "term", facts_once)
     made = (
-        found.groupBy("range", "place")
+        found.groupBy("range", "place", "side", "subset")
+        .agg(F.first("facts", ignorenulls=True).alias("facts"), _hash().alias("hash"))
+        .groupBy("range", "place")
         .agg(F.first("facts", ignorenulls=True).alias("facts"), _entries(F.col("side") == 0).alias("of_text"), _entries(F.col("side") == 1).alias("of_edited"))
-        .select("range", "place", "facts.*", _hashes(F.col("of_text")).alias("a"), _hashes(F.col("of_edited")).alias("b"))
+        .select("range", "place", "facts.*", _by_subset(F.col("of_text")).alias("a"), _by_subset(F.col("of_edited")).alias("b"))
     )
     following = Window.partitionBy("range").orderBy("place")
     text_of = lambda hashes, digest: F.array_join(_shown(F.col(hashes), F.col(digest)), "")
