@@ -19,14 +19,15 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tablegauge.llm.tokens import word_encoder
-from tablegauge.session import checkpoint_folder
+from tablegauge.session import checkpoint_folder, rewritten
 
 BUDGET_TOKENS = 1024
 HISTORY_TOKENS = 256
-#: A conversation of more turns is dealt to several tasks, so many turn numbers to each; windows
-#: and their history do not reach over that border, the system turn does.
+#: A conversation of more turns is dealt to several tasks, so many consecutive turns (or as many as the
+#: history can hold) to each. A window ends at that border; history and system turn reach over it.
 SEGMENT_TURNS = 4096
 ROWS_AT_ONCE = 2048
 
@@ -95,6 +96,8 @@ class _Open:
     number: int = 0
     repeated: list[_Turn] = field(default_factory=list)
     fresh: list[_Turn] = field(default_factory=list)
+    #: Turns in `fresh` belong to the segment before; the first turn of its own starts window 0.
+    visiting: bool = False
     #: Running sums of tokens: where the window's new turns start, and where they end.
     start: int = 0
     end: int = 0
@@ -120,8 +123,8 @@ class _Open:
                 break
             history.insert(0, t)
             left -= t.tokens
-        self.number, self.repeated, self.fresh = self.number + 1, fixed + history, []
-        self.start = self.end
+        self.number, self.repeated, self.fresh = 0 if self.visiting else self.number + 1, fixed + history, []
+        self.visiting, self.start = False, self.end
 
     def row(self) -> dict[str, Any]:
         text, loss, at = [], [], 0
@@ -172,14 +175,14 @@ def format_windows(turns: DataFrame, vocabulary: str, budget: int = BUDGET_TOKEN
                     if at is None or at.segment != segment:
                         if at is not None:
                             out.append(at.row())
-                        at = _Open(segment, budget, history)
-                        if r["system"] is not None and not r["is_system"]:  # a later segment of its conversation
-                            system = format_turn("system", r["system"])
-                            size = len(word_encoder(vocabulary).encode(pa.array([system]))[0]) // 4
-                            at.system = _Turn(system, size, None)
-                            at.repeated = [at.system]
-                        elif r["is_system"]:
+                        at = _Open(segment, budget, history, visiting=segment[1] > 0)
+                        if r["role"] == "system" and r["place"] == 0:
                             at.system = turn
+                    if at.visiting:
+                        if r["visits"]:
+                            at.fresh.append(turn)
+                            continue
+                        at.next(turn)
                     elif not at.fits(turn):
                         out.append(at.row())
                         at.next(turn)
@@ -196,19 +199,48 @@ def format_windows(turns: DataFrame, vocabulary: str, budget: int = BUDGET_TOKEN
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("segment", F.coalesce(F.floor(F.col("turn") / SEGMENT_TURNS), F.lit(-(1 << 40))))
-    turn = F.struct(F.col("turn").isNotNull().alias("some"), "turn", "role", "text")
-    first = rows.groupBy(F.col("conv_id").alias("of")).agg(F.min(turn).alias("first")).where("first.role = 'system'")
-    same = F.col("first.turn").eqNullSafe(F.col("turn")) & (F.col("first.role") == F.col("role")) & (F.col("first.text") == F.col("text"))
+    )
     return (
-        rows.join(first, F.col("conv_id").eqNullSafe(F.col("of")), "left")
-        .select("conv_id", "segment", "turn", "role", "text", F.col("first.text").alias("system"), F.coalesce(same, F.lit(False)).alias("is_system"))
+        _segments(rows, max(SEGMENT_TURNS, history + 1), history)
         .repartition("conv_id", "segment")
-        .sortWithinPartitions("conv_id", "segment", F.col("turn").asc_nulls_first(), "role", "text")
+        .sortWithinPartitions("conv_id", "segment", "place", F.col("turn").asc_nulls_first(), "role", "text")
         .mapInArrow(windows, WINDOW_SCHEMA)
     )
 
 
+def _segments(rows: DataFrame, size: int, history: int) -> DataFrame:
+    """Turns with `segment`, `place` in the conversation, and `visits` (the turn belongs to an earlier segment).
+
+    Conversations of up to `size` turns are segment 0, their turns in place 0 (other columns order them).
+    Turns of longer ones are sorted by ranges and written; the count of each conversation's turns in every
+    file gives their places. Each segment is visited by the system turn and the last `history` turns before
+    it, which hold all its history, as no turn is without a token.
+    """
+    long = rows.groupBy(F.col("conv_id").alias("of")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
+    rows = rows.join(long, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
+    columns = ["conv_id", "segment", "place", "turn", "role", "text", "visits"]
+    zero = F.lit(0).cast("long")
+    short = rows.where("n IS NULL").select("*", zero.alias("segment"), zero.alias("place"), F.lit(False).alias("visits"))
+
+    order = ["conv_id", F.col("turn").asc_nulls_first(), "role", "text"]
+    at = F.monotonically_increasing_id()  # file number, then row number
+    long_rows = rewritten(rows.where("n IS NOT NULL").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", at))
+    long_rows = long_rows.withColumn("file", F.call_function("shiftright", "at", F.lit(33)))
+    before = Window.partitionBy("of").orderBy("of_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        long_rows.groupBy(F.col("conv_id").alias("of"), F.col("file").alias("of_file"))
+        .agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("here"))
+        .withColumn("start", F.coalesce(F.sum("here").over(before), F.lit(0)) - F.col("low"))
+    )
+    placed = long_rows.join(starts, (F.col("file") == F.col("of_file")) & F.col("conv_id").eqNullSafe(F.col("of"))).withColumn("place", F.col("at") + F.col("start"))
+    own, last = F.floor(F.col("place") / size), F.floor((F.col("n") - 1) / size)
+    nothing = F.array().cast("array<bigint>")
+    system = F.when((F.col("place") == 0) & (F.col("role") == "system"), F.sequence(F.lit(1).cast("long"), last)).otherwise(nothing)
+    tail = F.when((F.col("place") % size >= size - history) & (own < last), F.array(own + 1)).otherwise(nothing)
+    visited = placed.withColumn("segment", F.explode(F.concat(F.array(own), system, tail))).withColumn("visits", F.col("segment") > own)
+    return short.select(*columns).unionByName(visited.select(*columns))
+
+
 DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 

@@ -106,6 +106,40 @@ def test_every_window_has_the_system_turn(spark, monkeypatch):
     assert found == digests(rows)
 
 
+def test_windows_go_by_position_of_turns(spark):
+    """Turn numbers far apart, and a null, give the windows of consecutive ones."""
+    rng = random.Random(12)
+    rows = [(1, i, ["system", "assistant", "user"][i and 1 + i % 2], words(rng, 20)) for i in range(60)]
+    made = {}
+    for step in (1, 10_000):
+        sparse = [(c, i * step if i else None, role, text) for c, i, role, text in rows]
+        windows = chat.format_windows(conversations(spark, sparse), WORDS, budget=300, history=100)
+        made[step] = sorted((w.segment, w.window, w.text, w.repeated_turns) for w in windows.collect())
+    assert made[1] == made[10_000] and len(made[1]) > 3
+
+
+@pytest.mark.parametrize("system", [True, False])
+def test_history_and_system_turn_reach_over_segments(spark, monkeypatch, system):
+    monkeypatch.setattr(chat, "SEGMENT_TURNS", 45)
+    rng = random.Random(13)
+    rows = [(c, i * 7, "system" if system and not i else ["user", "assistant"][i % 2], words(rng, rng.randint(1, 4))) for c in (1, None) for i in range(200)]
+    rows += [(3, i, "user", "the same") for i in range(2)] * 60  # repeated rows, exactly one turn over two segments at 45
+    rows += [(4, i, "user", "one segment") for i in range(45)]
+    windows = chat.format_windows(conversations(spark, rows).repartition(5), WORDS, budget=150, history=40)
+    assert {r.conv_id: tuple(r)[1:5] for r in chat.read_windows(windows).collect()} == digests(rows)
+    made = sorted(windows.collect(), key=lambda w: (w.conv_id or 0, w.segment, w.window))
+    assert {c: max(w.segment for w in made if w.conv_id == c) for c in (1, None, 3, 4)} == {1: 4, None: 4, 3: 2, 4: 0}
+    for before, w in zip(made, made[1:], strict=False):
+        if before.conv_id != w.conv_id:
+            continue
+        turns, earlier = ([t[:2] for t in chat.parse_turns(x.text)] for x in (w, before))
+        repeated = turns[: w.repeated_turns]
+        if w.conv_id in (1, None) and system:
+            assert repeated[0] == ("system", rows[0 if w.conv_id else 200][3])
+            repeated = repeated[1:]
+        assert repeated and earlier[-len(repeated) :] == repeated
+
+
 def test_windows_of_nothing(spark):
     assert chat.read_windows(chat.format_windows(conversations(spark, []), WORDS)).collect() == []
 
