@@ -84,8 +84,10 @@ def is_misquoted(lines: DataFrame, states: DataFrame, sep: str) -> bool:
     """
     s = "\\" + sep
     lone = rf'[^{s}"]"[^{s}"\r]'
-    opens = F.col("line").rlike(rf'(?:^|{s})"(?:[^"]|"")*$')
-    closes = F.col("line").rlike(rf'^(?:[^"]|"")*"(?:{s}|\r?$)')
+    # possessive and without alternatives: Java matches other loops a stack frame a character, which long lines overflow
+    cell = r'[^"]*+(?:""[^"]*+)*+'
+    opens = F.col("line").rlike(rf'(?:^|{s})"{cell}$')
+    closes = F.col("line").rlike(rf'^{cell}"(?:{s}|\r?$)')
     odd = lines.where("is_odd = 1").select(*BLOCK, "at", opens.alias("opens"), closes.alias("closes"))
     numbered = odd.withColumn("n", F.row_number().over(_in_block())).join(states.select(*BLOCK, "inside"), BLOCK)
     inside = (F.col("n") - 1 + F.col("inside")) % 2 == 1
