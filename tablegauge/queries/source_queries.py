@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablegauge.operators.frequency import value_frequency
 from tablegauge.operators.profiling import run_column_metrics
 from tablegauge.queries.support import Query, r6, run_sql, scratch_folder, table, union_sql, view, with_views
+from tablegauge.session import checkpointed
 from tablegauge.sources import csv_files, sinks, tables
 from tablegauge.sources.run_store import RunStore
 
@@ -224,8 +225,18 @@ SINK_SQL = with_views(
 )
 
 
+def _long_where_it_fits(df, name):
+    """The integral decimal column `name` as long if all its values fit, else as it is: none is wrapped or lost."""
+    kept = checkpointed(df)
+    beyond = F.col(name).isNotNull() & F.col(name).try_cast("bigint").isNull()
+    return kept if kept.where(beyond).limit(1).count() else kept.withColumn(name, F.col(name).cast("bigint"))
+
+
 def run_store_compaction(spark, sf_dir):
-    """A store of one commit a project group, compacted: files a project before and after, and the same rows."""
+    """A store of one commit a project group, compacted: files a project before and after, and the same rows.
+
+    The sum of a project's ids may be over a long; then `id_sum` is a decimal.
+    """
     store = RunStore(spark, scratch_folder(spark))
     runs, issues = _stored_runs(spark, sf_dir)
     for part in range(3):
@@ -234,10 +245,12 @@ def run_store_compaction(spark, sf_dir):
     store.write(runs.where("run_id % 2 = 0"), issues.where("run_id % 2 = 0 AND affected_row_count > 10"), "newer")
     base = store.compact()
     files = spark.read.parquet(f"{store.folder}/issues/commit={base}").select("project_id", F.col("_metadata.file_path").alias("file"))
+    id_sum = F.sum(F.col("issue_id").cast("decimal(20,0)")).alias("id_sum")
     return (
         store.issues()
         .groupBy("project_id")
-        .agg(F.count(F.lit(1)).alias("n_issues"), F.count_distinct("run_id").alias("n_runs"), F.sum("issue_id").alias("id_sum"))
+        .agg(F.count(F.lit(1)).alias("n_issues"), F.count_distinct("run_id").alias("n_runs"), id_sum)
+        .transform(_long_where_it_fits, "id_sum")
         .join(files.groupBy(F.col("project_id").cast("bigint").alias("project_id")).agg(F.count_distinct("file").alias("n_files")), "project_id")
         .withColumn("commits", F.lit(store.commits().count()))
     )
