@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablegauge.operators import diff, history, versions
 from tablegauge.plans.compare import compare_runs
 from tablegauge.queries.support import Query, rounded, view, with_views
+from tablegauge.session import rewritten
 
 
 def _runs(spark, sf_dir):
@@ -176,18 +177,20 @@ VERSION_RUN_SQL = with_views(
 
 
 def _sides(spark, sf_dir):
-    """Every dataset with a parent, and that parent, each with the issues of its newest run."""
+    """Every dataset with a parent, and that parent, each with the issues of its newest run.
+
+    All issues are shuffled once, for both sides; those of the runs compared are written, as each side is read twice.
+    """
     latest = versions.latest_completed_runs(_runs(spark, sf_dir), "dataset_id").select("dataset_id", "run_id")
     pairs = view(spark, sf_dir, "datasets").where("parent_dataset_id IS NOT NULL").select("dataset_id", "parent_dataset_id")
-    issues = view(spark, sf_dir, "issues")
-    after_runs = pairs.select(F.col("dataset_id").alias("pair"), "dataset_id").join(latest, "dataset_id")
-    before_runs = pairs.select(F.col("dataset_id").alias("pair"), F.col("parent_dataset_id").alias("dataset_id")).join(
-        latest, "dataset_id"
-    )
-    return (
-        before_runs.select("pair", "run_id").join(issues, "run_id"),
-        after_runs.select("pair", "run_id").join(issues, "run_id"),
+    issues = view(spark, sf_dir, "issues").select(
+        "run_id", "issue_id", "severity", "description", "actual_value", "affected_row_count", "fingerprint"
     )
+    after = pairs.select(F.col("dataset_id").alias("pair"), "dataset_id", F.lit(True).alias("is_after"))
+    before = pairs.select(F.col("dataset_id").alias("pair"), F.col("parent_dataset_id").alias("dataset_id"), F.lit(False).alias("is_after"))
+    compared = after.unionByName(before).join(latest, "dataset_id").select("pair", "is_after", "run_id")
+    sides = rewritten(issues.join(compared, "run_id"))
+    return sides.where("NOT is_after").drop("is_after"), sides.where("is_after").drop("is_after")
 
 
 def version_issue_compare(spark, sf_dir):
