@@ -61,6 +61,15 @@ def rewritten(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` by `keys` in as many partitions as the session shuffles to; adaptive execution does not merge them.
+
+    It merges by compressed size, and rows of a few ids compress so well that a task that groups them
+    would need many times the memory of others. Only for keys that no large part of the rows shares.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def local_rows(df: DataFrame) -> DataFrame:
     """Run a frame of schema-bounded size (one row, or one row per column) exactly once.
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablegauge.session import checkpointed, dealt
+
 MANIFEST = "commit string, seq bigint, is_base boolean, runs_schema string, issues_schema string"
 TABLES = ("runs", "issues")
 
@@ -108,22 +110,30 @@ class RunStore:
 
     def runs(self) -> DataFrame:
         """Each run once, as its last commit holds it."""
-        rows, names = self._rows("runs")
-        last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in names]), F.col("seq")).alias("last")
-        return rows.groupBy("run_id").agg(last).select("last.*")
+        return self._last("runs")
 
     def issues(self) -> DataFrame:
-        """The issues of each run's last commit. Superseded pairs of run and commit are few; they are taken out."""
-        rows, names = self._rows("issues")
+        """The issues of each run's last commit."""
+        return self._last("issues")
+
+    def _last(self, name: str) -> DataFrame:
+        """The rows of each run's last commit: those of runs in several commits are told from what was superseded.
+
+        A commit holds a run once, and issues only of its own runs, so the number of the commit decides.
+        """
+        rows, names = self._rows(name)
         if len(_live(self._entries())) > 1:
-            written = self._rows("runs")[0].select("run_id", "seq")
-            last = written.groupBy("run_id").agg(F.max("seq").alias("last"))
-            old = written.join(last, "run_id").where("seq < last").select("run_id", "seq")
-            rows = rows.join(old, ["run_id", "seq"], "left_anti")
+            written = dealt(self._rows("runs")[0].select("run_id", "seq"), "run_id")
+            span = written.groupBy("run_id").agg(F.min("seq").alias("__first"), F.max("seq").alias("__last"))
+            again = checkpointed(span.where("__first < __last").select("run_id", "__last"))
+            rows = rows.join(dealt(again, "run_id"), "run_id", "left").where("__last IS NULL OR seq = __last")
         return rows.select(*[F.col(f"`{c}`") for c in names])
 
     def _rows(self, name: str) -> tuple[DataFrame, list[str]]:
-        """All rows of the live commits with their `seq`; only the folders of these commits are listed."""
+        """All rows of the live commits with their `seq`; only the folders of these commits are listed.
+
+        A commit may hold most rows, so its number is broadcast rather than joined by shuffle.
+        """
         live = _live(self._entries())
         if not live:
             raise ValueError(f"no commit is published in {self.folder}")
@@ -131,7 +141,7 @@ class RunStore:
         names = [f.name for f in schema.fields]
         files = self.spark.read.schema(schema.add("commit", "string")).option("basePath", f"{self.folder}/{name}")
         rows = files.parquet(*[self._place(name, e["commit"]) for e in live])
-        return rows.join(self.commits(), "commit"), names
+        return rows.join(F.broadcast(self.commits()), "commit"), names
 
     def _is_published(self, commit: str) -> bool:
         return any(e["commit"] == commit for e in self._entries())
