@@ -9,11 +9,26 @@ from tablegauge.operators.lineage import follow_links
 from tablegauge.operators.versions import COMPLETED, latest_completed_runs
 
 
+#: Rows that cannot find a match are dealt by so many numbers in a join.
+SPREAD = 1024
+
+
+def _spread(lost: Column, by: str) -> Column:
+    """0, but a number by hash for rows that cannot find a match: their keys are alike, and would meet in one task."""
+    return F.when(lost, F.pmod(F.xxhash64(by), F.lit(SPREAD)) + 1).otherwise(0).cast("bigint")
+
+
+def _not_spread(by: str) -> Column:
+    """The 0 of the other side, from a column: a literal would not be a key of the join."""
+    return F.xxhash64(by).bitwiseAND(F.lit(0).cast("bigint"))
+
+
 def choose_baselines(runs: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """(run_id, chosen_baseline_id): the named completed run, else the project's newest other one.
 
     Only the two newest completed runs of a project can be anyone's default, and the window keeps
-    two rows per project inside each task, so a project with most of the runs stays cheap.
+    two rows per project inside each task, so a project with most of the runs stays cheap. Runs that
+    name no baseline are spread over the tasks.
     """
     current = runs if current is None else current
     completed = runs.where(F.col("status") == COMPLETED)
@@ -27,13 +42,15 @@ def choose_baselines(runs: DataFrame, current: DataFrame | None = None) -> DataF
             F.max(F.when(F.col("place") == 2, F.col("run_id"))).alias("second_id"),
         )
     )
-    named = completed.select(F.col("run_id").alias("named_id"))
+    named = completed.select(F.col("run_id").alias("named_id"), _not_spread("run_id").alias("named_spread"))
+    same = (F.col("baseline_run_id") == F.col("named_id")) & (F.col("spread") == F.col("named_spread"))
     default = F.when(F.col("newest_id") != F.col("run_id"), F.col("newest_id")).otherwise(
         F.col("second_id")
     )
     return (
         current.join(top_two, "project_id", "left")
-        .join(named, F.col("baseline_run_id") == F.col("named_id"), "left")
+        .withColumn("spread", _spread(F.col("baseline_run_id").isNull(), "run_id"))
+        .join(named, same, "left")
         .select("run_id", F.coalesce("named_id", default).alias("chosen_baseline_id"))
     )
 
