@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.operators.lineage import follow_links
 from tablegauge.operators.versions import COMPLETED, latest_completed_runs
+from tablegauge.session import dealt
 
 
 #: Rows that cannot find a match are dealt by so many numbers in a join.
@@ -79,19 +80,22 @@ def mark_new_issues(issues: DataFrame, baselines: DataFrame) -> DataFrame:
     """Issues with `is_new`: without fingerprint, without baseline, or unknown to the baseline.
 
     `baselines` is (run_id, chosen_baseline_id). The baseline side is reduced to distinct
-    fingerprints first, so the join never multiplies issues.
+    fingerprints first, so the join never multiplies issues. Issues that can have no match there are
+    spread over the tasks.
     """
     known = (
         issues.where(F.col("fingerprint").isNotNull() & (F.col("fingerprint") != ""))
         .select(F.col("run_id").alias("chosen_baseline_id"), "fingerprint")
         .distinct()
-        .withColumn("known", F.lit(True))
+        .withColumns({"known": F.lit(True), "__spread": _not_spread("fingerprint")})
     )
+    lost = F.col("chosen_baseline_id").isNull() | F.col("fingerprint").isNull() | (F.col("fingerprint") == "")
     return (
         issues.join(baselines, "run_id", "left")
-        .join(known, ["chosen_baseline_id", "fingerprint"], "left")
+        .withColumn("__spread", _spread(lost, "run_id"))
+        .join(known, ["chosen_baseline_id", "fingerprint", "__spread"], "left")
         .withColumn("is_new", F.col("known").isNull())
-        .drop("known")
+        .drop("known", "__spread")
     )
 
 
@@ -122,20 +126,18 @@ def diff_summary(issues: DataFrame, baselines: DataFrame) -> DataFrame:
     Fixed issues are counted, not listed: the baseline's distinct fingerprints less those the run
     still has. Many runs may share one baseline, and no run is paired with all its fingerprints.
     """
-    marked = mark_new_issues(issues, baselines)
-    counts = marked.groupBy("run_id").agg(
-        F.count_if("is_new").alias("new_issues"), F.count_if(~F.col("is_new")).alias("recurrent_issues")
+    marked = mark_new_issues(issues, baselines).select("run_id", "fingerprint", "is_new")
+    prints = dealt(marked, "run_id").groupBy("run_id", "fingerprint").agg(
+        F.count_if("is_new").alias("n_new"), F.count_if(~F.col("is_new")).alias("n_recurrent")
     )
-    kept = (
-        marked.where(~F.col("is_new"))
-        .select("run_id", "fingerprint")
-        .distinct()
-        .groupBy("run_id")
-        .agg(F.count(F.lit(1)).alias("n_kept"))
+    counts = prints.groupBy("run_id").agg(
+        F.sum("n_new").alias("new_issues"),
+        F.sum("n_recurrent").alias("recurrent_issues"),
+        F.count_if(F.col("n_recurrent") > 0).alias("n_kept"),
     )
+    named = issues.where(F.col("fingerprint").isNotNull() & (F.col("fingerprint") != ""))
     known = (
-        issues.where(F.col("fingerprint").isNotNull() & (F.col("fingerprint") != ""))
-        .select(F.col("run_id").alias("chosen_baseline_id"), "fingerprint")
+        dealt(named.select(F.col("run_id").alias("chosen_baseline_id"), "fingerprint"), "chosen_baseline_id")
         .distinct()
         .groupBy("chosen_baseline_id")
         .agg(F.count(F.lit(1)).alias("n_known"))
@@ -146,7 +148,6 @@ def diff_summary(issues: DataFrame, baselines: DataFrame) -> DataFrame:
 
     return (
         baselines.join(counts, "run_id", "left")
-        .join(kept, "run_id", "left")
         .join(known, "chosen_baseline_id", "left")
         .select(
             "run_id",
