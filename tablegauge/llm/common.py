@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge.session import apply_session_settings, checkpointed
 
-__all__ = ["apply_session_settings", "bound_bucket", "checkpointed", "free_worker_table", "id_bounds", "read_table", "row_key", "slices", "worker_table"]
+__all__ = ["apply_session_settings", "bound_bucket", "checkpointed", "free_worker_table", "id_bounds", "read_table", "row_key", "slices", "text_slices", "worker_table"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,3 +77,19 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many bytes in a text column, or of one row.
+
+    What is made of a part then stays small whatever the texts' lengths; and the larger a part,
+    the fewer words it shares with others.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+            yield batch.slice(at, end - at)
+            at = end

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegauge.llm.common import checkpointed, free_worker_table, slices
+from tablegauge.llm.common import checkpointed, free_worker_table, text_slices
 from tablegauge.llm.tokens import word_encoder
 
 SEQUENCE_TOKENS = 2048
@@ -40,7 +40,7 @@ def document_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int = S
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in text_slices(batches, 1):
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(word_encoder(vocabulary).encode(batch.column(1), end_id)):
                 for k, at in enumerate(range(0, len(ids), 4 * size)):

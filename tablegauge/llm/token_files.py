@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablegauge.llm.common import bound_bucket, free_worker_table, id_bounds, slices
+from tablegauge.llm.common import bound_bucket, free_worker_table, id_bounds, text_slices
 from tablegauge.llm.tokens import word_encoder
 from tablegauge.session import checkpoint_folder
 
@@ -95,7 +95,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> N
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = _compressor(dictionary)
-        for batch in slices(batches):
+        for batch in text_slices(batches, 1):
             ids = word_encoder(vocabulary).encode(batch.column(1), end_id)
             sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
             blobs = pa.array([pack.compress(_narrow(x, wide)) for x in ids], pa.binary())

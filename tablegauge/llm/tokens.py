@@ -1,4 +1,4 @@
-"""Encoding with the installed tokenizer libraries, with results kept per word.
+"""Encoding with the installed tokenizer libraries, with results kept per part of a text.
 
 `WordEncoder` and `PieceCounter` give exactly what the library gives for the whole text. They use
 that the two vocabularies never join characters across certain white space, so the parts between
@@ -8,7 +8,6 @@ library as they are. The tables of known parts have a fixed size, so memory is b
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 from collections import Counter
@@ -23,13 +22,15 @@ from tablegauge.llm.common import worker_table
 GENERATION = 150_000
 LIBRARY_PARTS = 64
 
+#: Longer parts are not kept in the tables, whose size would else not be bounded by their number.
+KEPT_CHARACTERS = 64
+
 #: Words of characters below U+0180, where lower case, letters and digits are beyond doubt (U+0130
 #: is left out, its lower case has a combining mark), and the vocabulary's own pieces of them.
-_PLAIN_WORD = re.compile("[\x21-\x7e\xa1-įı-ſ]+").fullmatch
-_PLAIN_PIECES = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-ƀ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
-    r"|[^\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-ƀ\xb2\xb3\xb9\xbc-\xbe]+"
-).findall
+_PLAIN_WORD = "^[\\x21-\\x7e\\x{a1}-\\x{12f}\\x{131}-\\x{17f}]+$"
+_LETTERS = "a-z\\x{aa}\\x{b5}\\x{ba}\\x{df}-\\x{f6}\\x{f8}-\\x{180}"
+_DIGITS = "0-9\\x{b2}\\x{b3}\\x{b9}\\x{bc}-\\x{be}"
+_PLAIN_PIECE = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+"
 
 
 def vocabulary_path(name: str) -> str:
@@ -65,20 +66,50 @@ class Known:
         found = keys.difference(new) if new else keys
         return dict(zip(found, map(young.__getitem__, found), strict=True)), new
 
+    def find(self, keys: list[str]) -> list[Any]:
+        """What is known of each of these distinct keys, None for what is new."""
+        if len(self.young) > GENERATION:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, keys))
+        if self.old:
+            for i in [i for i, x in enumerate(found) if x is None]:
+                x = self.old.get(keys[i])
+                if x is not None:
+                    found[i] = self.young[keys[i]] = x
+        return found
+
     def learn(self, pairs: dict[str, Any]) -> None:
         self.young.update(pairs)
 
 
+def _joined(parts: pa.LargeBinaryArray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """One value for each run of `parts`, an array of its own; `ends` counts the parts up to the end of each run."""
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(parts).to_numpy())])
+    offsets = at[np.concatenate([[0], ends])].astype("<i8")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), parts.buffers()[2] or pa.py_buffer(b"")])
+
+
+def _list_ends(lists: pa.LargeListArray) -> np.ndarray:
+    return np.cumsum(pc.list_value_length(lists).to_numpy())
+
+
 class WordEncoder:
     """Ids of texts under a vocabulary that drops white space and marks the end of every word.
 
-    White-space words are looked up; a new word is parted into the vocabulary's pieces, and only new
-    pieces are encoded.
+    Arrow cuts texts into white-space words and these into the vocabulary's pieces; Python looks up
+    each distinct piece of a batch once, and the library encodes the new ones.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load_tokenizer(path)
-        self.words, self.pieces = Known(), Known()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        # the same model for pieces, which are normalized and parted already
+        self.piece_tokenizer = Tokenizer(self.tokenizer.model)
+        self.piece_tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.words = Known()
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.is_end[ends] = True
@@ -87,90 +118,61 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Many pieces go in one text, a piece to a word; the ids that end a word tell them apart."""
-        texts = [pieces[i : i + LIBRARY_PARTS] for i in range(0, len(pieces), LIBRARY_PARTS)]
-        encoded = self.tokenizer.encode_batch_fast([" ".join(x) for x in texts], add_special_tokens=False)
-        out = {}
-        for part, found in zip(texts, encoded, strict=True):
-            ids = np.array(found.ids, dtype="<u4")
+        out: list[bytes] = []
+        for at in range(0, len(pieces), LIBRARY_PARTS * LIBRARY_PARTS):
+            some = pieces[at : at + LIBRARY_PARTS * LIBRARY_PARTS]
+            texts = [" ".join(some[i : i + LIBRARY_PARTS]) for i in range(0, len(some), LIBRARY_PARTS)]
+            encoded = self.piece_tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.concatenate([np.array(x.ids, dtype="<u4") for x in encoded])
             ends = (4 * np.flatnonzero(self.is_end[ids]) + 4).tolist()
             whole, start = ids.tobytes(), 0
-            for piece, end in zip(part, ends, strict=True):
-                out[piece] = whole[start:end]
+            for _, end in zip(some, ends, strict=True):
+                out.append(whole[start:end])
                 start = end
         return out
 
-    def _encode_words(self, words: set[str]) -> dict[str, bytes]:
-        parted, other = {}, []
-        for w in words:
-            if not w:
-                continue
-            if _PLAIN_WORD(w) and "<|" not in w:
-                parted[w] = _PLAIN_PIECES(w.lower())
-            else:
-                other.append(w)
-        known, new = self.pieces.split({p for parts in parted.values() for p in parts})
-        found = self._encode_pieces(list(new))
-        self.pieces.learn(found)
-        known |= found
-        out = dict(zip(other, self._library(other), strict=True)) if other else {}
-        out.update(dict.fromkeys(words.intersection([""]), b""))
-        for w, parts in parted.items():
-            out[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
-        return out
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts: pieces of plain words, and other words as they are."""
+        found = self.words.find(parts)
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            plain = self._plain(pa.array([parts[i] for i in new], pa.large_string())).to_numpy(zero_copy_only=False).tolist()
+            pieces = [i for i, known in zip(new, plain, strict=True) if known]
+            others = [i for i, known in zip(new, plain, strict=True) if not known]
+            encoded = self._encode_pieces([parts[i] for i in pieces]), self._library([parts[i] for i in others])
+            for places, blobs in zip((pieces, others), encoded, strict=True):
+                for i, blob in zip(places, blobs, strict=True):
+                    found[i] = blob
+            self.words.learn({parts[i]: found[i] for i in new if len(parts[i]) <= KEPT_CHARACTERS})
+        return found
+
+    @staticmethod
+    def _plain(words: pa.LargeStringArray) -> pa.BooleanArray:
+        return pc.and_not(pc.match_substring_regex(words, _PLAIN_WORD), pc.match_substring(words, "<|"))
+
+    def _encode_words(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        spaced = pc.replace_substring_regex(pc.utf8_lower(words), _PLAIN_PIECE, "\\0 ")
+        parts = pc.split_pattern(pc.if_else(self._plain(words), spaced, words), " ")
+        numbered = parts.flatten().dictionary_encode()
+        found = self._encode_parts(numbered.dictionary.to_pylist())
+        return _joined(pa.array(found, pa.large_binary()).take(numbered.indices), _list_ends(parts))
 
-    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and where each text's ids end in it; a null counts as empty.
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, and `end_id` after them; a null counts as empty.
 
-        Words are cut and numbered by Arrow, so Python sees each distinct word of the batch once.
+        Words are cut and numbered by Arrow, so each distinct word of the batch is parted once.
         """
+        end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = np.flatnonzero(pc.match_substring_regex(texts, "[\\x1c-\\x1f]").to_numpy(zero_copy_only=False))
-        if len(odd):
-            mask = np.zeros(len(texts), dtype=bool)
-            mask[odd] = True
-            whole = [self._library([t])[0] for t in texts.filter(pa.array(mask)).to_pylist()]
-            texts = pc.if_else(pa.array(mask), "", texts)
-        words = pc.utf8_split_whitespace(texts)
-        word_ends = words.offsets.to_numpy()[1:] - words.offsets.to_numpy()[0]
+        odd = pc.match_substring_regex(texts, "[\\x1c-\\x1f]")
+        words = pc.utf8_split_whitespace(pc.if_else(odd, "", texts) if pc.any(odd).as_py() else texts)
         numbered = words.flatten().dictionary_encode()
-        found = self._ids_of(numbered.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        ids = np.frombuffer(b"".join(found), dtype="<u4")
-        number = numbered.indices.to_numpy()
-        each = sizes[number]
-        ends = np.cumsum(each)
-        out = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat((np.cumsum(sizes) - sizes)[number] - ends + each, each)]
-        text_ends = np.concatenate([[0], ends])[word_ends]
-        if len(odd):
-            parts = np.split(out, text_ends[:-1])
-            for i, ids_of_text in zip(odd.tolist(), whole, strict=True):
-                parts[i] = np.frombuffer(ids_of_text, dtype="<u4")
-            out, text_ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
-        return out, text_ends
-
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        collecting = gc.isenabled()
-        gc.disable()  # the tables hold no cycles, and walking them over and over costs time
-        try:
-            known, new = self.words.split(set(words))
-            found = self._encode_words(new)
-            self.words.learn(found)
-            known |= found
-            return list(map(known.__getitem__, words))
-        finally:
-            if collecting:
-                gc.enable()
-
-    def encode(self, texts: pa.Array, end_id: int | None = None) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, and `end_id` after them."""
-        ids, ends = self.encode_array(texts)
-        end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-        raw, start, out = ids.tobytes(), 0, []
-        for stop in (4 * ends).tolist():
-            out.append(raw[start:stop] + end)
-            start = stop
+        encoded = self._encode_words(numbered.dictionary).take(numbered.indices)
+        out = [x + end for x in _joined(encoded, _list_ends(words)).to_pylist()]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._library([texts[i].as_py()])[0] + end
         return out
 
 

@@ -97,6 +97,21 @@ def test_tables_of_known_parts_are_bounded(word_library, monkeypatch):
     assert len(encoder.words.young) + len(encoder.words.old) < 300
 
 
+def test_words_share_their_pieces(word_library):
+    """Case and punctuation make no words of their own: what is looked up, and encoded, are the distinct pieces."""
+    encoder = WordEncoder(WORDS)
+    texts = [f"{w}{end}" for w in ("stone", "Stone", "STONE", "sand", "Sand") for end in ("", ".", ",", "!", "'s", "42")]
+    assert encoder.encode(pa.array(texts)) == [np.array(ids(word_library, t), dtype="<u4").tobytes() for t in texts]
+    assert sorted(x for x in encoder.words.young if x) == sorted(["stone", "sand", ".", ",", "!", "'s", "4", "2"])
+
+
+def test_parts_in_pieces_of_a_sliced_array(word_library):
+    """Arrays with an offset, nulls, and more pieces than go to the library at once."""
+    texts = [None, "", *(f"a{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x, {i}" for i in range(9000)), None]
+    found = WordEncoder(WORDS).encode(pa.array(texts).slice(1, 9001), 7)
+    assert found == [np.array([*ids(word_library, t), 7], dtype="<u4").tobytes() for t in texts[1:9002]]
+
+
 def test_hard_texts(word_library, byte_library):
     encoder, parter = WordEncoder(WORDS), PreTokenizer(BYTES)
     for texts in ([t] for t in HARD_TEXTS), [HARD_TEXTS]:
