@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,10 @@ from pyspark.sql import functions as F
 
 from tablegauge.session import apply_session_settings, checkpointed
 
-__all__ = ["apply_session_settings", "bound_bucket", "checkpointed", "free_worker_table", "id_bounds", "read_table", "row_key", "slices", "text_slices", "worker_table"]
+__all__ = ["apply_session_settings", "bound_bucket", "checkpointed", "free_worker_table", "id_bounds", "read_table", "row_key", "slices", "text_batches", "text_slices", "worker_table"]
+
+#: Bytes of text that a Python task works on at a time.
+TEXT_BYTES = 6 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +74,17 @@ def worker_table(key: tuple, make: Callable[[], object]) -> object:
 
 
 def free_worker_table() -> None:
-    _WORKER_TABLES.clear()
+    if _WORKER_TABLES:
+        _WORKER_TABLES.clear()
+        give_back_memory()
+
+
+def give_back_memory() -> None:
+    """Hands freed memory to the system: Arrow and the C library keep it, and workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -79,7 +94,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most so many bytes in a text column, or of one row.
 
     What is made of a part then stays small whatever the texts' lengths; and the larger a part,
@@ -92,4 +107,21 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int
             before = int(ends[at - 1]) if at else 0
             end = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
             yield batch.slice(at, end - at)
+            give_back_memory()
             at = end
+
+
+@contextmanager
+def text_batches(spark: SparkSession, most_bytes: int = TEXT_BYTES) -> Iterator[None]:
+    """Jobs run within send Python batches of about so many bytes, or of one row.
+
+    Spark counts rows alone by default, and 10,000 long texts take many times the memory of short
+    ones, in the executor and in Python.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

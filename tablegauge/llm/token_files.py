@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablegauge.llm.common import bound_bucket, free_worker_table, id_bounds, text_slices
+from tablegauge.llm.common import bound_bucket, free_worker_table, id_bounds, text_batches, text_slices
 from tablegauge.llm.tokens import word_encoder
 from tablegauge.session import checkpoint_folder
 
@@ -135,7 +135,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> N
             yield pa.RecordBatch.from_pylist([row()], schema=schema)
 
     bounds = id_bounds(docs, "doc_id", RANGE_DOCUMENTS)
-    (
+    stored = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .mapInArrow(compress, "doc_id long, n_ids long, blob binary")
         .withColumn("range", bound_bucket("doc_id", bounds))
@@ -143,9 +143,9 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> N
         .sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "blob")
         .select("range", "doc_id", "n_ids", "blob")
         .mapInArrow(shards, SHARD_SCHEMA)
-        .write.mode("overwrite")
-        .parquet(f"{folder}/shards")
     )
+    with text_batches(spark):
+        stored.write.mode("overwrite").parquet(f"{folder}/shards")
 
 
 def _dictionary(spark: SparkSession, folder: str) -> tuple[str, bool, bytes]:
@@ -169,6 +169,7 @@ def read_store(spark: SparkSession, folder: str, with_ids: bool = False) -> Data
     kept = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_table()
         unpacker = _decompressor(dictionary)
         for batch in batches:
             for i in range(batch.num_rows):

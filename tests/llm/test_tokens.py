@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablegauge.llm import tokens
+from tablegauge.llm.common import text_batches, text_slices
 from tablegauge.llm.packing import document_pieces, pack, pack_documents, sum_of_squares
 from tablegauge.llm.token_counts import token_counts
 from tablegauge.llm.token_files import read_document, read_store, write_store
@@ -112,6 +113,29 @@ def test_parts_in_pieces_of_a_sliced_array(word_library):
     assert found == [np.array([*ids(word_library, t), 7], dtype="<u4").tobytes() for t in texts[1:9002]]
 
 
+def test_long_parts_are_not_kept(word_library):
+    encoder = WordEncoder(WORDS)
+    texts = [f"{i} short {c * 5000}{i} {c * 10}" for i in range(20) for c in "x本"]
+    assert encoder.encode(pa.array(texts)) == [np.array(ids(word_library, t), dtype="<u4").tobytes() for t in texts]
+    assert max(map(len, encoder.words.young)) <= tokens.KEPT_CHARACTERS
+    assert "short" in encoder.words.young and "本" * 10 in encoder.words.young
+
+
+def test_texts_are_worked_on_by_bytes(spark):
+    """Batches and slices are bounded by the bytes of their texts; no row is lost."""
+    docs = frame(spark, ["long " * 20_000] * 150 + [None, "", "short"]).coalesce(1).select("doc_id", "text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes], "rows": [b.num_rows]}) for b in batches), "n long, rows long")
+    with text_batches(spark):
+        found = sizes.collect()
+    assert max(r.n for r in found) < 8 << 20 and sum(r.rows for r in found) == 153
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    batch = pa.record_batch({"doc_id": list(range(8)), "text": ["a" * 10, None, "b" * 30, "", "c", "d" * 20, "e" * 5, "f" * 5]})
+    parts = list(text_slices([batch], 1, most_bytes=20))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1], [2], [3, 4], [5], [6, 7]]
+    assert list(text_slices([batch.slice(0, 0)], 1)) == []
+
+
 def test_hard_texts(word_library, byte_library):
     encoder, parter = WordEncoder(WORDS), PreTokenizer(BYTES)
     for texts in ([t] for t in HARD_TEXTS), [HARD_TEXTS]:
