@@ -8,7 +8,7 @@ it get an exact distinct count; a line that reaches the threshold is boilerplate
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.llm.common import checkpointed, row_key
@@ -81,14 +81,19 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
         .groupBy("key")
         .agg(F.collect_set("place").alias("__gone"))
     )
-    # lines are split once, before the join, and found by place: linear in the lines of a text
-    places = F.sequence(F.lit(0), F.size("__lines") - 1)
-    kept = F.transform(F.array_except(places, F.col("__gone")), lambda i: F.get(F.col("__lines"), i))
-    cleaned = F.array_join(F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(kept), "\n")
+
+    def without_gone(all_lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("__gone"))
+        return F.array_join(F.transform(places, lambda i: F.get(all_lines, i)), "\n")
+
+    # only texts that lose a line are split, once, as a lambda of one element holds their lines, which are
+    # found by place: linear in the lines of a text
+    kept = F.transform(F.array(F.split("text", "\n")), without_gone)
+    cleaned = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.get(kept, F.lit(0)))
     names = [c for c in docs.columns if c != count]
-    with_lines = keyed.withColumn("__lines", F.split("text", "\n")).drop("text")
+    # hits are a few bytes a removed line, and no two share a key: they are hashed, and whole texts need no sort
     return (
-        with_lines.join(hits.withColumnRenamed("key", "__key"), "__key", "left")
+        keyed.join(hits.withColumnRenamed("key", "__key").hint("shuffle_hash"), "__key", "left")
         .withColumn("text", cleaned)
         .select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(count))
     )

@@ -195,6 +195,20 @@ def test_texts_of_many_removed_lines(spark):
     assert got == {i: (t if i == 0 else f"own {i}", 64_000 * (i > 0)) for i, t, _ in rows}
 
 
+def test_whole_texts_are_neither_sorted_nor_split_for_the_join(spark):
+    """Texts pass by the small table of removed places; only those that lose a line are split, after the join."""
+    rows = [(i, f"own {i}\nshared\n\n", f"s{i}") for i in range(6)] + [(7, "a\n\nb\n", "s"), (8, "shared", "s"), (9, None, "s"), (10, "", "s")]
+    found = line_dedup.remove_boilerplate(docs_of(spark, rows), min_sites=5)
+    got = {r.doc_id: (r.text, r.lines_removed) for r in found.collect()}
+    gone = {i: (f"own {i}\n\n", 1) for i in range(1, 6)} | {8: ("", 1)}
+    assert got == gone | {0: (rows[0][1], 0), 7: ("a\n\nb\n", 0), 9: (None, 0), 10: ("", 0)}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    join = plan.index("Join")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    texts = plan[join:].split("ObjectHashAggregate")[0]  # the documents' side of the join
+    assert "split(" not in texts
+
+
 def test_lines_of_repeated_rows(spark):
     rows = [(1, "a\nb", f"s{i}") for i in range(6)] + [(None, "a", "z"), (2, "a\nc", "y")]
     got = sorted((r.doc_id or -1, r.text) for r in line_dedup.remove_boilerplate(docs_of(spark, rows), min_sites=5).collect())
